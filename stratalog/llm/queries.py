@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op4_packing
 from .substring_dedup import op1_substring_dedup
+from .token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_files": op2_token_files,
+    "op4_packing": op4_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
