@@ -7,7 +7,6 @@ UTF-8 bytes of many texts at once; no Python loop runs over words or characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,23 +45,30 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=6)
+_KEPT: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MOST_KEPT = 6 << 20
+
+
 def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below size."""
+    """base**i and base**-i modulo 2**64 for i below size, or further; long tables are not kept."""
+    if which in _KEPT and len(_KEPT[which][0]) >= size:
+        return _KEPT[which]
+    size = -(-size // (1 << 18)) * (1 << 18)
     base = _BASES[which]
     out = []
     for b in (base, pow(base, -1, 2**64)):
         p = np.full(size, b, dtype=np.uint64)
         p[0] = 1
         with np.errstate(over="ignore"):
-            out.append(np.multiply.accumulate(p))
+            out.append(np.multiply.accumulate(p, out=p))
+    if size <= _MOST_KEPT:
+        _KEPT[which] = (out[0], out[1])
     return out[0], out[1]
 
 
 def _sums(codes: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of codes[i] * base**i, and the inverse powers that shift a difference to 0."""
-    size = 1 << max(16, int(len(codes)).bit_length())
-    power, inverse = _powers(which, size)
+    power, inverse = _powers(which, len(codes))
     total = np.zeros(len(codes) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(codes * power[: len(codes)], out=total[1:])
