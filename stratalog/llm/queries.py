@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op3_mixing
 from .packing import op4_packing
 from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
@@ -13,6 +14,7 @@ from .token_files import op2_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
+    "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
 }
 

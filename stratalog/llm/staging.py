@@ -37,3 +37,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the cluster is set to; bucket counts follow it, and so the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_key(docs: DataFrame, id_col: str, name: str = "_key") -> DataFrame:
+    """``docs`` with a long column that tells its rows apart.
+
+    The id serves where it is never null and never repeats. Only otherwise is the table staged
+    once with row numbers, so that later reads agree on them.
+    """
+    from pyspark.sql import functions as F
+
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if not ids.groupBy("id").count().filter("count > 1 or id is null").limit(1).take(1):
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
