@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 
-#: Units of text whose ids a worker remembers; the store is emptied when it is full.
-REMEMBERED = 200_000
+#: Units of text in each of the two generations that a worker remembers.
+REMEMBERED = 300_000
 _LONGEST = 64
 
 
@@ -33,23 +34,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.spaced: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+        #: Whether a token starts with a space, by id: in the ids of joined units, each unit's first.
+        self.spaced = np.zeros(1 << 17, dtype=bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, units: list[str]) -> None:
+        """Ids of units that start with a space and hold no other, encoded as one text."""
+        if not units:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cut = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+        if len(cut) == len(units):
+            raw = ids.tobytes()
+            self.young.update(zip(units, map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])), strict=True))
+        else:  # a token that spans units, as some vocabulary may have
+            self.young.update(zip(units, self.whole([f" {u}" for u in units]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.spaced
-        if len(known) > REMEMBERED:
-            known.clear()
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        known = self.young
         parts = [t.split(" ") for t in texts]
-        units: set[str] = set()
+        missing: set[str] = set()
         for p in parts:
-            units.update(p[1:])
-        fresh = [u for u in units if u not in known]
-        plain = [u for u in fresh if u and not u[0].isspace()]
+            missing.update(filterfalse(known.__contains__, p))
+        again = missing & self.old.keys()
+        known.update((u, self.old[u]) for u in again)
+        fresh = list(missing - again)
         known.update(dict.fromkeys(fresh))
-        known.update(zip(plain, self.whole([f" {u}" for u in plain]), strict=True))
+        self._learn([u for u in fresh if u and not u[0].isspace()])
         firsts = self.whole([p[0] for p in parts])
         out = []
         for text, first, p in zip(texts, firsts, parts, strict=True):
