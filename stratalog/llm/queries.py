@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .minhash import op6_minhash
 from .mixing import op3_mixing
 from .packing import op4_packing
 from .substring_dedup import op1_substring_dedup
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op6_minhash": op6_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
