@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 
 #: Units of text in each of the two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _LONGEST = 64
 
 
@@ -34,8 +33,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+        self.young: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
         #: Whether a token starts with a space, by id: in the ids of joined units, each unit's first.
         self.spaced = np.zeros(1 << 17, dtype=bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -60,20 +59,22 @@ class Encoder:
             self.old, self.young = self.young, {}
         known = self.young
         parts = [t.split(" ") for t in texts]
-        missing: set[str] = set()
-        for p in parts:
-            missing.update(filterfalse(known.__contains__, p))
+        ids = [list(map(known.get, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(own) if x is None] for own in ids]
+        missing = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
         again = missing & self.old.keys()
         known.update((u, self.old[u]) for u in again)
         fresh = list(missing - again)
-        known.update(dict.fromkeys(fresh))
+        known.update(dict.fromkeys(fresh, False))
         self._learn([u for u in fresh if u and not u[0].isspace()])
-        firsts = self.whole([p[0] for p in parts])
         out = []
-        for text, first, p in zip(texts, firsts, parts, strict=True):
+        for text, p, own, gap, first in zip(texts, parts, ids, gaps, self.whole([p[0] for p in parts]), strict=True):
+            for i in gap:
+                own[i] = known[p[i]]
+            own[0] = first
             try:
-                out.append(first + b"".join([known[u] for u in p[1:]]))
-            except TypeError:
+                out.append(b"".join(own))
+            except TypeError:  # a unit that is not to be encoded alone
                 out.extend(self.whole([text]))
         for u in fresh:
             if len(u) > _LONGEST:
