@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: Units of text in each of the two generations that a worker remembers.
 REMEMBERED = 600_000
 _LONGEST = 64
+#: Most frequent units, kept in a table that fits a processor's cache.
+FREQUENT = 8192
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -35,10 +39,13 @@ class Encoder:
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
         self.young: dict[str, bytes | bool] = {}
         self.old: dict[str, bytes | bool] = {}
+        self.hot: dict[str, bytes | bool] = {}
         #: Whether a token starts with a space, by id: in the ids of joined units, each unit's first.
         self.spaced = np.zeros(1 << 17, dtype=bool)
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
+        self.stops = dict(zip(".,", self.whole([".", ","]), strict=True))
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -54,28 +61,39 @@ class Encoder:
         else:  # a token that spans units, as some vocabulary may have
             self.young.update(zip(units, self.whole([f" {u}" for u in units]), strict=True))
 
+    def _learn_all(self, units: list[str]) -> None:
+        """Learn units; of one that ends in a stop after a letter, only what precedes the stop is encoded."""
+        stops = [u for u in units if len(u) > 1 and u[-1] in self.stops and u[-2].isalpha()]
+        self._learn(sorted({*units}.difference(stops) | {u[:-1] for u in stops if u[:-1] not in self.young}))
+        for u in stops:
+            self.young[u] = self.young[u[:-1]] + self.stops[u[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        known = self.young
+        known, hot = self.young, self.hot
         parts = [t.split(" ") for t in texts]
-        ids = [list(map(known.get, p)) for p in parts]
+        ids = [list(map(hot.get, p)) for p in parts]
         gaps = [[i for i, x in enumerate(own) if x is None] for own in ids]
-        missing = {p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap}
+        rest = [[p[i] for i in gap] for p, gap in zip(parts, gaps, strict=True)]
+        missing = set().union(*(filterfalse(known.__contains__, r) for r in rest))
         again = missing & self.old.keys()
         known.update((u, self.old[u]) for u in again)
         fresh = list(missing - again)
         known.update(dict.fromkeys(fresh, False))
-        self._learn([u for u in fresh if u and not u[0].isspace()])
+        self._learn_all([u for u in fresh if u and not u[0].isspace()])
         out = []
-        for text, p, own, gap, first in zip(texts, parts, ids, gaps, self.whole([p[0] for p in parts]), strict=True):
-            for i in gap:
-                own[i] = known[p[i]]
+        for text, own, gap, units, first in zip(texts, ids, gaps, rest, self.whole([p[0] for p in parts]), strict=True):
+            for i, x in zip(gap, map(known.__getitem__, units), strict=True):
+                own[i] = x
             own[0] = first
             try:
                 out.append(b"".join(own))
             except TypeError:  # a unit that is not to be encoded alone
                 out.extend(self.whole([text]))
+        if not hot and sum(map(len, parts)) > 10 * FREQUENT:
+            often = Counter(chain.from_iterable(parts)).most_common(FREQUENT)
+            hot.update((u, known[u]) for u, _ in often if u in known and len(u) <= _LONGEST)
         for u in fresh:
             if len(u) > _LONGEST:
                 del known[u]
