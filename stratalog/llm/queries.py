@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .minhash import op6_minhash
 from .mixing import op3_mixing
 from .packing import op4_packing
+from .secrets import op8_secrets
 from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op6_minhash": op6_minhash,
+    "op8_secrets": op8_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
