@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import op7_language
 from .minhash import op6_minhash
 from .mixing import op3_mixing
 from .packing import op4_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
     "op6_minhash": op6_minhash,
+    "op7_language": op7_language,
     "op8_secrets": op8_secrets,
 }
 
