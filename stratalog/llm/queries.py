@@ -13,6 +13,7 @@ from .packing import op4_packing
 from .secrets import op8_secrets
 from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
