@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import shingle_sets
+from .staging import staged
 from .words import slices
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
-#: Least evidence, in nats, that a word or beginning is bound to toxic texts; and its least log-odds.
-EVIDENCE, LEAST_ODDS = 12.0, 1.5
+#: Evidence, in nats, that a word or beginning is bound to toxic texts must exceed the logarithm of
+#: the number tried by so much; and its least log-odds.
+EVIDENCE, LEAST_ODDS = 2.0, 1.5
 STEMS = (4, 5, 6)
 CHUNK_BYTES = 2 << 20
 
@@ -211,10 +213,12 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     p = total[1] / (total[0] + total[1])
     bad, fine = F.sum("toxic"), F.sum(1 - F.col("toxic"))
     counts = seen.groupBy("feature").agg(bad.alias("bad"), fine.alias("fine")).filter("bad >= 3")
+    counts = staged(counts, "features")
+    least = EVIDENCE + float(np.log(max(counts.count(), 1)))
     q = F.col("bad") / (F.col("bad") + F.col("fine"))
     evidence = F.col("bad") * F.log(q / p) + F.when(F.col("fine") > 0, F.col("fine") * F.log((1 - q) / (1 - p))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("fine") + 0.5) / (total[0] + 1))
-    found = counts.withColumn("evidence", evidence).withColumn("odds", odds).filter((q > p) & (F.col("evidence") >= EVIDENCE) & (F.col("odds") >= LEAST_ODDS))
+    found = counts.withColumn("evidence", evidence).withColumn("odds", odds).filter((q > p) & (F.col("evidence") >= least) & (F.col("odds") >= LEAST_ODDS))
     for r in found.orderBy(F.col("evidence").desc(), "feature").limit(5000).collect():  # of the bounded sample's vocabulary
         if r["feature"].startswith("^"):
             lexicon.stems[r["feature"][1:]] = min(float(r["odds"]), 6.0)
