@@ -177,15 +177,24 @@ def _edges(cls: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the pairs whose signatures differ in at most MOST_ERRORS symbols."""
+    """Forests of the pairs whose signatures differ in at most MOST_ERRORS symbols.
+
+    A pair that shares several keys counts in the first of them only.
+    """
     out, rows = [], 0
     for cell in grouped(batches, ("key", "i", "j")):
         s, cls, own = _symbols(cell.column("signature")), cell.column("cls").to_numpy(), cell.column("own").to_numpy()
         same_block = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+        number = (cell.column("key")[0].as_py() >> 48) & 0xFFFF
+        chunk = number // CHUNK
         forest = Forest(len(cls))
         for x in range(len(cls) - 1):
-            y = x + 1 + np.flatnonzero(np.count_nonzero(s[x + 1 :] != s[x], axis=1) <= MOST_ERRORS)
-            for k in y.tolist() if same_block else y[own[y] != own[x]].tolist():
+            equal = np.count_nonzero((s[x + 1 :] == s[x]).reshape(-1, SYMBOLS // CHUNK, CHUNK), axis=2)
+            fit = equal.sum(axis=1) >= SYMBOLS - MOST_ERRORS
+            fit &= (equal[:, :chunk] < CHUNK - 1).all(axis=1) & ((equal[:, chunk] == CHUNK - 1) | (number % CHUNK == 0))
+            if not same_block:
+                fit &= own[x + 1 :] != own[x]
+            for k in (x + 1 + np.flatnonzero(fit)).tolist():
                 forest.join(x, k)
         out.append(_edges(cls, forest))
         rows += len(out[-1][0])
