@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op10_embedding_dedup
 from .language import op7_language
 from .minhash import op6_minhash
 from .mixing import op3_mixing
@@ -13,6 +14,8 @@ from .packing import op4_packing
 from .secrets import op8_secrets
 from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
+from .topk import ORACLE as TOPK_SQL
+from .topk import op5_topk
 from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,10 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
     "op6_minhash": op6_minhash,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_topk": TOPK_SQL}
