@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections import Counter
 from functools import lru_cache
 from itertools import chain, filterfalse
@@ -22,6 +23,20 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters below this point are letters to every version of Unicode.
+_LATIN_END = "\u0250"
+
+
+def _byte_names() -> list[str]:
+    """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
+_BYTE_NAMES = _byte_names()
+
+
 class Encoder:
     """Ids as little-endian 32-bit bytes, equal to the tokenizer's on the whole text.
 
@@ -50,7 +65,17 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> None:
-        """Ids of units that start with a space and hold no other, encoded as one text."""
+        """Ids of units that start with a space and hold no other.
+
+        Letters after a space are one pre-token, which the BPE model takes as it is; all other
+        units are encoded as one text.
+        """
+        words = [u for u in units if u.isalpha() and (u.isascii() or max(u) < _LATIN_END)]
+        merge = self.tokenizer.model.tokenize
+        for u in words:
+            inner = u if u.isascii() else "".join(map(_BYTE_NAMES.__getitem__, u.encode()))
+            self.young[u] = array("I", [t.id for t in merge("\u0120" + inner)]).tobytes()
+        units = sorted({*units}.difference(words))
         if not units:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -64,7 +89,7 @@ class Encoder:
     def _learn_all(self, units: list[str]) -> None:
         """Learn units; of one that ends in a stop after a letter, only what precedes the stop is encoded."""
         stops = [u for u in units if len(u) > 1 and u[-1] in self.stops and u[-2].isalpha()]
-        self._learn(sorted({*units}.difference(stops) | {u[:-1] for u in stops if u[:-1] not in self.young}))
+        self._learn([*{*units}.difference(stops) | {u[:-1] for u in stops if u[:-1] not in self.young}])
         for u in stops:
             self.young[u] = self.young[u[:-1]] + self.stops[u[-1]]
 
