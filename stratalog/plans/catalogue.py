@@ -5,10 +5,512 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.functions import versions
+from stratalog.operators import checks, delta, encodings, graphs, merge, predicates, routing, rules
+from stratalog.sources import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function of (table reader, session) under its own name."""
+
+    def take(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+def _parts(table) -> DataFrame:
+    """Parts as catalogue records: namespace from the brand, id from brand and name, the name's words as tags."""
+    ns = F.lower(F.translate("p_brand", "#", "_"))
+    return table("part").select(F.lit("item").alias("kind"), "p_partkey", ns.alias("namespace"), F.concat(ns, F.lit(":"), F.translate("p_name", " ", "_")).alias("id"), F.split("p_name", " ").alias("tags"), "p_size", "p_type", "p_brand")
+
+
+PARTS = "(SELECT 'item' AS kind, p_partkey, lower(replace(p_brand, '#', '_')) AS namespace, lower(replace(p_brand, '#', '_')) || ':' || replace(p_name, ' ', '_') AS id, string_split(p_name, ' ') AS tags, p_size, p_type, p_brand FROM part)"
+
+
+@query(f"""
+WITH r AS (SELECT p_partkey, namespace FROM {PARTS} UNION ALL SELECT -1, NULL)
+SELECT p_partkey, coalesce(namespace NOT IN ('brand_11', 'brand_12') AND namespace IN ('brand_12', 'brand_13', 'brand_21', 'brand_31'), false) AS allowed FROM r
+""")
+def ns_filter(table, spark):
+    rows = _parts(table).select("p_partkey", "namespace").union(spark.sql("SELECT -1L, CAST(NULL AS STRING)"))
+    return rows.select("p_partkey", predicates.namespace_allowed(F.col("namespace"), ["brand_12", "brand_13", "brand_21", "brand_31"], ["brand_11", "brand_12"]).alias("allowed"))
+
+
+@query(f"""
+SELECT p_partkey, NOT list_has_any(tags, ['red', 'lime']) AND list_has_any(tags, ['widget', 'gear', 'small', 'blue', 'metal', 'part']) AS allowed FROM {PARTS}
+""")
+def tag_filter(table, spark):
+    return _parts(table).select("p_partkey", predicates.tags_allowed(F.col("tags"), ["widget", "gear", "small", "blue", "metal", "part"], ["red", "lime"]).alias("allowed"))
+
+
+@query(f"""
+SELECT p_partkey, starts_with(path, 'part') AND contains(path, '1') AND NOT ends_with(path, 'zz') AS hit,
+       ends_with(path, '7') AND namespace = 'brand_13' AS seventh
+FROM (SELECT *, substr(id, instr(id, ':') + 1) AS path FROM {PARTS})
+""")
+def selector(table, spark):
+    args = (F.col("id"), F.col("namespace"), F.col("tags"))
+    hit = predicates.Selector(prefix="part", contains="1").matches(*args) & ~predicates.Selector(suffix="zz").matches(*args)
+    return _parts(table).select("p_partkey", hit.alias("hit"), predicates.Selector(namespace="brand_13", suffix="7", id=" ").matches(*args).alias("seventh"))
+
+
+_FILTERS = routing.Filters(excluded_namespaces=["brand_11", "nation_3"], excluded_tags=["Part#3"])
+
+
+def _routed(table) -> DataFrame:
+    none = F.array().cast("array<string>")
+    others = [table(t).select(F.lit(k).alias("kind"), F.concat(F.lit("nation_"), F.col(c).cast("string")).alias("namespace"), none.alias("tags")) for t, k, c in (("supplier", "mod", "s_nationkey"), ("customer", "entity", "c_nationkey"))]
+    return routing.route(_parts(table).select("kind", "namespace", "tags").union(others[0]).union(others[1]), _FILTERS)
+
+
+ROUTED = f"""(SELECT kind, namespace, namespace NOT IN ('brand_11', 'nation_3') AND NOT list_contains(tags, 'Part#3') AS accepted FROM (
+  SELECT kind, namespace, tags FROM {PARTS} UNION ALL SELECT 'mod', 'nation_' || s_nationkey, [] FROM supplier UNION ALL SELECT 'entity', 'nation_' || c_nationkey, [] FROM customer))"""
+
+
+@query(f"SELECT kind, namespace, count(*) FILTER (accepted) AS counted, count(*) FILTER (NOT accepted) AS filtered FROM {ROUTED} GROUP BY 1, 2")
+def route_counts(table, spark):
+    return routing.counts(_routed(table))
+
+
+@query(f"SELECT count(*) FILTER (accepted) AS counted, count(*) FILTER (NOT accepted) AS filtered, count(DISTINCT namespace) FILTER (accepted) AS namespaces FROM {ROUTED}")
+def route_totals(table, spark):
+    return routing.totals(_routed(table))
+
+
+@query(f"""
+SELECT kind, CAST(sum(n) AS BIGINT) AS total, count(*) AS namespaces, string_agg(namespace || '=' || n, ', ' ORDER BY namespace) AS by_namespace
+FROM (SELECT kind, namespace, count(*) AS n FROM {ROUTED} WHERE accepted GROUP BY 1, 2) GROUP BY kind
+""")
+def coverage(table, spark):
+    return routing.coverage(routing.counts(_routed(table)))
+
+
+@query(f"""
+SELECT p_partkey, target FROM (SELECT *, substr(id, instr(id, ':') + 1) AS path FROM {PARTS}) p
+JOIN (VALUES ('ones', '1', NULL), ('brand', NULL, 'brand_13'), ('both', '2', 'brand_21')) t(target, suffix, ns)
+ON (suffix IS NULL OR ends_with(path, suffix)) AND (ns IS NULL OR ns = namespace)
+""")
+def targets(table, spark):
+    s = predicates.Selector
+    return routing.to_targets(_parts(table), {"ones": s(suffix="1"), "brand": s(namespace="brand_13"), "both": s(namespace="brand_21", suffix="2")}).select("p_partkey", "target")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def field_mask(table, spark):
+    return predicates.masked(table("orders"), include=["o_orderstatus", "o_orderpriority", "o_totalprice"], exclude=["o_totalprice"], identity=["o_orderkey"])
+
+
+# dependency edges
+
+
+@query("SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS n FROM lineitem ANTI JOIN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0) ON l_partkey = p_partkey GROUP BY 1, 2")
+def missing_dep(table, spark):
+    edge = table("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("REQUIRED").alias("kind"))
+    present = table("part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"))
+    return checks.missing_required(edge, present).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def _edges(table) -> DataFrame:
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "INCOMPATIBLE").otherwise("REQUIRED")
+    return table("lineitem").select((F.col("l_suppkey") % 25).alias("src"), (F.col("l_partkey") % 25).alias("dst"), kind.alias("kind"))
+
+
+EDGES = "(SELECT DISTINCT l_suppkey % 25 AS src, l_partkey % 25 AS dst, CASE WHEN l_linenumber % 2 = 0 THEN 'INCOMPATIBLE' ELSE 'REQUIRED' END AS kind FROM lineitem)"
+
+
+@query(f"SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS required_by FROM {EDGES} WHERE kind = 'REQUIRED' GROUP BY dst")
+def required_by(table, spark):
+    return checks.required_by(_edges(table)).select("dst", F.array_join("required_by", ",").alias("required_by"))
+
+
+@query(f"""
+SELECT a.src, a.dst, EXISTS (SELECT 1 FROM {EDGES} b WHERE b.kind = 'INCOMPATIBLE' AND b.src = a.dst AND b.dst = a.src) AS mutual
+FROM {EDGES} a WHERE a.kind = 'INCOMPATIBLE' AND a.dst IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 <> 0)
+""")
+def incompat_mutual(table, spark):
+    return checks.incompatible(_edges(table), table("nation").filter("n_nationkey % 3 <> 0").select(F.col("n_nationkey").cast("long").alias("id")))
+
+
+@query(f"SELECT a.src, a.dst FROM {EDGES} a JOIN {EDGES} b ON a.kind = 'INCOMPATIBLE' AND b.kind = 'REQUIRED' AND b.src = a.dst AND b.dst = a.src")
+def contradictory(table, spark):
+    return checks.contradictory(_edges(table))
+
+
+@query("SELECT md5(text) AS id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(table, spark):
+    return checks.duplicates(table("documents").filter("text is not null").select(F.md5("text").alias("id")))
+
+
+def _claims(table) -> DataFrame:
+    return table("supplier").select(F.col("s_nationkey").alias("namespace"), F.col("s_suppkey").alias("owner"))
+
+
+@query("SELECT s_nationkey AS namespace, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS owners, count(*) AS n FROM supplier GROUP BY 1")
+def ns_claims(table, spark):
+    return checks.owners(_claims(table)).select("namespace", F.array_join("owners", ",").alias("owners"), F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT s_nationkey AS namespace, count(DISTINCT s_suppkey) AS n FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) > 1")
+def ns_conflict(table, spark):
+    return checks.owners(_claims(table)).filter("n > 1").select("namespace", F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT d.doc_id FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id")
+def orphan_ns(table, spark):
+    return checks.orphans(table("documents"), table("labels"), "doc_id")
+
+
+@query("SELECT p_name AS target, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS owners FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def mixin_shared(table, spark):
+    return checks.shared_targets(table("part").select(F.col("p_name").alias("target"), F.col("p_brand").alias("owner"))).select("target", F.array_join("owners", ",").alias("owners"))
+
+
+@query("SELECT event_type, string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY user_id) AS members, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY 1")
+def built_for(table, spark):
+    return checks.grouped_by(table("events").select("event_type", "user_id").distinct(), "event_type", "user_id")
+
+
+SPANS = "(SELECT p_partkey // 10 AS ns, min(p_partkey) AS first, max(p_partkey) AS last, count(*) AS n, count(*) = max(p_partkey) - min(p_partkey) + 1 AS contiguous FROM part WHERE p_size < 45 GROUP BY 1)"
+
+
+def _spans(table) -> DataFrame:
+    return encodings.contiguous_spans(table("part").filter("p_size < 45").withColumn("ns", F.floor(F.col("p_partkey") / 10)), "ns", "p_partkey")
+
+
+@query(f"SELECT * FROM {SPANS}")
+def reg_spans(table, spark):
+    return _spans(table)
+
+
+@query(f"SELECT ns, n FROM {SPANS} WHERE NOT contiguous")
+def interleaved(table, spark):
+    return _spans(table).filter("NOT contiguous").select("ns", "n")
+
+
+@query("""
+SELECT p_partkey, range, CASE
+  WHEN range = '[1.10,1.30)' THEN CASE WHEN p_size >= 10 AND p_size < 30 THEN 'SATISFIED' ELSE 'VIOLATED' END
+  WHEN range = '(,1.20]' THEN CASE WHEN p_size < 20 OR (p_size = 20 AND p_partkey % 3 = 0) THEN 'SATISFIED' ELSE 'VIOLATED' END
+  WHEN range = '1.7.x' THEN CASE WHEN p_size = 7 THEN 'SATISFIED' ELSE 'VIOLATED' END
+  WHEN range = '[1.5.1],[1.40,)' THEN CASE WHEN (p_size = 5 AND p_partkey % 3 = 1) OR p_size >= 40 THEN 'SATISFIED' ELSE 'VIOLATED' END
+  WHEN range = '[1.beta,2)' THEN 'UNKNOWN' ELSE 'UNKNOWN' END AS verdict
+FROM part, (VALUES ('[1.10,1.30)'), ('(,1.20]'), ('1.7.x'), ('[1.5.1],[1.40,)'), ('[1.beta,2)'), ('1.0,2.0')) r(range)
+""")
+def version_check(table, spark):
+    text = F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 3).cast("string"))
+    ranges = ["[1.10,1.30)", "(,1.20]", "1.7.x", "[1.5.1],[1.40,)", "[1.beta,2)", "1.0,2.0"]
+    # a wildcard compares the text itself, so there the v is cut
+    rows = table("part").select("p_partkey", F.explode(F.array(*[F.lit(r) for r in ranges])).alias("range"), text.alias("v"))
+    v = F.when(F.col("range") == "1.7.x", F.substring("v", 2, 20)).otherwise(F.col("v"))
+    return rows.select("p_partkey", "range", versions.check(v, F.col("range")).alias("verdict"))
+
+
+@query("SELECT DISTINCT n_name AS id, loader FROM (SELECT n_name, ['fabric', 'quilt', 'forge', 'neoforge'][n_nationkey % 4 + 1] AS loader FROM nation) WHERE loader NOT IN ('quilt', 'fabric')")
+def loader_table(table, spark):
+    loaders = F.array(*[F.lit(x) for x in ("fabric", "quilt", "forge", "neoforge")])
+    mods = table("nation").select(F.col("n_name").alias("id"), F.element_at(loaders, F.col("n_nationkey") % 4 + 1).alias("loader"))
+    return checks.cannot_load(mods, "quilt")
+
+
+# declarative rules over part types (mods), event types and counts
+
+RULES = [
+    ("has", "REQUIRE_MOD", "ERROR", "ECONOMY", None, None, None, None),
+    ("lacks", "require-mod", None, "NO SUCH TYPE", None, None, None, None),
+    ("none", "FORBID_MOD", None, "PROMO", None, None, None, None),
+    ("some", "REQUIRE_TOGETHER", None, None, ["ECONOMY", "ABSENT", "PROMO"], None, None, None),
+    ("one", "MUTUALLY_EXCLUSIVE", "INFO", None, ["PROMO", "ABSENT", "ECONOMY", "STANDARD"], None, None, None),
+    ("patch", "FORBID_MIXIN_TARGET", None, None, None, "click", None, None),
+    ("seen", "REQUIRE_NAMESPACE", None, None, None, None, "click", None),
+    ("unseen", "REQUIRE_NAMESPACE", None, None, None, None, "nowhere", None),
+    ("many", "MIN_COUNT", None, None, None, "item", None, 10**9),
+    ("gone", "MIN_COUNT", None, None, None, "ghost", None, 1),
+    ("few", "MAX_COUNT", None, None, None, "event", None, 3),
+]
+PRESENT = "(SELECT DISTINCT split_part(p_type, ' ', 1) AS id FROM part)"
+
+
+def _rules(spark) -> DataFrame:
+    from stratalog.schema import RULES as schema
+
+    return spark.createDataFrame(RULES, schema)
+
+
+@query(f"""
+WITH p AS {PRESENT}
+SELECT 'rule:has' AS kind, 'ERROR' AS severity, 'ECONOMY' AS subject, 'REQUIRE_MOD' AS rule WHERE 'ECONOMY' NOT IN (SELECT id FROM p)
+UNION ALL SELECT 'rule:lacks', 'WARN', 'NO SUCH TYPE', 'REQUIRE_MOD' WHERE 'NO SUCH TYPE' NOT IN (SELECT id FROM p)
+UNION ALL SELECT 'rule:none', 'WARN', 'PROMO', 'FORBID_MOD' WHERE 'PROMO' IN (SELECT id FROM p)
+UNION ALL SELECT 'rule:some', 'WARN', string_agg(id, ', ' ORDER BY pos), 'REQUIRE_TOGETHER' FROM (VALUES (1, 'ECONOMY'), (2, 'ABSENT'), (3, 'PROMO')) g(pos, id) JOIN p USING (id) HAVING count(*) BETWEEN 1 AND 2
+UNION ALL SELECT 'rule:one', 'INFO', string_agg(id, ', ' ORDER BY pos), 'MUTUALLY_EXCLUSIVE' FROM (VALUES (1, 'PROMO'), (2, 'ABSENT'), (3, 'ECONOMY'), (4, 'STANDARD')) g(pos, id) JOIN p USING (id) HAVING count(*) > 1
+UNION ALL SELECT 'rule:patch', 'WARN', string_agg(DISTINCT CAST(user_id % 7 AS VARCHAR), ', ' ORDER BY CAST(user_id % 7 AS VARCHAR)), 'FORBID_MIXIN_TARGET' FROM events WHERE event_type = 'click' AND value > 1 HAVING count(*) > 0
+""")
+def rules_pre(table, spark):
+    mods = table("part").select(F.split("p_type", " ")[0].alias("id"))
+    entries = table("events").select(F.col("event_type").alias("target"), (F.col("user_id") % 7).cast("string").alias("owner"), (F.col("value") > 1).alias("explicit"))
+    return rules.apply_pre(_rules(spark), mods, entries)
+
+
+@query("""
+WITH c AS (SELECT 'item' AS kind, count(*) AS n FROM part UNION ALL SELECT 'event', count(*) FROM events)
+SELECT 'rule:seen' AS kind, 'WARN' AS severity, 'click' AS subject, 'REQUIRE_NAMESPACE' AS rule WHERE 'click' NOT IN (SELECT event_type FROM events)
+UNION ALL SELECT 'rule:unseen', 'WARN', 'nowhere', 'REQUIRE_NAMESPACE' WHERE 'nowhere' NOT IN (SELECT event_type FROM events)
+UNION ALL SELECT 'rule:many', 'WARN', 'item=' || n, 'MIN_COUNT' FROM c WHERE kind = 'item' AND n < 1000000000
+UNION ALL SELECT 'rule:gone', 'WARN', 'ghost=0', 'MIN_COUNT'
+UNION ALL SELECT 'rule:few', 'WARN', 'event=' || n, 'MAX_COUNT' FROM c WHERE kind = 'event' AND n > 3
+""")
+def rules_post(table, spark):
+    items = table("part").groupBy(F.lit("item").alias("kind"), F.col("p_brand").alias("namespace")).agg(F.count("*").alias("n"))
+    events = table("events").groupBy(F.lit("event").alias("kind"), F.col("event_type").alias("namespace")).agg(F.count("*").alias("n"))
+    return rules.apply_post(_rules(spark), items.union(events))
+
+
+# positional merges
+
+
+@query("""
+SELECT event_id, user_id FROM (SELECT *, max(CASE WHEN event_type = 'error' THEN ts END) OVER (PARTITION BY user_id) AS reset FROM events) WHERE reset IS NULL OR ts >= reset
+""")
+def stack_merge(table, spark):
+    rows = table("events").withColumn("replace", F.col("event_type") == "error")
+    return merge.stacked(rows, "user_id", "ts", "replace").select("event_id", "user_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def single_winner(table, spark):
+    return merge.winner(table("events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT lang AS id, rank, CAST(doc_id AS VARCHAR) AS source, CAST(first_value(doc_id) OVER w AS VARCHAR) AS winner, CASE WHEN rank < first_value(rank) OVER w THEN 'INFO' ELSE 'WARN' END AS severity
+FROM (SELECT *, CAST(substr(source, 4) AS INT) % 5 AS rank FROM documents) WINDOW w AS (PARTITION BY lang ORDER BY rank DESC, lpad(CAST(doc_id AS VARCHAR), 12, '0')) QUALIFY row_number() OVER w > 1
+""")
+def shadowing(table, spark):
+    rows = table("documents").select(F.col("lang").alias("id"), (F.expr("CAST(substr(source, 4) AS INT)") % 5).alias("rank"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source"))
+    plain = lambda c: F.col(c).cast("long").cast("string").alias(c)
+    return checks.shadowed(rows).select("id", "rank", plain("source"), plain("winner"), "severity")
+
+
+LAYERS = [(0, "format", "json", False), (1, "format", "yaml", False), (2, "format", None, False), (0, "tags", "a,b", True), (2, "tags", "b,c", True), (1, "threads", "4", False)]
+
+
+@query("SELECT * FROM (VALUES ('format', 'yaml'), ('tags', 'a,b,c'), ('threads', '4')) t(key, value)")
+def config_layers(table, spark):
+    return merge.layered(spark.createDataFrame(LAYERS, "layer int, key string, value string, accumulates boolean"))
+
+
+# incremental runs
+
+
+def _snapshots(table) -> tuple[DataFrame, DataFrame]:
+    docs = table("documents")
+    path = F.col("doc_id").alias("path")
+    altered = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    before = docs.filter("doc_id % 3 <> 0").select(path, delta.fingerprint(altered).alias("fingerprint"))
+    return before, docs.filter("doc_id % 5 <> 0").select(path, delta.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+DELTA = """(SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN b.f IS NULL THEN 'REMOVED' WHEN a.f IS NULL THEN 'NEW' WHEN a.f = b.f THEN 'UNCHANGED' ELSE 'CHANGED' END AS verdict
+FROM (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS f FROM documents WHERE doc_id % 3 <> 0) a
+FULL JOIN (SELECT doc_id, sha256(text) AS f FROM documents WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id)"""
+
+
+@query(f"SELECT * FROM {DELTA}")
+def delta_verdict(table, spark):
+    return delta.verdicts(*_snapshots(table))
+
+
+@query(f"SELECT path, verdict FROM {DELTA} WHERE verdict IN ('NEW', 'CHANGED') OR (verdict = 'UNCHANGED' AND path NOT IN (SELECT doc_id FROM labels))")
+def delta_write(table, spark):
+    return delta.to_write(delta.verdicts(*_snapshots(table)), table("labels").select(F.col("doc_id").alias("path")))
+
+
+@query(f"""
+SELECT count(*) FILTER (verdict = 'NEW') AS "new", count(*) FILTER (verdict = 'CHANGED') AS changed, count(*) FILTER (verdict = 'UNCHANGED') AS unchanged, count(*) FILTER (verdict = 'REMOVED') AS removed,
+       count(*) FILTER (verdict IN ('CHANGED', 'REMOVED')) AS workload FROM {DELTA}
+""")
+def delta_summary(table, spark):
+    return delta.change_summary(delta.verdicts(*_snapshots(table)))
+
+
+# parsing
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_parse(table, spark):
+    return table("events").select("event_id", F.try_variant_get(documents.parsed(F.col("props")), "$.k", "bigint").alias("k"))
+
+
+@query("""
+SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)
+""")
+def lang_parse(table, spark):
+    return table("events").select("event_id", F.explode(documents.language(F.col("props"))).alias("e")).select("event_id", "e.key", "e.value")
+
+
+@query("SELECT doc_id, len(list_filter(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#') AND NOT starts_with(trim(x), '$') AND NOT starts_with(trim(x), '/'))) AS commands FROM documents WHERE NOT contains(text, chr(92)) AND NOT regexp_matches(text, '[^\\x20-\\x7e\\n]')")
+def line_fold(table, spark):
+    own = table("documents").filter(~F.col("text").contains("\\") & ~F.col("text").rlike(r"[^\x20-\x7e\n]"))
+    return own.select("doc_id", documents.function(F.col("text"))["commands"].cast("long").alias("commands"))
+
+
+@query()
+def loot_walk(table, spark):
+    """Tables nested from parts: each part drops itself, and its neighbour in an inline table."""
+    inner = F.format_string('{"pools":[{"entries":[{"type":"minecraft:item","name":"p:%d"}]}]}', F.col("p_partkey") + 1)
+    text = F.concat(F.format_string('{"type":"t","pools":[{"entries":[{"type":"minecraft:item","name":"p:%d"},{"type":"x","value":', "p_partkey"), inner, F.lit("}]}]}"))
+    return table("part").select("p_partkey", documents.loot(text).alias("l")).select("p_partkey", F.array_join("l.items", ",").alias("items"), "l.pools", "l.entries")
+
+
+@query("SELECT p_partkey, p_brand || ',#' || p_type AS entries, p_size % 2 = 0 AS replace FROM part")
+def tag_parse(table, spark):
+    text = F.to_json(F.struct((F.col("p_size") % 2 == 0).alias("replace"), F.array("p_brand", F.concat(F.lit("#"), "p_type")).alias("values")))
+    entries = F.transform("t.entries", lambda e: F.concat(F.when(e["nested"], "#").otherwise(""), e["id"]))
+    return table("part").withColumn("p_brand", F.translate("p_brand", "#", "_")).select("p_partkey", documents.tag(text).alias("t")).select("p_partkey", F.array_join(entries, ",").alias("entries"), "t.replace")
+
+
+ORACLE_SQL["tag_parse"] = "SELECT p_partkey, replace(p_brand, '#', '_') || ',#' || p_type AS entries, p_size % 2 = 0 AS replace FROM part"
+
+
+# encodings and graphs
+
+
+@query("""
+SELECT o_custkey, run, value, count(*) AS length, min(o_orderkey) AS first FROM (
+  SELECT o_custkey, o_orderkey, o_orderstatus AS value, CAST(sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS run
+  FROM (SELECT *, CASE WHEN o_orderstatus = lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) THEN 0 ELSE 1 END AS new FROM orders)) GROUP BY 1, 2, 3
+""")
+def rle(table, spark):
+    return encodings.runs(table("orders"), "o_custkey", "o_orderkey", "o_orderstatus").withColumnRenamed("o_orderstatus", "value")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderkey - coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS difference FROM orders")
+def delta_enc(table, spark):
+    rows = table("orders").withColumn("v", F.col("o_orderkey"))
+    return encodings.differences(rows, "o_custkey", "o_orderkey", "v")
+
+
+@query("SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS INT) AS code FROM orders GROUP BY 1")
+def dict_enc(table, spark):
+    return encodings.dictionary(table("orders"), "o_orderkey", "o_orderpriority")
+
+
+@query("""
+SELECT o_custkey, count(*) AS n, CASE WHEN count(*) > 1 AND count(DISTINCT d) = 1 THEN 'RLE' WHEN count(*) > 1 AND min(step) >= 0 THEN 'DELTA' ELSE 'PLAIN' END AS encoding
+FROM (SELECT o_custkey, d, d - lag(d) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step FROM (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS BIGINT) // 100000 AS d FROM orders)) GROUP BY 1
+""")
+def encoding_choice(table, spark):
+    rows = table("orders").withColumn("d", F.floor(F.rint("o_totalprice").cast("long") / 100000))
+    return encodings.choice(rows, "o_custkey", "o_orderkey", "d")
+
+
+@query("""
+SELECT 'duplicate_node' AS fault, p_size AS id FROM part GROUP BY p_size HAVING count(*) > 1
+UNION ALL SELECT 'dangling_edge', id FROM (SELECT DISTINCT l_linenumber * 9 AS id FROM lineitem UNION SELECT DISTINCT CAST(l_quantity AS INT) FROM lineitem) ANTI JOIN (SELECT DISTINCT p_size FROM part) ON id = p_size
+""")
+def graph_validate(table, spark):
+    edge = table("lineitem").select((F.col("l_linenumber") * 9).alias("a"), F.col("l_quantity").cast("int").alias("b"))
+    return encodings.graph_faults(table("part").select(F.col("p_size").alias("id")), edge)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 1) % 25 AS b FROM nation),
+r AS (SELECT a, b FROM e WHERE a <> b UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a WHERE e.a <> e.b)
+SELECT a AS node FROM r WHERE a = b
+""")
+def cycles(table, spark):
+    return graphs.on_cycle(table("nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * F.col("n_nationkey") + 1) % 25).alias("b")))
+
+
+@query()
+def cycle_text(table, spark):
+    edge = table("nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * F.col("n_nationkey") + 1) % 25).alias("b"), F.lit(0).alias("pos"))
+    return graphs.cycle_paths(edge, table("nation").select(F.col("n_nationkey").alias("node"), F.col("n_nationkey").alias("ord")))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT s_suppkey AS node, s_suppkey AS up, CAST(0 AS BIGINT) AS levels FROM supplier UNION ALL SELECT node, up // 2, levels + 1 FROM c WHERE up > 1)
+SELECT node, up AS top, levels FROM c WHERE up <= 1
+""")
+def chain_depth(table, spark):
+    parents = table("supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") > 1, F.floor(F.col("s_suppkey") / 2)).alias("parent"))
+    return graphs.chain_levels(parents)
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+r AS (SELECT source, doc_id, k, CAST(0 AS BIGINT) AS part, n_chars AS held FROM d WHERE k = 1
+  UNION ALL SELECT d.source, d.doc_id, d.k, r.part + (CASE WHEN r.held >= 20000 THEN 1 ELSE 0 END), CASE WHEN r.held >= 20000 THEN d.n_chars ELSE r.held + d.n_chars END FROM r JOIN d ON d.source = r.source AND d.k = r.k + 1)
+SELECT source, doc_id, part FROM r
+""")
+def roll_over(table, spark):
+    return graphs.roll_over(table("documents"), "source", "doc_id", "n_chars", 20000).select("source", "doc_id", "part")
+
+
+# findings and pending work
+
+
+def _findings(table) -> DataFrame:
+    dup = checks.duplicates(table("part").select(F.col("p_name").alias("id")))
+    conflict = checks.owners(_claims(table)).filter("n > 1")
+    orphan = checks.orphans(table("documents"), table("labels"), "doc_id")
+    return checks.union(
+        checks.finding(dup, "duplicate_mod_id", "ERROR", F.col("id"), F.lit("is declared more than once"), count=F.col("n")),
+        checks.finding(conflict, "namespace_conflict", "ERROR", F.lpad(F.col("namespace").cast("string"), 3, "0"), F.lit("has several owners"), owners=F.col("n")),
+        checks.finding(orphan, "orphan_namespace", "INFO", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("is claimed by no mod")),
+    )
+
+
+FINDINGS = """(SELECT 'duplicate_mod_id' AS kind, 'ERROR' AS severity, p_name AS subject FROM part GROUP BY p_name HAVING count(*) > 1
+UNION ALL SELECT 'namespace_conflict', 'ERROR', lpad(CAST(s_nationkey AS VARCHAR), 3, '0') FROM supplier GROUP BY s_nationkey HAVING count(DISTINCT s_suppkey) > 1
+UNION ALL SELECT 'orphan_namespace', 'INFO', lpad(CAST(doc_id AS VARCHAR), 12, '0') FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"""
+
+
+@query(f"SELECT * FROM {FINDINGS} ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END, kind, subject LIMIT 20")
+def findings_order(table, spark):
+    return checks.ordered(_findings(table)).limit(20).select("kind", "severity", "subject")
+
+
+@query(f"SELECT severity, count(*) AS n FROM {FINDINGS} GROUP BY 1")
+def findings_summary(table, spark):
+    return checks.summary(_findings(table))
+
+
+@query("SELECT p_partkey, size FROM part, (VALUES (16), (32), (64)) s(size) ANTI JOIN (SELECT DISTINCT l_partkey, 32 AS done FROM lineitem WHERE l_linenumber = 1) d ON p_partkey = l_partkey AND size = done")
+def pending_icons(table, spark):
+    sizes = table("part").select("p_partkey", F.explode(F.array(F.lit(16), F.lit(32), F.lit(64))).alias("size"))
+    done = table("lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("p_partkey"), F.lit(32).alias("size"))
+    return sizes.join(done, ["p_partkey", "size"], "left_anti")
+
+
+@query("SELECT DISTINCT c_custkey, coalesce(n_name, 'none') AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey <> 2")
+def translate_lookup(table, spark):
+    """A left look-up with a default, as names take it; Spark broadcasts the small side by its size."""
+    names = table("nation").filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return table("customer").join(names, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("none")).alias("name"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def first_wins(table, spark):
+    rows = table("orders").filter("o_orderdate >= TIMESTAMP_NTZ '1996-01-01'").select("o_custkey", "o_orderkey", "o_totalprice").withColumn("ord", F.col("o_orderkey"))
+    return checks.first_by(rows, "o_custkey", "ord").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Counts of routed records, and findings, in one long table."""
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    counted = routing.counts(_routed(table)).select(F.lit("count").alias("what"), "kind", F.col("namespace").alias("subject"), F.col("counted").alias("n"))
+    found = _findings(table).groupBy("kind", "severity").agg(F.count("*").alias("n")).select(F.lit("finding").alias("what"), "kind", F.col("severity").alias("subject"), "n")
+    return counted.unionByName(found)
