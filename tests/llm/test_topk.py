@@ -49,3 +49,12 @@ def test_edges(spark, monkeypatch):
     twice = topk.top_k(df.union(df), F.col("id") % 20 == 0)
     assert twice.exceptAll(got).count() == 0 == got.exceptAll(twice).count()
     assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_sql_agrees(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet'")
+    got = topk.op5_topk(spark, "/root/testdata/sf0.001").select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(topk.ORACLE).fetchall())
