@@ -102,7 +102,8 @@ def _count_bucket(parts: int):
         order = np.argsort(h, kind="stable")
         equal = h[order][1:] == h[order][:-1]
         several = np.zeros(len(h), bool)
-        several[1:], several[:-1] = equal, several[:-1] | equal
+        several[1:] |= equal
+        several[:-1] |= equal
         own = order[several]
         own = own[np.lexsort((start[own], doc[own], h[own]))]
         later = np.zeros(len(own), bool)

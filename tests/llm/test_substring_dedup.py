@@ -37,6 +37,13 @@ def test_whole_table(spark):
     assert got == want and any(g for _, g, _ in want.values())
 
 
+def test_whole_table_in_small_chunks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 20)
+    for size in (1, 20_000):
+        assert result(docs.repartition(3), 20, chunk_bytes=size) == want
+
+
 def test_edges_and_small_chunks(spark):
     rows = [(4, "a b c d e"), (2, "x a b c\ty é z"), (7, None), (8, ""), (-1, "c d e"), (9, "a a a a a"), (10, "b c d " * 50), (11, " \n\v ")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, bucket string").repartition(3)
