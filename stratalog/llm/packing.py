@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .tokens import encoder, vocabulary_file
 from .words import slices
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 class OpenWindows:
@@ -126,7 +126,7 @@ def _pack_batches(path: str, capacity: int, end: bytes, most: int):
         sequence = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", most):
             names = batch.column("id").to_pylist()
-            ids = [x + end for x in encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])]
+            ids = [x.astype("<u4").tobytes() + end for x in encoder(path).encode(batch.column("text"))]
             out: dict[str, list] = {k: [] for k in _TYPES}
             for window in pack([len(x) // 4 for x in ids], capacity):
                 offset = 0

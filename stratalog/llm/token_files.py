@@ -125,9 +125,8 @@ def _write(folder: str, path: str, length: int, end_id: int, most: int):
             if writer is None:
                 fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1])
                 writer = ShardWriter(base, length, pa.uint16() if encoder(path).small else pa.uint32())
-            ids = encoder(path).encode([t or "" for t in batch.column("text").to_pylist()])
-            for name, own in zip(batch.column("id").to_pylist(), ids, strict=True):
-                writer.add(name, np.append(np.frombuffer(own, dtype="<u4"), np.uint32(end_id)))
+            for name, own in zip(batch.column("id").to_pylist(), encoder(path).encode(batch.column("text")), strict=True):
+                writer.add(name, np.append(own, np.uint32(end_id)))
         if writer is not None:
             writer.close()
             yield pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (base, pa.string()), (len(writer.index), pa.int64()), (writer.tokens, pa.int64()))], names=["shard", "base", "n_docs", "n_tokens"])

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import os
-from array import array
-from collections import Counter
 from functools import lru_cache
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
-#: Units of text in each of the two generations that a worker remembers.
-REMEMBERED = 600_000
-_LONGEST = 64
-#: Most frequent units, kept in a table that fits a processor's cache.
-FREQUENT = 8192
+from .words import _BYTE_CODE, _sums, mix, utf8
+
+#: Distinct units that a worker remembers, at about 25 bytes each, and their ids in all; beyond that the longest unused half goes.
+REMEMBERED, MOST_IDS = 1_500_000, 16_000_000
+#: Letters below this point are letters to every version of Unicode.
+_LATIN_END = "ɐ"
 
 
 def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
@@ -23,10 +23,6 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Letters below this point are letters to every version of Unicode.
-_LATIN_END = "\u0250"
-
-
 def _byte_names() -> list[str]:
     """The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -35,15 +31,27 @@ def _byte_names() -> list[str]:
 
 
 _BYTE_NAMES = _byte_names()
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+
+
+def blank_follows(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether the character after the byte at ``at`` (before ``end``) is white space, Unicode's included."""
+    padded = np.r_[data, np.zeros(3, np.uint8)]
+    a, b, c = (padded[at + k] for k in (1, 2, 3))
+    wide = ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    wide |= (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    return (at + 1 < end) & (_BLANK[a] | wide)
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes, equal to the tokenizer's on the whole text.
+    """Ids equal to the tokenizer's on the whole text.
 
     The byte-level pre-tokenizer never joins a word with what precedes its leading space, so a
-    text is encoded unit by unit (a space and what follows, up to the next space) and each
-    distinct unit only once. Where a space is followed by more white space that does not hold;
-    such texts are encoded whole.
+    text is cut into units (a space and what follows, up to the next space) and each distinct
+    unit is encoded once. Where white space follows a space that does not hold; such texts are
+    encoded whole. Units are told apart by 64-bit hashes: with a million remembered, a unit is
+    mistaken for another once in 10**13.
     """
 
     def __init__(self, path: str):
@@ -52,76 +60,104 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.small = self.tokenizer.get_vocab_size() <= 1 << 16
-        self.young: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
-        self.hot: dict[str, bytes | bool] = {}
+        self.kind = np.uint16 if self.small else np.uint32
         #: Whether a token starts with a space, by id: in the ids of joined units, each unit's first.
-        self.spaced = np.zeros(1 << 17, dtype=bool)
-        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
-
-        self.stops = dict(zip(".,", self.whole([".", ","]), strict=True))
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, units: list[str]) -> None:
-        """Ids of units that start with a space and hold no other.
-
-        Letters after a space are one pre-token, which the BPE model takes as it is; all other
-        units are encoded as one text.
-        """
-        words = [u for u in units if u.isalpha() and (u.isascii() or max(u) < _LATIN_END)]
+        self.spaced = np.zeros(1 << 18, dtype=bool)
+        self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        self.stops = {s: self.whole([s])[0].tolist() for s in ".,"}
+        self.hashes = np.zeros(0, np.uint64)  # ascending
+        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, self.kind)
+        self.round = 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> list[list[int] | np.ndarray]:
+        """Ids of distinct units: letters after a space are one pre-token, which the model takes as it is."""
+        out: list[list[int] | np.ndarray] = [[]] * len(units)
         merge = self.tokenizer.model.tokenize
-        for u in words:
-            inner = u if u.isascii() else "".join(map(_BYTE_NAMES.__getitem__, u.encode()))
-            self.young[u] = array("I", [t.id for t in merge("\u0120" + inner)]).tobytes()
-        units = sorted({*units}.difference(words))
-        if not units:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(units)], add_special_tokens=False)[0].ids, dtype="<u4")
-        cut = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-        if len(cut) == len(units):
-            raw = ids.tobytes()
-            self.young.update(zip(units, map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])), strict=True))
-        else:  # a token that spans units, as some vocabulary may have
-            self.young.update(zip(units, self.whole([f" {u}" for u in units]), strict=True))
-
-    def _learn_all(self, units: list[str]) -> None:
-        """Learn units; of one that ends in a stop after a letter, only what precedes the stop is encoded."""
-        stops = [u for u in units if len(u) > 1 and u[-1] in self.stops and u[-2].isalpha()]
-        self._learn([*{*units}.difference(stops) | {u[:-1] for u in stops if u[:-1] not in self.young}])
-        for u in stops:
-            self.young[u] = self.young[u[:-1]] + self.stops[u[-1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        known, hot = self.young, self.hot
-        parts = [t.split(" ") for t in texts]
-        ids = [list(map(hot.get, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(own) if x is None] for own in ids]
-        rest = [[p[i] for i in gap] for p, gap in zip(parts, gaps, strict=True)]
-        missing = set().union(*(filterfalse(known.__contains__, r) for r in rest))
-        again = missing & self.old.keys()
-        known.update((u, self.old[u]) for u in again)
-        fresh = list(missing - again)
-        known.update(dict.fromkeys(fresh, False))
-        self._learn_all([u for u in fresh if u and not u[0].isspace()])
-        out = []
-        for text, own, gap, units, first in zip(texts, ids, gaps, rest, self.whole([p[0] for p in parts]), strict=True):
-            for i, x in zip(gap, map(known.__getitem__, units), strict=True):
-                own[i] = x
-            own[0] = first
-            try:
-                out.append(b"".join(own))
-            except TypeError:  # a unit that is not to be encoded alone
-                out.extend(self.whole([text]))
-        if not hot and sum(map(len, parts)) > 10 * FREQUENT:
-            often = Counter(chain.from_iterable(parts)).most_common(FREQUENT)
-            hot.update((u, known[u]) for u, _ in often if u in known and len(u) <= _LONGEST)
-        for u in fresh:
-            if len(u) > _LONGEST:
-                del known[u]
+        joined, single = [], []
+        for n, u in enumerate(units):
+            stop = self.stops.get(u[-1], []) if len(u) > 2 else []
+            word = u[1:-1] if stop else u[1:]
+            if u[0] == " " and word.isalpha() and (word.isascii() or max(word) < _LATIN_END):
+                inner = word if word.isascii() else "".join(map(_BYTE_NAMES.__getitem__, word.encode()))
+                out[n] = [t.id for t in merge("Ġ" + inner)] + stop
+            else:
+                (joined if u[0] == " " else single).append(n)
+        if joined:
+            ids = self.whole(["".join([units[n] for n in joined])])[0]
+            cut = np.flatnonzero(self.spaced[ids])
+            if len(cut) == len(joined):
+                ids = ids.tolist()
+                for n, a, b in zip(joined, cut.tolist(), [*cut[1:].tolist(), len(ids)], strict=True):
+                    out[n] = ids[a:b]
+            else:  # a token that spans units, as some vocabulary may have
+                single += joined
+        # what starts a text, and the like
+        for n, own in zip(single, self.whole([units[n] for n in single]), strict=True):
+            out[n] = own
+        return out
+
+    def _remember(self, hashes: np.ndarray, at: np.ndarray, ids: list) -> None:
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))])
+        self.hashes, self.start, self.size = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.start, start), (self.size, size)))
+        self.used = np.insert(self.used, at, np.int32(self.round))
+
+    def _forget(self) -> None:
+        keep = self.used > np.median(self.used)
+        starts, sizes = self.start[keep], self.size[keep].astype(np.int64)
+        before = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+        self.hashes, self.start, self.size, self.used = self.hashes[keep], before, self.size[keep], self.used[keep]
+
+    def encode(self, texts: pa.Array | pa.ChunkedArray | list) -> list[np.ndarray]:
+        """Ids of each text; a null text has none."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        data, at = utf8(texts)
+        if len(self.hashes) > REMEMBERED or len(self.ids) > MOST_IDS:
+            self._forget()
+        self.round += 1
+        space = np.flatnonzero(data == 32)
+        doc = np.searchsorted(at, space, side="right") - 1
+        odd = np.zeros(len(at) - 1, bool)
+        odd[doc[blank_follows(data, space, at[doc + 1])]] = True
+
+        starts = np.zeros(len(data), bool)
+        starts[space] = True
+        starts[at[:-1][at[:-1] < at[1:]]] = True
+        begin = np.flatnonzero(starts)
+        owner = np.searchsorted(at, begin, side="right") - 1
+        end = np.minimum(np.r_[begin[1:], [len(data)] * (len(begin) > 0)], at[owner + 1]).astype(np.int64)
+        plain = ~odd[owner]
+        begin, end, owner = begin[plain], end[plain], owner[plain]
+        total, inverse = _sums(_BYTE_CODE[data], 0)
+        with np.errstate(over="ignore"):
+            h = mix((total[end] - total[begin]) * inverse[begin])
+        distinct, first, unit = np.unique(h, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = place < len(self.hashes)
+        known[inside] = self.hashes[place[inside]] == distinct[inside]
+        fresh = np.flatnonzero(~known)
+        raw = data.tobytes()
+        units = [raw[a:b].decode() for a, b in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)]
+        self.used[place[known]] = self.round
+        self._remember(distinct[fresh], place[fresh], self._learn(units))
+
+        place = np.searchsorted(self.hashes, distinct)
+        starts, sizes = self.start[place][unit], self.size[place][unit].astype(np.int64)
+        upto = np.cumsum(sizes)
+        flat = self.ids[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)].astype(np.uint32)
+        cut = np.r_[0, upto][np.searchsorted(owner, np.arange(len(at)))]
+        out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if odd.any():
+            which = np.flatnonzero(odd).tolist()
+            for d, ids in zip(which, self.whole([raw[at[d] : at[d + 1]].decode() for d in which]), strict=True):
+                out[d] = ids
         return out
 
 

@@ -53,7 +53,7 @@ def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below size, or further; long tables are not kept."""
     if which in _KEPT and len(_KEPT[which][0]) >= size:
         return _KEPT[which]
-    size = -(-size // (1 << 18)) * (1 << 18)
+    size = max(1, -(-size // (1 << 18))) * (1 << 18)
     base = _BASES[which]
     out = []
     for b in (base, pow(base, -1, 2**64)):
@@ -145,3 +145,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             to = max(at + 1, int(np.searchsorted(total, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch
+        pa.default_memory_pool().release_unused()

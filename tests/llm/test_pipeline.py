@@ -55,5 +55,5 @@ def test_stages_against_plain_rules(spark):
         pieces[r.doc_id] += r.length
     own = encoder(vocabulary_file())
     want = dict(zip(got, own.encode([r.text for r in got.values()]), strict=True))
-    assert pieces == {d: len(x) // 4 + 1 for d, x in want.items()}
+    assert pieces == {d: len(x) + 1 for d, x in want.items()}
     assert sum(r.length for r in corpus_pipeline.run(spark, sf).collect()) == sum(pieces.values())

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalog.llm import token_files
+from stratalog.llm import token_files, tokens
 from stratalog.llm.packing import OpenWindows, op4_packing, pack, pack_documents
 from stratalog.llm.tokens import encoder, vocabulary_file
 
@@ -16,6 +16,11 @@ def reference(text):
     return encoder(vocabulary_file()).tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def equal(texts):
+    own = encoder(vocabulary_file())
+    return [x.tolist() for x in own.encode(texts)] == [x.tolist() for x in own.whole(texts)]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
@@ -23,14 +28,18 @@ def crc(ids):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="abé1' \n\t.é  ", max_size=20)))
 def test_units_equal_whole(texts):
-    own = encoder(vocabulary_file())
-    assert own.encode(texts) == own.whole(texts)
+    assert equal(texts)
 
 
 def test_documents_equal_whole(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    own = encoder(vocabulary_file())
-    assert own.encode(texts) == own.whole(texts)
+    assert equal(texts)
+
+
+def test_forgetting(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    for n in range(6):
+        assert equal([f"one two three{n} four, five. six{n}\u2003x \u00a0y", "one two"])
 
 
 @settings(max_examples=200, deadline=None)
