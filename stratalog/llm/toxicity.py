@@ -269,7 +269,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, beta = shared.value
-        for batch in batches:
+        for batch in slices(batches, text_col, CHUNK_BYTES):
             w = np.array([clause_weights(t, lexicon) for t in batch.column(names.index(text_col)).to_pylist()]).reshape(batch.num_rows, -1)
             p = 1 / (1 + np.exp(-np.clip(_features(w) @ beta, -30, 30))) if batch.num_rows else np.zeros(0)
             yield batch.filter(pa.array(p < least))
