@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 DEFAULT_NAMESPACE = "minecraft"
 #: Words that other loaders use for a dependency's kind.
 DEPENDENCY_KINDS = {
-    "required": "REQUIRED", "depends": "REQUIRED", "mandatory": "REQUIRED", "optional": "OPTIONAL", "recommends": "OPTIONAL", "suggests": "OPTIONAL",
-    "incompatible": "INCOMPATIBLE", "breaks": "INCOMPATIBLE", "conflicts": "INCOMPATIBLE", "embedded": "EMBEDDED", "included": "EMBEDDED",
+    "required": "REQUIRED", "require": "REQUIRED", "depends": "REQUIRED", "mandatory": "REQUIRED",
+    "optional": "OPTIONAL", "recommends": "OPTIONAL", "recommend": "OPTIONAL", "suggests": "OPTIONAL", "suggest": "OPTIONAL", "breaks_but_ok": "OPTIONAL",
+    "incompatible": "INCOMPATIBLE", "breaks": "INCOMPATIBLE", "conflicts": "INCOMPATIBLE", "conflict": "INCOMPATIBLE",
+    "embedded": "EMBEDDED", "include": "EMBEDDED", "included": "EMBEDDED", "bundled": "EMBEDDED",
 }
 
 

@@ -7,12 +7,12 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
-from stratalog.schema import ANALYSIS_KINDS, DATA_KINDS
+from stratalog.schema import ANALYSIS_KINDS, DATA_KINDS, plural
 
 from .sinks import FORMATS
 
 #: The kinds that a run takes when none are named.
-COMMON_KINDS = "mod item block entity recipe tag loot_table advancement lang fluid enchantment effect".split()
+COMMON_KINDS = "mod item block entity recipe tag loot_table advancement effect fluid enchantment creative_tab".split()
 GROUPS = {"all": [*DATA_KINDS, *ANALYSIS_KINDS], "data": DATA_KINDS, "analysis": ANALYSIS_KINDS, "common": COMMON_KINDS}
 
 
@@ -20,7 +20,7 @@ def kinds(text: str) -> list[str] | None:
     """Kinds of a list of tokens and groups, in the order of the vocabulary; None if any token is unknown."""
     wanted: set[str] = set()
     for token in filter(None, re.split(r"[,\s]+", text.strip().lower())):
-        known = GROUPS.get(token) or [k for k in GROUPS["all"] if token in (k, f"{k}s")]
+        known = GROUPS.get(token) or [k for k in GROUPS["all"] if token in (k, plural(k))]
         if not known:
             return None
         wanted.update(known)

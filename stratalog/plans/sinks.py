@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratalog.functions.names import json_number
+from stratalog.schema import plural
 
 
 def quoted(text: Column) -> Column:
@@ -66,7 +67,7 @@ def _yaml(df: DataFrame, kind: str) -> Column:
 def _toml(df: DataFrame, kind: str) -> Column:
     scalar = lambda n, c, t: F.concat(F.lit(f"{n} = "), _scalar(c, t, quoted))
     listed = lambda n, c: F.concat(F.lit(f"{n} = ["), _list(c, quoted, ", "), F.lit("]"))
-    return F.concat_ws("\n", F.lit(f"[[{kind}s]]"), *_fields(df, scalar, listed), F.lit(""))
+    return F.concat_ws("\n", F.lit(f"[[{plural(kind)}]]"), *_fields(df, scalar, listed), F.lit(""))
 
 
 def _xml_record(df: DataFrame, kind: str) -> Column:
@@ -87,11 +88,11 @@ def _json(df: DataFrame, kind: str) -> Column:
 
 FORMATS = {
     "ndjson": Format("ndjson", _json, lambda k: "", lambda k: ""),
-    "json": Format("json", _json, lambda k: f'{{"{k}s":[', lambda k: "]}", ","),
-    "yaml": Format("yaml", _yaml, lambda k: f"{k}s:", lambda k: ""),
+    "json": Format("json", _json, lambda k: f'{{"{plural(k)}":[', lambda k: "]}", ","),
+    "yaml": Format("yaml", _yaml, lambda k: f"{plural(k)}:", lambda k: ""),
     "toml": Format("toml", _toml, lambda k: "", lambda k: ""),
-    "xml": Format("xml", _xml_record, lambda k: f'<?xml version="1.0" encoding="UTF-8"?>\n<catalogue kind="{k}s">', lambda k: "</catalogue>"),
-    "td": Format("td", _td, lambda k: f"type tie<data>\n\n{k}s = [", lambda k: "]"),
+    "xml": Format("xml", _xml_record, lambda k: f'<?xml version="1.0" encoding="UTF-8"?>\n<catalogue kind="{plural(k)}">', lambda k: "</catalogue>"),
+    "td": Format("td", _td, lambda k: f"{plural(k)} = [", lambda k: "]"),
 }
 
 

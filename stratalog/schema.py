@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Category tokens, data first, then what analyses produce.
+#: Category tokens, data first, then what analyses produce; and plurals that take no s.
 DATA_KINDS = (
-    "mod item block entity recipe fluid enchantment potion effect attribute particle sound villager_profession poi_type "
-    "creative_tab block_entity menu stat tag loot_table advancement worldgen function lang asset debug biome dimension"
+    "item entity block recipe tag loot_table lang effect fluid enchantment damage_type biome dimension structure sound particle attribute "
+    "creative_tab block_entity_type potion feature recipe_type menu advancement worldgen function mod debug"
 ).split()
 ANALYSIS_KINDS = "namespace dependency conflict mixin".split()
+PLURALS = {"entity": "entities", "dependency": "dependencies", "worldgen": "worldgen", "debug": "debug"}
 GLOBAL = "_global"
 SEVERITIES = {"ERROR": 0, "WARN": 1, "INFO": 2}
 
+
+def plural(kind: str) -> str:
+    return PLURALS.get(kind, f"{kind}s")
+
+
 _S, _L, _I, _B = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 
 

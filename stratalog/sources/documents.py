@@ -242,7 +242,7 @@ def winners(files: DataFrame) -> DataFrame:
 
 
 #: Prefixes of asset paths that are always swept.
-ASSET_PREFIXES = ("textures/", "models/", "blockstates/", "sounds/", "lang/", "font/", "particles/", "shaders/", "atlases/")
+ASSET_PREFIXES = ("models/", "textures/", "blockstates/", "shaders/", "particles/", "atlases/", "font/", "texts/", "lang/")
 
 
 def sweep(files: DataFrame, declared: tuple[str, ...] = ()) -> DataFrame:
