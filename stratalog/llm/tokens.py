@@ -9,10 +9,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .words import _BYTE_CODE, _sums, mix, utf8
+from .words import _BYTE_CODE, _sums, mix, slices, utf8
 
 #: Distinct units that a worker remembers, at about 25 bytes each, and their ids in all; beyond that the longest unused half goes.
 REMEMBERED, MOST_IDS = 1_500_000, 16_000_000
+#: Bytes of text that are encoded at once.
+AT_ONCE = 1 << 20
 #: Letters below this point are letters to every version of Unicode.
 _LATIN_END = "ɐ"
 
@@ -115,8 +117,12 @@ class Encoder:
         self.hashes, self.start, self.size, self.used = self.hashes[keep], before, self.size[keep], self.used[keep]
 
     def encode(self, texts: pa.Array | pa.ChunkedArray | list) -> list[np.ndarray]:
-        """Ids of each text; a null text has none."""
+        """Ids of each text; a null text has none. Arrays of a few times ``AT_ONCE`` bytes are needed, or of the longest text."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        rows = pa.record_batch([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], names=["text"])
+        return [ids for part in slices([rows], "text", AT_ONCE) for ids in self._encode(part.column("text"))]
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         data, at = utf8(texts)
         if len(self.hashes) > REMEMBERED or len(self.ids) > MOST_IDS:
             self._forget()
