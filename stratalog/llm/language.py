@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small_batches
 from .words import mix, slices
 
 BUCKETS = 1 << 15
@@ -65,6 +66,7 @@ def _count(languages: dict[str, int]):
 
 def train(docs: DataFrame, text_col: str, lang_col: str, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the matrix of log-probabilities with each prior in its last column."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null")
     priors = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(priors) > MOST_LANGUAGES:
@@ -103,6 +105,7 @@ def score_texts(texts: list[str | None], names: list[str], matrix: np.ndarray, t
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", temperature: float = 0.5) -> DataFrame:
     """Per row (id_col, lang_pred, score)."""
+    small_batches(docs.sparkSession)
     names, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
 

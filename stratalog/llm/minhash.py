@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import partitions, staged, with_key
+from .staging import partitions, small_batches, staged, with_key
 from .words import _sums, mix, slices, split_words, word_hashes
 
 SYMBOLS, CHUNK, MOST_ERRORS = 32, 4, 14
@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if percent < 85:
         raise ValueError("the signature threshold is set for 85 percent and more")
+    small_batches(docs.sparkSession)
     keyed = docs if key_col else with_key(docs, id_col)
     rows = keyed.select(F.col(key_col or "_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(rows.mapInArrow(_sign(width, CHUNK_BYTES), "key long, id long, n_shingles long, digest binary, signature binary"), "signed")

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import small_batches
 from .tokens import encoder, vocabulary_file
 from .words import slices
 
@@ -147,6 +148,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``ids`` holds the piece's token ids as little-endian 32-bit integers; a sequence is its
     pieces by offset. ``tokenizer`` is a vocabulary file that every executor can read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
     return rows.mapInArrow(_pack_batches(tokenizer or vocabulary_file(), capacity, end, chunk_bytes), _PIECES).withColumnRenamed("id", id_col)

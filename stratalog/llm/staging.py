@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB for Python tasks, where the session has Spark's default of 64 MB.
+
+    Spark holds a batch on both sides of the pipe, for each task of an executor.
+    """
+    if spark.conf.get(_BATCH, None) in ("64m", "64MB", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, "8m")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/stratalog/{label}-{uuid.uuid4().hex}"
 

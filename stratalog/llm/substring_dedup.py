@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import partitions, staged
+from .staging import partitions, small_batches, staged
 from .words import slices, split_words, windows
 
 #: Bytes of text that a task hashes at once.
@@ -183,6 +183,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     and a smaller start; windows are judged on the input.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     width_p = partitions(spark)
     buckets, parts = max(128, 2 * width_p), max(64, width_p) | 1
     rows = keyed(docs, id_col, text_col)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import new_path, partitions, staged
+from .staging import new_path, partitions, small_batches, staged
 from .tokens import encoder, vocabulary_file
 from .words import slices
 
@@ -141,6 +141,7 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reading it never writes again.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
     target = folder or new_path(spark, "token-files")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import shingle_sets
-from .staging import staged
+from .staging import small_batches, staged
 from .words import slices
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
@@ -232,6 +232,7 @@ _WEIGHED = "id long, w array<double>, toxic int, share double"
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    small_batches(docs.sparkSession)
     rows = sample(docs, labels, id_col, text_col, label_col)
     lexicon = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
