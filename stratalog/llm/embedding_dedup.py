@@ -55,6 +55,8 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    if not x.shape[1]:  # the right half of a single component
+        return np.zeros((1, 0))
     x = np.unique(x, axis=0)
     centroids = x[rng.permutation(len(x))[:k]]
     for _ in range(rounds):
@@ -69,7 +71,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
 def fit_codebooks(x: np.ndarray, centroids: int, threshold: float, recall: float, seed: int = 10) -> Codebooks:
     """Codebooks of unit vectors, and the margin at which ``recall`` of partners at the threshold are found."""
     rng = np.random.default_rng(seed)
-    half = x.shape[1] // 2
+    half = -(-x.shape[1] // 2)
     left, right = (kmeans(h, min(centroids, len(h)), 8, rng) for h in (x[:, :half], x[:, half:]))
     noise = rng.standard_normal(x.shape)
     noise -= (noise * x).sum(axis=1, keepdims=True) * x
@@ -88,7 +90,7 @@ def traverse(x: np.ndarray, books: Codebooks) -> tuple[np.ndarray, np.ndarray, n
     In sorted order of both halves, the cells within the margin of a vector are a staircase: for
     each left centroid a run of the right ones, which gets shorter as the left one gets farther.
     """
-    half = x.shape[1] // 2
+    half = -(-x.shape[1] // 2)
     (a, ia), (b, ib) = ((np.sort(d, axis=1), np.argsort(d, axis=1, kind="stable")) for d in (_distances(x[:, :half], books.left), _distances(x[:, half:], books.right)))
     limit = a[:, 0] + b[:, 0] + books.margin
     who, cells = [], []

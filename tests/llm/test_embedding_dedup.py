@@ -57,7 +57,7 @@ def test_full_margin_is_exact_over_many_blocks(spark, monkeypatch):
 
 
 def test_edges(spark):
-    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [-0.0, 3.0], 1), (11, [0.0, 3.0], 1), (11, [0.0, 3.0], 1), (None, [0.0, 9.0], 1), (13, [], 1), (14, [float("inf"), 1.0], 1)]
+    rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1), (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [-0.0, 3.0], 1), (11, [0.0, 3.0], 1), (11, [0.0, 3.0], 1), (None, [0.0, 9.0], 1), (13, [], 1), (14, [float("inf"), 1.0], 1), (15, [2.0], 1), (16, [5.0], 1), (17, [-5.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("cls", F.lit("x")).withColumn("cell", F.lit(0))
     assert result(ed.near_duplicate_vectors(df, recall=1.0)) == brute(rows)
     assert ed.near_duplicate_vectors(df.limit(0)).count() == 0
