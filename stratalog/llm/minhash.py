@@ -1,12 +1,14 @@
 """Operator 6: MinHash near-dedup by a multi-index Hamming join.
 
 Each text gets its set of word shingles (64-bit Rabin-Karp hashes), a 128-bit digest of the set,
-and a signature of 32 symbols, the low 16 bits of one MinHash each. Two sets with similarity J
-differ in a symbol with probability 1 - J; at 0.85, over 14 of 32 differ for 2 pairs in 100,000.
-
-Equal sets are collapsed first: the rest works on classes. Signatures are cut into 8 chunks of 4
-symbols. If at most 14 symbols differ, one chunk has at most one error (8 * 2 > 14), so two such
-signatures share one of the 32 keys that leave out one symbol of one chunk: no pair under the
+and a signature of symbols, the low 16 bits of one MinHash each. Two sets with similarity J differ
+in a symbol with probability 1 - J. The least similarity sets the number of symbols and how many
+may differ (``signature_size``): at 0.85, over 14 of 32 differ for 2 pairs in 100,000; at 0.80,
+over 19 of 40 do.
+
+Equal sets are collapsed first: the rest works on classes. Signatures are cut into chunks of 4
+symbols. If less than half of the symbols differ, one chunk has at most one error, so two such
+signatures share one of the keys that leave out one symbol of one chunk: no pair under the
 threshold is lost. Keys with several classes become cells of at most two blocks of ``BLOCK``
 classes; a cell compares signatures in numpy and returns a spanning forest of the pairs under
 the threshold, never the pairs. The components of that graph hold every link; within each,
@@ -24,6 +26,8 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,31 @@ from .graph import components
 from .staging import partitions, small_batches, staged, with_key
 from .words import _sums, mix, slices, split_words, word_hashes
 
-SYMBOLS, CHUNK, MOST_ERRORS = 32, 4, 14
+SYMBOLS, CHUNK, MOST_ERRORS = 32, 4, 14  # of signatures for 85 percent and more
+#: Longest signature, and the share of pairs at the least similarity that a signature may lose.
+MOST_SYMBOLS, LOSS = 128, 2.5e-5
+#: Similarity from which on the pipeline's stage drops copies; op6's contract is 85.
+STAGE_PERCENT = 80
 BLOCK = 256
 CHUNK_BYTES = 2 << 20
-_SALT = np.random.Generator(np.random.PCG64(606)).integers(0, 2**64, 2 * SYMBOLS + 2, dtype=np.uint64)
+_SALT = np.random.Generator(np.random.PCG64(606)).integers(0, 2**64, 2 * MOST_SYMBOLS + 2, dtype=np.uint64)
+
+
+@lru_cache(maxsize=None)
+def signature_size(percent: int) -> tuple[int, int]:
+    """Symbols of a signature and how many may differ, so that few pairs of that similarity differ in more."""
+    p = 1 - percent / 100
+    for n in range(SYMBOLS, MOST_SYMBOLS + 1, CHUNK):
+        more = 0.0  # the probability that over e symbols differ
+        for e in range(n - 1, -1, -1):
+            more += comb(n, e + 1) * p ** (e + 1) * (1 - p) ** (n - e - 1)
+            if more > LOSS:
+                break
+        else:
+            e = -1
+        if e + 1 < n // 2:  # two errors in each chunk are n // 2
+            return n, max(e + 1, MOST_ERRORS)
+    raise ValueError(f"no signature of {MOST_SYMBOLS} symbols tells pairs of {percent} percent")
 
 
 def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,28 +86,28 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndar
     return h[new], np.r_[0, np.cumsum(new)][cut]
 
 
-def signatures(h: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of nonempty sets: 128-bit digests, and SYMBOLS 16-bit symbols each."""
+def signatures(h: np.ndarray, cut: np.ndarray, n: int = SYMBOLS) -> tuple[np.ndarray, np.ndarray]:
+    """Of nonempty sets: 128-bit digests, and n 16-bit symbols each."""
     first = cut[:-1]
     digest = np.empty((len(first), 2), np.uint64)
-    symbols = np.empty((len(first), SYMBOLS), np.uint16)
+    symbols = np.empty((len(first), n), np.uint16)
     with np.errstate(over="ignore"):
         for k in range(2):
-            digest[:, k] = np.add.reduceat(mix(h ^ _SALT[2 * SYMBOLS + k]), first)
-        for k in range(SYMBOLS):
-            x = (h ^ _SALT[k]) * (_SALT[SYMBOLS + k] | np.uint64(1))
+            digest[:, k] = np.add.reduceat(mix(h ^ _SALT[2 * MOST_SYMBOLS + k]), first)
+        for k in range(n):
+            x = (h ^ _SALT[k]) * (_SALT[MOST_SYMBOLS + k] | np.uint64(1))
             x ^= x >> np.uint64(32)
             symbols[:, k] = mix(np.minimum.reduceat(x, first)) & np.uint64(0xFFFF)
     return digest, symbols
 
 
-def _sign(width: int, most: int):
+def _sign(width: int, most: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", most):
             h, cut = shingle_sets(batch.column("text"), width)
             size = np.diff(cut)
             full = size > 0
-            digest, symbols = signatures(h, np.r_[cut[:-1][full], cut[-1]])
+            digest, symbols = signatures(h, np.r_[cut[:-1][full], cut[-1]], n)
             where = np.cumsum(full) - 1
             signs, digests = ([x[i].tobytes() if f else None for i, f in zip(where, full, strict=True)] for x in (symbols, digest))
             yield pa.record_batch([batch.column("key"), batch.column("id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())], names=["key", "id", "n_shingles", "digest", "signature"])
@@ -96,20 +121,22 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 20_000):
             part = batch.slice(at, 20_000)
             s = _symbols(part.column("signature")).astype(np.uint64)
-            keys = np.empty((len(s), SYMBOLS), np.uint64)
-            for k in range(SYMBOLS):
+            n = s.shape[1]
+            keys = np.empty((len(s), n), np.uint64)
+            for k in range(n):
                 own = [j for j in range(k - k % CHUNK, k - k % CHUNK + CHUNK) if j != k]
                 x = np.full(len(s), k, np.uint64)
                 for j in own:
                     x = x << np.uint64(16) | s[:, j]  # the key's number and three symbols: 64 bits at most
                 keys[:, k] = x
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("cls")), SYMBOLS))], names=["key", "cls"])
+            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("cls")), n))], names=["key", "cls"])
 
 
 def _symbols(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+    found = column.to_pylist()
+    return np.frombuffer(b"".join(found), dtype=np.uint16).reshape(len(found), -1)
 
 
 class Forest:
@@ -176,32 +203,36 @@ def _edges(cls: np.ndarray, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
     return cls[child], cls[root[child]]
 
 
-def _near_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forests of the pairs whose signatures differ in at most MOST_ERRORS symbols.
+def _near_cells(most_errors: int):
+    """Forests of the pairs whose signatures differ in at most so many symbols.
 
     A pair that shares several keys counts in the first of them only.
     """
-    out, rows = [], 0
-    for cell in grouped(batches, ("key", "i", "j")):
-        s, cls, own = _symbols(cell.column("signature")), cell.column("cls").to_numpy(), cell.column("own").to_numpy()
-        same_block = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
-        number = (cell.column("key")[0].as_py() >> 48) & 0xFFFF
-        chunk = number // CHUNK
-        forest = Forest(len(cls))
-        for x in range(len(cls) - 1):
-            equal = np.count_nonzero((s[x + 1 :] == s[x]).reshape(-1, SYMBOLS // CHUNK, CHUNK), axis=2)
-            fit = equal.sum(axis=1) >= SYMBOLS - MOST_ERRORS
-            fit &= (equal[:, :chunk] < CHUNK - 1).all(axis=1) & ((equal[:, chunk] == CHUNK - 1) | (number % CHUNK == 0))
-            if not same_block:
-                fit &= own[x + 1 :] != own[x]
-            for k in (x + 1 + np.flatnonzero(fit)).tolist():
-                forest.join(x, k)
-        out.append(_edges(cls, forest))
-        rows += len(out[-1][0])
-        if rows > 50_000:
-            yield _forest_batch(out)
-            out, rows = [], 0
-    yield _forest_batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = [], 0
+        for cell in grouped(batches, ("key", "i", "j")):
+            s, cls, own = _symbols(cell.column("signature")), cell.column("cls").to_numpy(), cell.column("own").to_numpy()
+            same_block = cell.column("i")[0].as_py() == cell.column("j")[0].as_py()
+            number = (cell.column("key")[0].as_py() >> 48) & 0xFFFF
+            chunk = number // CHUNK
+            forest = Forest(len(cls))
+            for x in range(len(cls) - 1):
+                equal = np.count_nonzero((s[x + 1 :] == s[x]).reshape(-1, s.shape[1] // CHUNK, CHUNK), axis=2)
+                fit = equal.sum(axis=1) >= s.shape[1] - most_errors
+                fit &= (equal[:, :chunk] < CHUNK - 1).all(axis=1) & ((equal[:, chunk] == CHUNK - 1) | (number % CHUNK == 0))
+                if not same_block:
+                    fit &= own[x + 1 :] != own[x]
+                for k in (x + 1 + np.flatnonzero(fit)).tolist():
+                    forest.join(x, k)
+            out.append(_edges(cls, forest))
+            rows += len(out[-1][0])
+            if rows > 50_000:
+                yield _forest_batch(out)
+                out, rows = [], 0
+        yield _forest_batch(out)
+
+    return run
 
 
 def _set_rows(width: int, most: int):
@@ -233,7 +264,7 @@ class Overlaps:
         return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for y in ys], dtype=np.int64)
 
 
-def _confirm_cells(percent: int):
+def _confirm_cells(percent: int, most_errors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for cell in grouped(batches, ("group", "i", "j")):
@@ -246,7 +277,7 @@ def _confirm_cells(percent: int):
             for x in range(len(cls) - 1):
                 y = np.arange(x + 1, len(cls))
                 fit = 100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])
-                fit &= np.count_nonzero(s[y] != s[x], axis=1) <= MOST_ERRORS
+                fit &= np.count_nonzero(s[y] != s[x], axis=1) <= most_errors
                 if not same_block:
                     fit &= own[y] != own[x]
                 y = y[fit]
@@ -267,27 +298,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row (id_col, n_shingles, component_id, kept); with ``key_col``, that column of docs as well.
 
     Links join rows whose shingle sets have 100 * intersection >= percent * union; component_id is
-    the least id reachable. ``percent`` below 85 would want other signature parameters.
+    the least id reachable. Signatures grow as ``percent`` falls; below what MOST_SYMBOLS serve
+    (about 70) it is refused.
     """
-    if percent < 85:
-        raise ValueError("the signature threshold is set for 85 percent and more")
+    n, most_errors = signature_size(percent)
     small_batches(docs.sparkSession)
     keyed = docs if key_col else with_key(docs, id_col)
     rows = keyed.select(F.col(key_col or "_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = staged(rows.mapInArrow(_sign(width, CHUNK_BYTES), "key long, id long, n_shingles long, digest binary, signature binary"), "signed")
+    signed = staged(rows.mapInArrow(_sign(width, CHUNK_BYTES, n), "key long, id long, n_shingles long, digest binary, signature binary"), "signed")
     classes = staged(signed.filter("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("key").alias("cls"), F.min("id").alias("least"), F.first("signature").alias("signature")), "classes")
 
     keys = staged(classes.select("cls", "signature").mapInArrow(_keys, "key long, cls long"), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
     members = keys.join(shared, "key").join(classes.select("cls", "signature"), "cls")
-    near = cells(members, "key", "count", BLOCK).select("key", "i", "j", "own", "cls", "signature").mapInArrow(_near_cells, "a long, b long")
+    near = cells(members, "key", "count", BLOCK).select("key", "i", "j", "own", "cls", "signature").mapInArrow(_near_cells(most_errors), "a long, b long")
     groups = staged(components(near, "near"), "groups")
 
     counts = groups.groupBy("root").agg(F.count("*").alias("count"))
     members = groups.join(counts, "root").select(F.col("node").alias("cls"), F.col("root").alias("group"), "count").join(classes.select("cls", "signature"), "cls")
     texts = rows.select(F.col("key").alias("cls"), "text").join(members, "cls")
     sets = texts.select("cls", "group", "count", "signature", "text").mapInArrow(_set_rows(width, CHUNK_BYTES), "cls long, group long, count long, signature binary, shingles binary")
-    linked = cells(sets, "group", "count", BLOCK // 2).select("group", "i", "j", "own", "cls", "signature", "shingles").mapInArrow(_confirm_cells(percent), "a long, b long")
+    linked = cells(sets, "group", "count", BLOCK // 2).select("group", "i", "j", "own", "cls", "signature", "shingles").mapInArrow(_confirm_cells(percent, most_errors), "a long, b long")
     roots = components(linked, "links")
 
     placed = classes.join(roots, classes["cls"] == roots["node"], "left").select("n_shingles", "digest", "least", F.coalesce("root", "cls").alias("root"))
@@ -308,8 +339,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, percent=STAGE_PERCENT)

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import minhash
@@ -102,3 +103,26 @@ def test_components(spark):
             want[x] = 100 if x >= 100 else max(0, (x - 1) // 20) * 20 + 1
     want[5] = 1
     assert got == want
+
+
+def test_signature_size_follows_percent():
+    assert minhash.signature_size(85) == (minhash.SYMBOLS, minhash.MOST_ERRORS) == minhash.signature_size(95)
+    assert minhash.signature_size(80) == (40, 19)
+    for percent in range(71, 100):
+        n, most = minhash.signature_size(percent)
+        assert most < n // 2 and n % minhash.CHUNK == 0
+    with pytest.raises(ValueError):
+        minhash.signature_size(60)
+
+
+def test_stage_drops_pairs_from_80_percent(spark):
+    rows = []
+    for i in range(60):
+        w = [f"w{i}_{j}" for j in range(84)]  # 80 shingles; m words fewer leave 80 - m of them
+        rows += [(4 * i + k, " ".join(w[: len(w) - m])) for k, m in ((0, 0), (1, 14))]  # 66 / 80 = 0.825
+        far = [f"v{i}_{j}" for j in range(84)]
+        rows += [(4 * i + k, " ".join(far[: len(far) - m])) for k, m in ((2, 0), (3, 17))]  # 63 / 80
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in minhash.dedup_stage(spark, df, "").collect()}
+    assert got == {d for d, _ in rows if d % 4 != 1}
+    assert minhash.drop_near_duplicates(df).count() == len(rows)
