@@ -295,7 +295,8 @@ def _confirm_cells(percent: int, most_errors: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 85, key_col: str | None = None) -> DataFrame:
-    """Per row (id_col, n_shingles, component_id, kept); with ``key_col``, that column of docs as well.
+    """Per row (id_col, n_shingles, component_id, kept); with ``key_col``, that column of docs as well,
+    and ``root``, which tells components apart where ids are null or repeat.
 
     Links join rows whose shingle sets have 100 * intersection >= percent * union; component_id is
     the least id reachable. Signatures grow as ``percent`` falls; below what MOST_SYMBOLS serve
@@ -323,9 +324,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     placed = classes.join(roots, classes["cls"] == roots["node"], "left").select("n_shingles", "digest", "least", F.coalesce("root", "cls").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(placed.join(least, "root").select("n_shingles", "digest", "component_id"), "named")
+    named = staged(placed.join(least, "root").select("n_shingles", "digest", "root", "component_id"), "named")
     done = signed.join(named, ["n_shingles", "digest"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
-    result = done.select(F.col("id").alias(id_col), *([F.col("key").alias(key_col)] if key_col else []), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    result = done.select(F.col("id").alias(id_col), *([F.col("key").alias(key_col), "root"] if key_col else []), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     return result
 
 
@@ -333,7 +334,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component: the least id's, of several such the least row."""
     keyed = with_key(docs, id_col)
     found = near_duplicates(keyed, id_col, text_col, key_col="_key", **options)
-    full = found.filter("kept and n_shingles > 0").groupBy("component_id").agg(F.min("_key").alias("_key")).select("_key")
+    full = found.filter("kept and n_shingles > 0").groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
     empty = found.filter("n_shingles = 0").select("_key")
     return keyed.join(full.union(empty), "_key", "left_semi").select(*docs.columns)
 

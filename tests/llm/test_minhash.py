@@ -126,3 +126,11 @@ def test_stage_drops_pairs_from_80_percent(spark):
     got = {r.doc_id for r in minhash.dedup_stage(spark, df, "").collect()}
     assert got == {d for d, _ in rows if d % 4 != 1}
     assert minhash.drop_near_duplicates(df).count() == len(rows)
+
+
+def test_unrelated_texts_under_null_or_repeated_ids_stay(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (7, "m n o p q r"), (7, "s t u v w x"), (7, "s t u v w x"), (8, "s t u v w x"), (None, None), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(minhash.near_duplicates(df)) == brute(rows)
+    kept = minhash.drop_near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted({r for r in rows if r[0] != 8}, key=str)
