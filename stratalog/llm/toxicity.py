@@ -3,9 +3,10 @@
 A lexicon transducer maps the words of a clause to classes: insult, threat, target, negation,
 report, other. Four machines read classes: negation and reported speech remember whether their
 words came before (negation for a few words, a report to the clause's end), the target machine
-whether the clause addresses someone, the scoring machine turns insults and threats into weight.
-Their composition is one machine whose output for a clause is weight by context; single words
-outside a matched clause count for nothing else.
+whether the clause addresses someone before the word or, read from right to left, after it; the
+scoring machine turns insults and threats into weight. Their composition is one machine whose
+output for a clause is weight by context; single words outside a matched clause count for nothing
+else.
 
 Insults and threats are a short general list and what labelled rows teach: words, and beginnings
 of words, that occur in toxic training texts far more often than chance explains. A logistic
@@ -82,6 +83,18 @@ class Machine:
 
         return Machine((self.start, other.start), step)
 
+    def backwards(self, symbols: list) -> list:
+        """Its outputs, in the order of the symbols, where it reads them from the last to the first."""
+        state, out = self.start, []
+        for symbol in reversed(symbols):
+            state, x = self.step(state, symbol)
+            out.append(x)
+        return out[::-1]
+
+    def beside(self) -> Machine:
+        """The same machine over pairs, of which it reads the first."""
+        return Machine(self.start, lambda state, pair: self.step(state, pair[0]))
+
 
 def _negation(left: int, symbol: int):
     left = REACH if symbol == NEGATION else max(0, left - 1)
@@ -101,7 +114,8 @@ PLAIN, AIMED, NEGATED, REPORTED, THREATS = range(5)
 
 
 def _score(state: None, read):
-    symbol, ((negated, reported), aimed) = read
+    (symbol, follows), ((negated, reported), before) = read
+    aimed = before or follows
     if symbol == THREAT and aimed and not negated:
         return None, THREATS
     if symbol != INSULT:
@@ -109,7 +123,9 @@ def _score(state: None, read):
     return None, NEGATED if negated else REPORTED if reported else AIMED if aimed else PLAIN
 
 
-GRAMMAR = (Machine(0, _negation) | Machine(False, _report) | Machine(False, _target)).then(Machine(None, _score))
+TARGETS = Machine(False, _target)
+#: Reads pairs of a word's class and whether a target follows, which TARGETS tells backwards.
+GRAMMAR = (Machine(0, _negation) | Machine(False, _report) | TARGETS).beside().then(Machine(None, _score))
 
 
 class Lexicon(NamedTuple):
@@ -145,9 +161,9 @@ def clause_weights(text: str | None, lexicon: Lexicon) -> list[float]:
         if marks.keys().isdisjoint(words):
             continue
         state, weight = GRAMMAR.start, 0.0
-        for w in words:
-            symbol = lexicon.words[w][0] if w in lexicon.words else INSULT if w in marks else OTHER
-            state, context = GRAMMAR.step(state, symbol)
+        symbols = [lexicon.words[w][0] if w in lexicon.words else INSULT if w in marks else OTHER for w in words]
+        for w, read in zip(words, zip(symbols, TARGETS.backwards(symbols), strict=True), strict=True):
+            state, context = GRAMMAR.step(state, read)
             if context is not None:
                 out[context] += marks[w]
                 weight += marks[w]

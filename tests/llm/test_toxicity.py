@@ -21,6 +21,15 @@ def test_grammar():
     assert weights("idiot moron. scum")[-2:] == [8.0, 2.0]
 
 
+def test_target_after_threat_or_insult():
+    for text in ("I will kill you", "we will destroy them", "wir vernichten euch", "ich will schlagen, dich und sie", "on va tuer vous tous", "je vais brûler votre maison", "vamos a destruir a ustedes", "voy a matar a ellos"):
+        assert weights(text)[tox.THREATS] == 4 == weights(text)[-2], text
+    assert weights("we will not kill you")[tox.THREATS] == 0 == weights("we kill weeds. you see")[tox.THREATS]
+    assert weights("idiots, all of you")[tox.AIMED] == 4 and weights("idiots. all of you")[tox.PLAIN] == 4
+    assert weights("not idiots, you")[tox.NEGATED] == 4 and weights("he said idiots, you")[tox.REPORTED] == 4
+    assert weights("kill you kill")[tox.THREATS] == 8
+
+
 def test_stems():
     lexicon = tox.Lexicon({}, {"gruff": 3.0})
     assert tox.clause_weights("gruffly gruff", lexicon)[tox.PLAIN] == 3.0
