@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .staging import partitions, small_batches, staged, with_key
+from .staging import fresh, partitions, small_batches, staged, with_key
 from .words import _sums, mix, slices, split_words, word_hashes
 
 SYMBOLS, CHUNK, MOST_ERRORS = 32, 4, 14  # of signatures for 85 percent and more
@@ -304,10 +304,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     n, most_errors = signature_size(percent)
     small_batches(docs.sparkSession)
-    keyed = docs if key_col else with_key(docs, id_col)
-    rows = keyed.select(F.col(key_col or "_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    key = key_col or fresh(docs, "_key")
+    keyed = docs if key_col else with_key(docs, id_col, key)
+    rows = keyed.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(rows.mapInArrow(_sign(width, CHUNK_BYTES, n), "key long, id long, n_shingles long, digest binary, signature binary"), "signed")
-    classes = staged(signed.filter("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("key").alias("cls"), F.min("id").alias("least"), F.first("signature").alias("signature")), "classes")
+    classes = staged(signed.filter("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("key").alias("cls"), F.min_by("id", "key").alias("least"), F.first("signature").alias("signature")), "classes")
 
     keys = staged(classes.select("cls", "signature").mapInArrow(_keys, "key long, cls long"), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("count")).filter("count > 1")
@@ -322,9 +323,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = cells(sets, "group", "count", BLOCK // 2).select("group", "i", "j", "own", "cls", "signature", "shingles").mapInArrow(_confirm_cells(percent, most_errors), "a long, b long")
     roots = components(linked, "links")
 
-    placed = classes.join(roots, classes["cls"] == roots["node"], "left").select("n_shingles", "digest", "least", F.coalesce("root", "cls").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(placed.join(least, "root").select("n_shingles", "digest", "root", "component_id"), "named")
+    placed = classes.join(roots, classes["cls"] == roots["node"], "left").select("n_shingles", "digest", F.coalesce("root", "cls").alias("root"))
+    # keys ascend with ids, so a component's least class holds its least id
+    named = staged(placed.join(classes.select(F.col("cls").alias("root"), F.col("least").alias("component_id")), "root"), "named")
     done = signed.join(named, ["n_shingles", "digest"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")))
     result = done.select(F.col("id").alias(id_col), *([F.col("key").alias(key_col), "root"] if key_col else []), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
     return result
@@ -332,11 +333,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component: the least id's, of several such the least row."""
-    keyed = with_key(docs, id_col)
-    found = near_duplicates(keyed, id_col, text_col, key_col="_key", **options)
-    full = found.filter("kept and n_shingles > 0").groupBy("root").agg(F.min("_key").alias("_key")).select("_key")
-    empty = found.filter("n_shingles = 0").select("_key")
-    return keyed.join(full.union(empty), "_key", "left_semi").select(*docs.columns)
+    key = fresh(docs, "_key")
+    keyed = with_key(docs, id_col, key)
+    found = near_duplicates(keyed, id_col, text_col, key_col=key, **options)
+    # a component's root is its row of the least key, so of the least id
+    stays = found.filter((F.col(key) == F.col("root")) | (F.col("n_shingles") == 0)).select(key)
+    return keyed.join(stays, key, "left_semi").select(*docs.columns)
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
@@ -344,4 +346,10 @@ def op6_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` with one row of each component from similarity ``STAGE_PERCENT``: the least id's.
+
+    Rows with null or empty text link with nothing and stay; rows that share an id, or have none,
+    are rows of their own, of which equal ones link; other columns stay as they are, whatever
+    their names; an empty table stays empty.
+    """
     return drop_near_duplicates(docs, percent=STAGE_PERCENT)

@@ -12,14 +12,16 @@ them to blocks, and slots and documents meet by (source, block). The permutation
 network on a grid that barely exceeds the number of blocks; a number that leaves the range walks
 on along its cycle, so it is one to one.
 
-Scale: documents are numbered within (source, hash bucket), never within a whole source, and
-slots are made from runs of at most ``shard_slots``, so a source with a third of all rows is
-spread over all tasks. Windows without such buckets run over sources or over shards of a source.
+Scale: documents are numbered within (source, hash bucket), never within a whole source; the
+number of buckets follows the number of rows, so nothing hangs on a setting of the cluster. Slots
+are made from runs of at most ``shard_slots``, so a source with a third of all rows is spread over
+all tasks. Windows without such buckets run over sources, over buckets of a source (a row for
+``BUCKET_ROWS`` documents) or over groups of a source's shards (a row for ``SHARD_GROUP`` shards).
 
 Edge cases: a null text has size 0; a null source is a source of its own, after all others; a
-source without words has target 0; rows that repeat or have null ids count one by one; an empty
-table gives an empty result. A document of no words takes none. Other columns are carried by
-``mix_documents`` and otherwise ignored.
+source without words has target 0; rows that repeat or have null ids count one by one, in an order
+of their contents; an empty table gives an empty result. A document of no words takes none. Other
+columns are carried by ``mix_documents`` and otherwise ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import partitions, staged, with_key
+from .staging import fresh, partitions, staged, with_key, with_length
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR = r"[\x20\x09-\x0D]+"
+BUCKET_ROWS, LEAST_BUCKETS, SHARD_GROUP = 50_000, 256, 1024
 
 
 class Mix(NamedTuple):
@@ -87,12 +90,22 @@ def permuted(x: Column, n: Column, *salt: Column) -> Column:
     return F.when(first < n, first).otherwise(walk)
 
 
-def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, block_words: int, shard_slots: int, seed: int) -> Mix:
-    """Lay out blocks and slots; ``docs`` has the key column of ``with_key``."""
+def upto(rows: DataFrame, by: str, order: str, value: str, group: int) -> DataFrame:
+    """``rows`` with ``first``, the sum of the value over rows of lower order: sums of groups of orders, then within each."""
+    rows = rows.withColumn("_group", F.floor(F.col(order) / group))
+    sums = rows.groupBy(by, "_group").agg(F.sum(value).alias("_sum"))
+    base = F.sum("_sum").over(Window.partitionBy(by).orderBy("_group").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")
+    within = F.sum(value).over(Window.partitionBy(by, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    rows = rows.withColumn("_within", within).join(sums.select(by, "_group", base.alias("_base")), [by, "_group"])
+    return rows.withColumn("first", F.col("_base") + F.col("_within")).drop("_group", "_within", "_base")
+
+
+def plan(docs: DataFrame, key_col: str, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, block_words: int, shard_slots: int, seed: int) -> Mix:
+    """Lay out blocks and slots; ``docs`` has ``key_col`` of ``with_key``."""
     width = partitions(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(256, 2 * width))).cast("int"))
+    rows = staged(docs.select(F.col(key_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS))).cast("int"))
 
     runs = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     by_source = Window.partitionBy("source")
@@ -125,7 +138,7 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     last = F.least((F.col("run") + 1) * shard_slots, F.col("n_slots")) - 1
     thrown = thrown.select("rank", "shards", F.explode(F.sequence(F.col("run") * shard_slots, last)).alias("k"))
     drawn = thrown.groupBy("rank", lot.alias("shard")).agg(F.count("*").alias("count"))
-    drawn = drawn.withColumn("first", F.sum("count").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count"))
+    drawn = upto(staged(drawn, "drawn"), "rank", "shard", "count", SHARD_GROUP)
     slots = drawn.join(filled.select("rank", "source_size", "full", "n", "n_slots", "part"), "rank").repartition(width, "rank", "shard")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("n"))).withColumn("at", F.col("slot") % F.col("n"))
@@ -139,13 +152,19 @@ def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
 _DEFAULTS = {"weights": (3.0, 1.0, 2.0), "share": 1.5, "most": 2.0, "block_words": 64, "shard_slots": 4096, "seed": 7}
 
 
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, options: dict) -> tuple[DataFrame, str, Mix]:
+    key = fresh(docs, "_key")
+    keyed = with_key(docs, id_col, key)
+    return keyed, key, plan(keyed, key, id_col, text_col, source_col, **{**_DEFAULTS, **options})
+
+
 def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture: (shard, position, id_col, pass, word, words), runs of words in output order.
 
     ``position`` orders the blocks of a shard pseudorandomly; a block's runs share it.
     """
     seed = {**_DEFAULTS, **options}["seed"]
-    mix = plan(with_key(docs, id_col), id_col, text_col, source_col, **{**_DEFAULTS, **options})
+    *_, mix = _planned(docs, id_col, text_col, source_col, options)
     order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "rank", "slot"), "rank", "slot")
     slots = mix.slots.withColumn("position", F.row_number().over(order))
     words = F.least("to", "take") - F.col("from")
@@ -154,8 +173,7 @@ def placements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Per document (id_col, size, source_size, target, taken): the words that the mixture takes of it."""
-    mix = plan(with_key(docs, id_col), id_col, text_col, source_col, **{**_DEFAULTS, **options})
-    length = F.lit({**_DEFAULTS, **options}["block_words"])
+    *_, mix = _planned(docs, id_col, text_col, source_col, options)
     uses = mix.slots.groupBy("rank", "block").agg(F.collect_list("take").alias("takes"))  # at most one a pass
     got = F.aggregate("takes", F.lit(0).cast("long"), lambda s, t: s + F.greatest(F.least(F.col("to"), t) - F.col("from"), F.lit(0)))
     words = mix.fragments.join(uses, ["rank", "block"]).select("key", got.alias("got")).groupBy("key").agg(F.sum("got").alias("taken"))
@@ -168,18 +186,20 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Each pass over a document adds its words once more, after a line break; a pass that takes
     the whole document adds its text as it is.
     """
-    keyed = with_key(docs, id_col)
-    mix = plan(keyed, id_col, text_col, source_col, **{**_DEFAULTS, **options})
+    keyed, key, mix = _planned(docs, id_col, text_col, source_col, options)
     words = F.least("to", "take") - F.col("from")
     pieces = mix.slots.join(mix.fragments, ["rank", "block"]).withColumn("n", words).filter("n > 0")
     passes = pieces.groupBy("key", "pass").agg(F.first("size").alias("size"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("word", "n"))).alias("runs"))
-    passes = passes.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pass", (F.col("n") == F.col("size")).alias("whole"), "runs"))).alias("passes"))
-    split = F.filter(F.split(text_col, SEPARATOR), lambda w: w != "")
-    part = lambda p: F.when(p["whole"], F.col(text_col)).otherwise(F.array_join(F.flatten(F.transform(p["runs"], lambda r: F.slice(F.col("_words"), (r["word"] + 1).cast("int"), r["n"].cast("int")))), " "))
-    joined = keyed.join(passes, keyed["_key"] == passes["key"])
-    partly = F.exists("passes", lambda p: ~p["whole"])
-    joined = joined.withColumn("_words", F.when(partly, split))
-    return joined.withColumn(text_col, F.array_join(F.transform("passes", part), "\n")).select(*docs.columns)
+    own, split = fresh(docs, "_passes"), fresh(docs, "_words")
+    passes = passes.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("pass", (F.col("n") == F.col("size")).alias("whole"), "runs"))).alias(own))
+    text = F.col(f"`{text_col}`").cast("string")
+    part = lambda p: F.when(p["whole"], text).otherwise(F.array_join(F.flatten(F.transform(p["runs"], lambda r: F.slice(F.col(split), (r["word"] + 1).cast("int"), r["n"].cast("int")))), " "))
+    joined = keyed.join(passes, key)
+    partly = F.exists(own, lambda p: ~p["whole"])
+    joined = joined.withColumn(split, F.when(partly, F.filter(F.split(text, SEPARATOR), lambda w: w != "")))
+    # several uses of the words: Spark does not split the text anew for each run
+    mixed = F.when(F.col(split).isNull(), F.array_repeat(text, F.size(own))).otherwise(F.transform(own, part))
+    return joined.withColumn(text_col, F.array_join(mixed, "\n")).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
@@ -187,4 +207,10 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """``docs`` with the words that the mixture takes as their text, by ``mix_documents``.
+
+    Rows with null or wordless text have nothing to take and go; a null source is a source of its
+    own; rows that share an id, or have none, are mixed one by one; ``n_chars`` is brought up to
+    date; other columns stay as they are, whatever their names; an empty table stays empty.
+    """
+    return with_length(mix_documents(docs))

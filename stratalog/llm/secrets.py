@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import staged, with_key
+from .staging import fresh, staged, with_key, with_length
 
 #: Kind, pattern, and least length of the last group; fixed values.
 BASE = (
@@ -37,6 +37,8 @@ BASE = (
 RANDOM = ("random", r"[A-Za-z0-9+/_=-]{16,}")
 KINDS = [k for k, *_ in BASE] + [RANDOM[0]]
 
+#: Redacted runs of a text beyond which it is cut into characters.
+MANY = 32
 SAMPLE_ROWS = 200
 SAMPLE_STRINGS = 1500
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
@@ -87,36 +89,43 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 
 
 def mean_ratio(text: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio of a string's transitions."""
+    """Mean log-likelihood ratio of a string's transitions; the string is cut into symbols once, so long ones cost in proportion."""
     size = len(ALPHABET) + 1
     ratios = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
+    symbols = F.transform(F.split(text, ""), _symbol)
 
-    def step(total: Column, i: Column) -> Column:
-        p, c = (_symbol(F.substring(text, at, F.lit(1))) for at in (i - 1, i))
-        return total + F.element_at(ratios, p * size + c + 1)
+    def step(state: Column, c: Column) -> Column:
+        ratio = F.when(state["last"] < 0, 0.0).otherwise(F.element_at(ratios, F.greatest(state["last"], F.lit(0)) * size + c + 1))
+        return F.struct(c.alias("last"), (state["total"] + ratio).alias("total"))
 
-    return F.aggregate(F.sequence(F.lit(2), F.length(text)), F.lit(0.0), step) / (F.length(text) - 1)
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
+    return F.aggregate(symbols, start, step, lambda s: s["total"]) / (F.length(text) - 1)
 
 
-def find(keyed: DataFrame, text_col: str, table: list[float], least_ratio: float) -> DataFrame:
+def find(keyed: DataFrame, key_col: str, text_col: str, table: list[float], least_ratio: float) -> DataFrame:
     """(key, kind, start, end): kind by its place in KINDS, code points, end exclusive."""
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     found = []
     for n, (_, pattern, group, _least) in enumerate(BASE):
-        may = {0: text.rlike("(?i)password|passwd|secret|token|api_?key"), 1: text.contains("AKIA")}.get(n, F.lit(True))
+        may = {0: text.rlike("(?i)password|passwd|secret|token|api_?key"), 1: text.contains("AKIA")}.get(n, text.rlike(pattern))
         found.append(F.when(may, _matches(text, n, pattern, group)))
-    found.append(_matches(text, len(BASE), RANDOM[1], 0))
-    hits = keyed.select(F.col("_key").alias("_k"), F.explode(F.array(*found)).alias("of")).filter("size(of.whole) > 0")
-    hits = hits.select(F.col("_k").alias("key"), "of.kind", F.posexplode(F.arrays_zip("of.whole", "of.part", "of.gap")).alias("n", "hit")).filter("hit.whole is not null")
+    found.append(F.when(text.rlike(RANDOM[1]), _matches(text, len(BASE), RANDOM[1], 0)))
+    hits = keyed.select(F.col(key_col).alias("key"), F.explode(F.array(*found)).alias("of")).filter("size(of.whole) > 0")
+    hits = hits.select("key", "of.kind", F.posexplode(F.arrays_zip("of.whole", "of.part", "of.gap")).alias("n", "hit")).filter("hit.whole is not null")
     hits = hits.select("key", "kind", "n", F.length("hit.gap").alias("gap"), F.length("hit.whole").alias("length"), F.length("hit.part").alias("part"), F.when(F.col("kind") == len(BASE), F.col("hit.whole")).alias("whole"))
     upto = Window.partitionBy("key", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     hits = hits.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto)).withColumn("start", F.col("end") - F.col("length"))
     least = F.element_at(F.array(*[F.lit(x) for *_, x in BASE], F.lit(0)), F.col("kind") + 1)
-    hits = staged(hits.filter(F.col("part") >= least).filter((F.col("kind") < len(BASE)) | (mean_ratio(F.col("whole"), table) > least_ratio)).select("key", "kind", "start", "end"), "hits")
-    base, more = hits.filter(F.col("kind") < len(BASE)), hits.filter(F.col("kind") == len(BASE))
-    taken = base.select(F.col("key").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
-    free = more.join(taken, (F.col("key") == F.col("k")) & (F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), "left_anti")
-    return base.union(free)
+    likely = F.when(F.col("kind") < len(BASE), True).otherwise(mean_ratio(F.col("whole"), table) > least_ratio)
+    hits = hits.filter(F.col("part") >= least).filter(likely).select("key", "kind", "start", "end")
+    # a span overlaps a base span before it if one of those ends after its start, and one after it if the first of those starts before its end
+    by = Window.partitionBy("key").orderBy("start", "kind")
+    base = lambda c: F.when(F.col("kind") < len(BASE), F.col(c))
+    before = F.max(base("end")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(base("start"), ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+    hits = hits.withColumn("before", before).withColumn("after", after)
+    free = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))
+    return staged(hits.filter((F.col("kind") < len(BASE)) | free).select("key", "kind", "start", "end"), "hits")
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int) -> Column:
@@ -134,27 +143,35 @@ def chain(docs: DataFrame, id_col: str, text_col: str) -> list[float]:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.5) -> DataFrame:
     """Per row (id_col, found): its spans as an array of (start, kind, end), in order."""
-    keyed = with_key(docs, id_col)
-    hits = find(keyed, text_col, chain(docs, id_col, text_col), least_ratio)
+    key = fresh(docs, "_key")
+    keyed = with_key(docs, id_col, key)
+    hits = find(keyed, key, text_col, chain(docs, id_col, text_col), least_ratio)
     spans = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
-    rows = keyed.select(F.col("_key").alias("key"), F.col(id_col).cast("long").alias(id_col))
+    rows = keyed.select(F.col(key).alias("key"), F.col(id_col).cast("long").alias(id_col))
     return rows.join(spans, "key", "left").select(id_col, F.coalesce("found", F.array().cast(spans.schema["found"].dataType)).alias("found"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_ratio: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each maximal run of overlapping spans replaced by ``mark``; all rows stay."""
-    keyed = with_key(docs, id_col)
-    hits = find(keyed, text_col, chain(docs, id_col, text_col), least_ratio)
+    key, own, chars = (fresh(docs, n) for n in ("_key", "_runs", "_chars"))
+    keyed = with_key(docs, id_col, key)
+    hits = find(keyed, key, text_col, chain(docs, id_col, text_col), least_ratio)
     order = Window.partitionBy("key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     hits = hits.withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(order), F.lit(0))).cast("int"))
     hits = hits.withColumn("run", F.sum("new").over(Window.partitionBy("key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)))
     runs = hits.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    runs = runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_runs"))
-    joined = keyed.join(runs.withColumnRenamed("key", "_key"), "_key", "left")
-    froms = F.concat(F.array(F.lit(0).cast("long")), F.col("_runs.end"))
-    tos = F.concat(F.col("_runs.start"), F.array(F.length(text_col).cast("long")))
-    kept = F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda x: F.substring(F.col(text_col), (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")))
-    return joined.withColumn(text_col, F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, mark))).select(*docs.columns)
+    runs = runs.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(own))
+    joined = keyed.join(runs, key, "left")
+    text = F.col(f"`{text_col}`").cast("string")
+    # substring walks from the text's start, so a text of many runs is cut into characters once
+    joined = joined.withColumn(chars, F.when(F.size(own) > MANY, F.split(text, "")))
+    froms = F.concat(F.array(F.lit(0).cast("long")), F.col(f"{own}.end"))
+    tos = F.concat(F.col(f"{own}.start"), F.array(F.length(text).cast("long")))
+    gaps = F.transform(F.arrays_zip(froms.alias("a"), tos.alias("b")), lambda x: F.struct((x["a"] + 1).cast("int").alias("at"), (x["b"] - x["a"]).cast("int").alias("n")))
+    few = F.transform(gaps, lambda g: F.substring(text, g["at"], g["n"]))
+    many = F.transform(gaps, lambda g: F.array_join(F.slice(F.col(chars), g["at"], g["n"]), ""))
+    kept = F.when(F.col(chars).isNull(), few).otherwise(many)  # two uses of the characters: Spark does not cut them anew in the lambda
+    return joined.withColumn(text_col, F.when(F.col(own).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, mark))).select(*docs.columns)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -171,4 +188,10 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def redact_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """``docs`` with every secret replaced by a mark, by ``redact``; all rows stay.
+
+    Null and empty texts stay as they are, very long ones are scanned whole; rows that share an id,
+    or have none, are scanned one by one; ``n_chars`` is brought up to date; other columns stay as
+    they are, whatever their names; an empty table stays empty.
+    """
+    return with_length(redact(docs))

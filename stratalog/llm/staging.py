@@ -10,13 +10,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. A temporary folder serves where none is named and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="stratalog-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -51,15 +54,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_key(docs: DataFrame, id_col: str, name: str = "_key") -> DataFrame:
-    """``docs`` with a long column that tells its rows apart.
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it for as long as ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_length(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the length of the text brought up to date, where it has such a column."""
+    return docs.withColumn(length_col, F.length(text_col).cast("long")) if length_col in docs.columns else docs
 
-    The id serves where it is never null and never repeats. Only otherwise is the table staged
-    once with row numbers, so that later reads agree on them.
-    """
-    from pyspark.sql import functions as F
 
+def with_key(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``docs`` with a long column ``name`` that tells its rows apart and ascends with the id, nulls last.
+
+    The id serves where it is never null and never repeats. Only otherwise are the rows put in
+    order (of one id by content, so that files and partitions do not matter), numbered from 0, and
+    staged once, so that later reads agree.
+    """
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     if not ids.groupBy("id").count().filter("count > 1 or id is null").limit(1).take(1):
         return docs.withColumn(name, F.col(id_col).cast("long"))
-    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    content, at, task = (fresh(docs, n) for n in ("_content", "_at", "_task"))
+    rows = docs.withColumn(content, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))).withColumn(at, F.monotonically_increasing_id())
+    order = [F.col(id_col).cast("long").asc_nulls_last(), F.col(content), F.col(at)]  # unique, so that an id of many rows is split
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    held = staged(ranged.drop(content, at).withColumn(task, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()), "rows")
+    tasks = held.groupBy(task).agg(F.count("*").alias("_n"), F.min(at).alias("_from"))  # a row for each task
+    before = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select(task, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from")).alias("_shift"))
+    return held.join(F.broadcast(tasks), task).withColumn(name, F.col(at) + F.col("_shift")).select(*docs.columns, name)

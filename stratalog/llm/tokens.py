@@ -9,10 +9,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .words import _BYTE_CODE, _sums, mix, slices, utf8
+from .words import blocks, slices, span_hashes, spread, utf8
 
-#: Distinct units that a worker remembers, at about 25 bytes each, and their ids in all; beyond that the longest unused half goes.
-REMEMBERED, MOST_IDS = 1_500_000, 16_000_000
+#: Distinct units that a worker remembers, their ids and their bytes in all; beyond that the longest unused half goes.
+REMEMBERED, MOST_IDS, MOST_BYTES = 1_500_000, 16_000_000, 64_000_000
 #: Bytes of text that are encoded at once.
 AT_ONCE = 1 << 20
 #: Letters below this point are letters to every version of Unicode.
@@ -46,14 +46,39 @@ def blank_follows(data: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarr
     return (at + 1 < end) & (_BLANK[a] | wide)
 
 
+class Store:
+    """Arrays of different sizes, end to end."""
+
+    def __init__(self, kind: type):
+        self.flat = np.zeros(0, kind)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def insert(self, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Add arrays, held end to end in ``flat``, before the places ``at``."""
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+        self.start, self.size = np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The arrays asked for, end to end, and where each ends."""
+        size = self.size[which]
+        upto = np.cumsum(size)
+        return self.flat[np.repeat(self.start[which] - (upto - size), size) + np.arange(size.sum())], upto
+
+    def only(self, keep: np.ndarray) -> Store:
+        out, which = Store(self.flat.dtype), np.flatnonzero(keep)
+        out.insert(np.zeros(len(which), np.int64), self.take(which)[0], self.size[which])
+        return out
+
+
 class Encoder:
     """Ids equal to the tokenizer's on the whole text.
 
     The byte-level pre-tokenizer never joins a word with what precedes its leading space, so a
     text is cut into units (a space and what follows, up to the next space) and each distinct
     unit is encoded once. Where white space follows a space that does not hold; such texts are
-    encoded whole. Units are told apart by 64-bit hashes: with a million remembered, a unit is
-    mistaken for another once in 10**13.
+    encoded whole. Units are looked up by 64-bit hashes and compared byte by byte; a text with a
+    unit whose hash is another's is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -68,8 +93,8 @@ class Encoder:
         self.spaced[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.stops = {s: self.whole([s])[0].tolist() for s in ".,"}
         self.hashes = np.zeros(0, np.uint64)  # ascending
-        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.ids = np.zeros(0, self.kind)
+        self.used = np.zeros(0, np.int32)
+        self.ids, self.raw = Store(self.kind), Store(np.uint8)
         self.round = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -102,19 +127,16 @@ class Encoder:
             out[n] = own
         return out
 
-    def _remember(self, hashes: np.ndarray, at: np.ndarray, ids: list) -> None:
-        size = np.fromiter(map(len, ids), np.int32, len(ids))
-        start = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.kind, int(size.sum()))])
-        self.hashes, self.start, self.size = (np.insert(a, at, b) for a, b in ((self.hashes, hashes), (self.start, start), (self.size, size)))
-        self.used = np.insert(self.used, at, np.int32(self.round))
-
     def _forget(self) -> None:
         keep = self.used > np.median(self.used)
-        starts, sizes = self.start[keep], self.size[keep].astype(np.int64)
-        before = np.cumsum(sizes) - sizes
-        self.ids = self.ids[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
-        self.hashes, self.start, self.size, self.used = self.hashes[keep], before, self.size[keep], self.used[keep]
+        self.ids, self.raw = self.ids.only(keep), self.raw.only(keep)
+        self.hashes, self.used = self.hashes[keep], self.used[keep]
+
+    def _holds(self, place: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bool:
+        """Whether the units remembered at the places are, byte by byte, those of the text."""
+        if (self.raw.size[place] != end - begin).any():
+            return False
+        return all(np.array_equal(self.raw.take(place[own])[0], data[spread(begin[own], end[own])[0]]) for own in blocks(begin, end))
 
     def encode(self, texts: pa.Array | pa.ChunkedArray | list) -> list[np.ndarray]:
         """Ids of each text; a null text has none. Arrays of a few times ``AT_ONCE`` bytes are needed, or of the longest text."""
@@ -124,7 +146,7 @@ class Encoder:
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         data, at = utf8(texts)
-        if len(self.hashes) > REMEMBERED or len(self.ids) > MOST_IDS:
+        if len(self.hashes) > REMEMBERED or len(self.ids.flat) > MOST_IDS or len(self.raw.flat) > MOST_BYTES:
             self._forget()
         self.round += 1
         space = np.flatnonzero(data == 32)
@@ -140,9 +162,7 @@ class Encoder:
         end = np.minimum(np.r_[begin[1:], [len(data)] * (len(begin) > 0)], at[owner + 1]).astype(np.int64)
         plain = ~odd[owner]
         begin, end, owner = begin[plain], end[plain], owner[plain]
-        total, inverse = _sums(_BYTE_CODE[data], 0)
-        with np.errstate(over="ignore"):
-            h = mix((total[end] - total[begin]) * inverse[begin])
+        h = span_hashes(data, begin, end)
         distinct, first, unit = np.unique(h, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
@@ -150,14 +170,19 @@ class Encoder:
         known[inside] = self.hashes[place[inside]] == distinct[inside]
         fresh = np.flatnonzero(~known)
         raw = data.tobytes()
-        units = [raw[a:b].decode() for a, b in zip(begin[first[fresh]].tolist(), end[first[fresh]].tolist(), strict=True)]
+        left, right = begin[first[fresh]], end[first[fresh]]
+        units = [raw[a:b].decode() for a, b in zip(left.tolist(), right.tolist(), strict=True)]
         self.used[place[known]] = self.round
-        self._remember(distinct[fresh], place[fresh], self._learn(units))
-
-        place = np.searchsorted(self.hashes, distinct)
-        starts, sizes = self.start[place][unit], self.size[place][unit].astype(np.int64)
-        upto = np.cumsum(sizes)
-        flat = self.ids[np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)].astype(np.uint32)
+        ids = self._learn(units)
+        self.ids.insert(place[fresh], np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.raw.insert(place[fresh], data[spread(left, right)[0]], right - left)
+        self.hashes, self.used = np.insert(self.hashes, place[fresh], distinct[fresh]), np.insert(self.used, place[fresh], np.int32(self.round))
+
+        place = np.searchsorted(self.hashes, distinct)[unit]
+        if not self._holds(place, data, begin, end):  # different units with one hash
+            odd[owner] = True
+        flat, upto = self.ids.take(place)
+        flat = flat.astype(np.uint32)
         cut = np.r_[0, upto][np.searchsorted(owner, np.arange(len(at)))]
         out = [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
         if odd.any():

@@ -2,22 +2,25 @@
 
 A lexicon transducer maps the words of a clause to classes: insult, threat, target, negation,
 report, other. Four machines read classes: negation and reported speech remember whether their
-words came before (negation for a few words, a report to the clause's end), the target machine
+words came before (negation for ``REACH`` words, a report to the clause's end), the target machine
 whether the clause addresses someone before the word or, read from right to left, after it; the
 scoring machine turns insults and threats into weight. Their composition is one machine whose
-output for a clause is weight by context; single words outside a matched clause count for nothing
-else.
+output for a clause is weight by context. Before any label is seen, an aimed insult, a threat with
+a target or a clause of several insults makes a text toxic, a lone insult without target does not;
+what the contexts weigh is then learned.
 
 Insults and threats are a short general list and what labelled rows teach: words, and beginnings
-of words, that occur in toxic training texts far more often than chance explains. A logistic
-model turns a text's clause weights into its score. Both are fitted on at most ``MOST_TOXIC`` and
-``MOST_CLEAN`` labelled rows, chosen by the hash of their ids at every size of the input, near
-copies counted once.
+of words, that occur in toxic training texts far more often than chance explains. Those whose
+occurrences mostly have a target right behind them are threats, the others insults. A logistic
+model turns a text's clause weights into its score. All is fitted on at most ``MOST_TOXIC`` and
+``MOST_CLEAN`` labelled ids, chosen by hash at every size of the input, near copies counted once
+(the least id's text); what is learned is bounded by the words of those texts.
 
 Edge cases: a null or empty text has no clause and gets the score of clean text; without labelled
 rows the general list and the prior weights decide; labels that repeat an id teach the largest
-value; rows that repeat or have null ids are scored one by one; an empty table gives an empty
-result; long texts are read whole; other columns are ignored, or carried by ``drop_toxic``.
+value, texts that repeat an id the least text; rows that repeat or have null ids are scored one by
+one; an empty table gives an empty result; long texts are read whole; other columns are ignored,
+or carried by ``drop_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -97,8 +100,7 @@ class Machine:
 
 
 def _negation(left: int, symbol: int):
-    left = REACH if symbol == NEGATION else max(0, left - 1)
-    return left, left > 0 and symbol != NEGATION
+    return (REACH, False) if symbol == NEGATION else (max(0, left - 1), left > 0)
 
 
 def _report(on: bool, symbol: int):
@@ -129,10 +131,18 @@ GRAMMAR = (Machine(0, _negation) | Machine(False, _report) | TARGETS).beside().t
 
 
 class Lexicon(NamedTuple):
-    """Class and weight of words, and weight of beginnings (insults all)."""
+    """Class and weight of words, and of beginnings."""
 
     words: dict[str, tuple[int, float]]
-    stems: dict[str, float]
+    stems: dict[str, tuple[int, float]]
+
+    def find(self, word: str) -> tuple[int, float] | None:
+        """The word's own entry, or its heaviest beginning's."""
+        known = self.words.get(word)
+        if known or not self.stems:
+            return known
+        held = [self.stems[word[:n]] for n in STEMS if len(word) > n and word[:n] in self.stems]
+        return max(held, key=lambda e: e[1], default=None)
 
 
 def general_lexicon() -> Lexicon:
@@ -143,30 +153,21 @@ def clause_weights(text: str | None, lexicon: Lexicon) -> list[float]:
     """Of a text: the weight in each context, the largest weight of a clause, and the matched clauses."""
     out, largest, matched = [0.0] * 5, 0.0, 0
     text = (text or "").lower()
-    found = set(_WORD.findall(text))
-    marks: dict[str, float] = {}
-    for w in found:
-        known = lexicon.words.get(w)
-        if known:
-            if known[0] in (INSULT, THREAT):
-                marks[w] = known[1]
-            continue
-        for n in STEMS:
-            if len(w) > n and w[:n] in lexicon.stems:
-                marks[w] = max(marks.get(w, 0.0), lexicon.stems[w[:n]])
+    known = {w: e for w in set(_WORD.findall(text)) if (e := lexicon.find(w))}
+    marks = {w for w, (kind, _) in known.items() if kind in (INSULT, THREAT)}
     if not marks:
         return [*out, 0.0, 0.0]
     for clause in _CLAUSE.split(text):
         words = _WORD.findall(clause)
-        if marks.keys().isdisjoint(words):
+        if marks.isdisjoint(words):
             continue
         state, weight = GRAMMAR.start, 0.0
-        symbols = [lexicon.words[w][0] if w in lexicon.words else INSULT if w in marks else OTHER for w in words]
+        symbols = [known[w][0] if w in known else OTHER for w in words]
         for w, read in zip(words, zip(symbols, TARGETS.backwards(symbols), strict=True), strict=True):
             state, context = GRAMMAR.step(state, read)
             if context is not None:
-                out[context] += marks[w]
-                weight += marks[w]
+                out[context] += known[w][1]
+                weight += known[w][1]
         largest, matched = max(largest, weight), matched + (weight > 0)
     return [*out, largest, float(matched)]
 
@@ -175,8 +176,8 @@ def _features(weights: np.ndarray) -> np.ndarray:
     return np.c_[np.ones(len(weights)), np.log1p(weights)]
 
 
-#: Coefficients before any label is seen: rare unless clauses match, aimed insults above reported ones.
-PRIOR = np.array([-4.0, 1.5, 1.8, 0.6, 0.8, 0.5, 1.0, 0.5])
+#: Coefficients before any label is seen: what is aimed counts, a lone, a negated or a reported insult does not suffice.
+PRIOR = np.array([-4.0, 0.5, 1.8, 0.3, 0.5, 1.8, 1.0, 0.5])
 
 
 def fit(weights: np.ndarray, toxic: np.ndarray, share: np.ndarray, pull: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -204,7 +205,8 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         n = own.count()
         parts.append(own.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("share", F.lit(max(1.0, n / most))))
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most MOST_TOXIC + MOST_CLEAN rows of 20 bytes
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(chosen, "id").select("id", "text", "toxic", "share")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(chosen, "id")
+    return texts.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("share").alias("share"))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +217,36 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))], names=[*batch.schema.names, "one", "two"])
 
 
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """Of the rows that agree on a sketch and the label, the least id's."""
+    own = [c for c in rows.columns if c not in (key, "toxic")]
+    return rows.groupBy(key, "toxic").agg(F.min_by(F.struct(*own), "id").alias("r")).select(key, "toxic", "r.*")
+
+
+def _follow(features: frozenset[str]):
+    """(feature, n, aimed): occurrences in the texts, and those with a target among the next two words."""
+    targets = frozenset(GENERAL[TARGET].split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text in batch.column("text").to_pylist():
+                for clause in _CLAUSE.split(text.lower()):
+                    words = _WORD.findall(clause)
+                    for i, w in enumerate(words):
+                        for f in features.intersection((w, *(f"^{w[:n]}" for n in STEMS if len(w) > n))):
+                            own = seen.setdefault(f, [0, 0])
+                            own[0] += 1
+                            own[1] += not targets.isdisjoint(words[i + 1 : i + 3])
+            yield pa.record_batch([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in (0, 1))], names=["feature", "n", "aimed"])
+
+    return run
+
+
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Words and beginnings bound to toxic texts, by counts of texts that Spark takes."""
     rows = rows.mapInArrow(_sketch, "id long, text string, toxic int, share double, one long, two long")
-    rows = rows.dropDuplicates(["one", "toxic"]).dropDuplicates(["two", "toxic"])
+    rows = staged(_first(_first(rows, "one"), "two").select("id", "text", "toxic"), "taught")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = F.flatten(F.transform("w", lambda w: F.transform(F.filter(F.array(*[F.lit(n) for n in STEMS]), lambda n: F.length(w) > n), lambda n: F.concat(F.lit("^"), F.substring(w, F.lit(1), n)))))
     seen = rows.select("toxic", words.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat("w", stems))).alias("feature"))
@@ -235,12 +263,20 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     evidence = F.col("bad") * F.log(q / p) + F.when(F.col("fine") > 0, F.col("fine") * F.log((1 - q) / (1 - p))).otherwise(0.0)
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("fine") + 0.5) / (total[0] + 1))
     found = counts.withColumn("evidence", evidence).withColumn("odds", odds).filter((q > p) & (F.col("evidence") >= least) & (F.col("odds") >= LEAST_ODDS))
-    for r in found.orderBy(F.col("evidence").desc(), "feature").limit(5000).collect():  # of the bounded sample's vocabulary
-        if r["feature"].startswith("^"):
-            lexicon.stems[r["feature"][1:]] = min(float(r["odds"]), 6.0)
-        elif r["feature"] not in lexicon.words or lexicon.words[r["feature"]][0] in (INSULT, THREAT):
-            kind = lexicon.words.get(r["feature"], (INSULT, 0.0))[0]
-            lexicon.words[r["feature"]] = (kind, min(float(r["odds"]), 6.0))
+    odds_of = {r["feature"]: min(float(r["odds"]), 6.0) for r in found.select("feature", "odds").collect()}  # of the bounded sample's words
+    if not odds_of:
+        return lexicon
+    follow = rows.filter("toxic = 1").select("text").mapInArrow(_follow(frozenset(odds_of)), "feature string, n long, aimed long")
+    follow = follow.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("aimed").alias("aimed")).filter("aimed >= 3 and 2 * aimed >= n")
+    threats = {r["feature"] for r in follow.select("feature").collect()}
+    for feature, odd in odds_of.items():
+        own = (THREAT if feature in threats else INSULT, odd)
+        if feature.startswith("^"):
+            lexicon.stems[feature[1:]] = own
+        elif feature not in lexicon.words:
+            lexicon.words[feature] = own
+        elif lexicon.words[feature][0] in (INSULT, THREAT):
+            lexicon.words[feature] = (lexicon.words[feature][0], odd)
     return lexicon
 
 
@@ -249,7 +285,7 @@ _WEIGHED = "id long, w array<double>, toxic int, share double"
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     small_batches(docs.sparkSession)
-    rows = sample(docs, labels, id_col, text_col, label_col)
+    rows = staged(sample(docs, labels, id_col, text_col, label_col), "sample")
     lexicon = learn_lexicon(rows)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -264,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(lexicon, fit(np.array([r.w for r in found]), np.array([r.toxic for r in found]), np.array([r.share for r in found])))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row (id_col, score, clauses): probability of toxicity and number of matched clauses."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -303,5 +339,11 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without toxic rows, by ``drop_toxic`` with a model of all rows of ``labels``.
+
+    Rows with null or empty text are clean and stay; long texts are read whole; rows that share an
+    id, or have none, are judged one by one; other columns stay as they are, whatever their names;
+    an empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train(docs, labels))

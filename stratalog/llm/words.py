@@ -20,9 +20,12 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z only
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE_CODE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
-#: Odd multipliers of the polynomials: one for bytes in a word, two for words in a window.
-_BASES = [int(x) | 1 for x in _RNG.integers(0, 2**64, 3, dtype=np.uint64)]
+#: A random number for each byte at each of the first places of a word; further places get theirs from ``mix``.
+_PLACES = 64
+_CODES = _RNG.integers(0, 2**64, _PLACES << 8, dtype=np.uint64)
+_FAR = _RNG.integers(0, 2**64, 1, dtype=np.uint64)[0]
+#: Odd multipliers of two polynomials over the words of a window.
+_BASES = [0] + [int(x) & ~7 | 3 for x in _RNG.integers(0, 2**64, 2, dtype=np.uint64)]
 
 
 class Words(NamedTuple):
@@ -105,17 +108,52 @@ def split_words(texts: pa.Array | pa.ChunkedArray, fold: bool = False) -> Words:
     return Words(data, start, end, doc, np.searchsorted(start, at))
 
 
+#: Bytes of spans that are handled at once.
+_AT_ONCE = 1 << 20
+
+
+def spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all bytes of nonempty spans their index and their place in the span; and how many come before each span."""
+    size = end - start
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    return place + np.repeat(start, size), place, first
+
+
+def blocks(start: np.ndarray, end: np.ndarray) -> Iterator[slice]:
+    """Runs of spans of about ``_AT_ONCE`` bytes; a longer span comes alone."""
+    total, at = np.cumsum(end - start), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each nonempty span: a sum of random numbers for byte and place, so no pattern of bytes cancels out."""
+    out = np.zeros(len(start), np.uint64)
+    for own in blocks(start, end):
+        where, place, first = spread(start[own], end[own])
+        byte = data[where]
+        code = _CODES[np.minimum(place, _PLACES - 1) << 8 | byte]
+        far = np.flatnonzero(place >= _PLACES)
+        if len(far):
+            code[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | byte[far]) ^ _FAR)
+        out[own] = mix(np.add.reduceat(code, first))
+    return out
+
+
 def word_hashes(words: Words) -> np.ndarray:
-    """64 bits for each word, by a polynomial over its bytes."""
-    if not len(words.start):
-        return np.zeros(0, np.uint64)
-    total, inverse = _sums(_BYTE_CODE[words.data], 0)
-    with np.errstate(over="ignore"):
-        return mix((total[words.end] - total[words.start]) * inverse[words.start])
+    """64 bits for each word."""
+    return span_hashes(words.data, words.start, words.end)
 
 
 def window_hashes(codes: np.ndarray, width: int, which: int = 1) -> np.ndarray:
-    """Rabin-Karp hash of every ``width`` consecutive codes, by position of the first."""
+    """Rabin-Karp hash of every ``width`` consecutive codes, by position of the first.
+
+    The modulus is 2**64, so windows of many hundred words in which two words alternate by a
+    Thue-Morse pattern would collide; ``width`` is a few words.
+    """
     n = len(codes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

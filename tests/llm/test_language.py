@@ -1,6 +1,8 @@
+import collections
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import language
@@ -24,11 +26,47 @@ def test_counts_and_scores_match_plain_python():
     assert sorted(bucket[doc == 0]) == sorted(one) == sorted(language.ngrams(["ab A"])[0])
     rng = np.random.default_rng(1)
     matrix = np.log(rng.random((3, language.BUCKETS + 1))).astype(np.float32)
-    names, score = language.score_texts(texts, ["x", "y", "z"], matrix, 0.5)
-    for i in (0, 2):
+    names, top, divide, mass = language.score_texts(texts, ["x", "y", "z"], matrix, 0.5)
+    for i in range(3):
         total = matrix[:, -1].astype(float) + matrix[:, bucket[doc == i]].sum(axis=1)
-        assert names[i] == "xyz"[total.argmax()] and 1 / 3 <= score[i] <= 1
-    assert names[1] == "und" and score[1] == 0
+        assert names[i] == "xyz"[total.argmax()] and top[i] == pytest.approx(total.max(), rel=1e-5) and 1 <= mass[i] <= 3
+        assert divide[i] == (doc == i).sum() ** 0.5
+
+
+@pytest.mark.parametrize(("text", "has"), [("²³", False), ("½ Ⅷ", False), ("12_3", False), ("٣", False), ("x2", True), ("é", True), ("字", True), ("ª", True), ("", False)])
+def test_letters(text, has):
+    assert language.lettered(text) == has
+
+
+def test_trained_counts_match_a_plain_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = {}
+    for r in docs.collect():
+        own = counts.setdefault(r.lang, [0, collections.Counter()])
+        own[0] += 1
+        padded = f" {r.text.lower()} "
+        own[1].update(padded[i : i + n] for n in language.ORDERS for i in range(len(padded) - n + 1))
+    names, matrix = language.train(docs, "text", "lang")
+    assert names == sorted(counts)
+    for k, name in enumerate(names):
+        buckets = np.full(language.BUCKETS, 0.5)
+        for gram, n in counts[name][1].items():
+            point = 0
+            for ch in gram:
+                point = point << 21 | ord(ch)
+            x = np.array([point], dtype=np.uint64) ^ language._SALT[len(gram)]
+            buckets[int(language.mix(x)[0]) % language.BUCKETS] += n
+        assert np.allclose(matrix[k, :-1], np.log(buckets / buckets.sum()), atol=1e-5)
+        assert matrix[k, -1] == pytest.approx(np.log(counts[name][0] / sum(c for c, _ in counts.values())), abs=1e-5)
+
+
+def test_pages_of_languages_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    result = lambda: {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in language.op7_language(spark, "/root/testdata/sf0.001").collect()}
+    whole = result()
+    for n in (1, 3):
+        monkeypatch.setattr(language, "LANGUAGES", n)
+        assert result() == whole and len(whole) == docs.count()
 
 
 def test_edges(spark):

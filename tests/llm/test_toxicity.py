@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ def test_grammar():
     assert weights("An idiot.")[tox.PLAIN] == 4
     assert weights("You idiot!")[tox.AIMED] == 4
     assert weights("you are not an idiot")[tox.NEGATED] == 4
-    assert weights("not one of those three is an idiot")[tox.PLAIN] == 4
+    assert weights("not one two idiot")[tox.NEGATED] == 4 and weights("not one two three idiot")[tox.PLAIN] == 4
     assert weights("he said idiot")[tox.REPORTED] == 4 and weights("he said. idiot")[tox.PLAIN] == 4
     assert weights("you we kill")[tox.THREATS] == 4 and weights("we kill weeds")[tox.THREATS] == 0
     assert weights("idiot moron. scum")[-2:] == [8.0, 2.0]
@@ -31,8 +32,39 @@ def test_target_after_threat_or_insult():
 
 
 def test_stems():
-    lexicon = tox.Lexicon({}, {"gruff": 3.0})
-    assert tox.clause_weights("gruffly gruff", lexicon)[tox.PLAIN] == 3.0
+    lexicon = tox.Lexicon({}, {"gruff": (tox.INSULT, 3.0), "gruf": (tox.INSULT, 2.0)})
+    assert tox.clause_weights("gruffly gruff", lexicon)[tox.PLAIN] == 5.0
+
+
+def test_matched_clauses_count_before_any_label():
+    score = lambda t: float(1 / (1 + np.exp(-(tox._features(np.array([weights(t)])) @ tox.PRIOR)[0])))
+    assert all(score(t) >= 0.3 for t in ("I will kill you", "you are stupid", "idiots, all of you", "worthless stupid trash"))
+    assert all(score(t) < 0.3 for t in ("stupid", "he said stupid", "you are not stupid", "we kill weeds", "you said stupid"))
+
+
+def test_lexicon_against_a_plain_count(spark):
+    """Invented words: one that insults, one that threatens (a target follows), one that is everywhere."""
+    rows, labels = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        filler = " ".join(f"w{i * 12 + j}x" for j in range(12)).translate(str.maketrans("0123456789", "abcdefghij"))
+        text = f"{filler} common " + (f"zorgel wesen. we shall blick you {filler[:9]} and blick them" if bad else "plain")
+        rows.append((i, text))
+        labels.append((i, int(bad)))
+    rows += [(0, "zzz"), (None, "zorgel")]
+    docs, taught = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample = tox.sample(docs, taught, "doc_id", "text", "toxic")
+    lexicon = tox.learn_lexicon(sample)
+    texts = [(r.text, r.toxic) for r in sample.collect()]
+    assert len(texts) == 120
+    seen = {k: sum(t == k for _, t in texts) for k in (0, 1)}
+    words = {w for t, _ in texts for w in re.findall(r"[^\W\d_]+", t)}
+    counts = {w: [sum(y == k and w in t.split() or y == k and f"{w}." in t.split() for t, y in texts) for k in (0, 1)] for w in words}
+    want = {w: np.log((bad + 0.5) / (seen[1] + 1)) - np.log((fine + 0.5) / (seen[0] + 1)) for w, (fine, bad) in counts.items() if bad == seen[1] and not fine}
+    own = {w: e for w, e in lexicon.words.items() if w in words and w not in tox.general_lexicon().words}
+    assert {"zorgel", "blick", "wesen"} <= own.keys() <= want.keys() and "common" not in own
+    assert all(np.isclose(e[1], min(want[w], 6.0)) for w, e in own.items())
+    assert own["blick"][0] == tox.THREAT and own["zorgel"][0] == tox.INSULT
 
 
 def test_held_out(spark):
