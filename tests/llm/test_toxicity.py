@@ -48,7 +48,7 @@ def test_lexicon_against_a_plain_count(spark):
     for i in range(120):
         bad = i % 3 == 0
         filler = " ".join(f"w{i * 12 + j}x" for j in range(12)).translate(str.maketrans("0123456789", "abcdefghij"))
-        text = f"{filler} common " + (f"zorgel wesen. we shall blick you {filler[:9]} and blick them" if bad else "plain")
+        text = f"{filler} common " + (f"zorgel wesen. we shall blick you and blick them" if bad else "plain")
         rows.append((i, text))
         labels.append((i, int(bad)))
     rows += [(0, "zzz"), (None, "zorgel")]
