@@ -47,8 +47,8 @@ def test_lexicon_against_a_plain_count(spark):
     rows, labels = [], []
     for i in range(120):
         bad = i % 3 == 0
-        filler = " ".join(f"w{i * 12 + j}x" for j in range(12)).translate(str.maketrans("0123456789", "abcdefghij"))
-        text = f"{filler} common " + (f"zorgel wesen. we shall blick you and blick them" if bad else "plain")
+        u = [f"w{i * 12 + j}x".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(12)]  # texts share no five words
+        text = " ".join([*u[:4], "common", *u[4:8], *(["zorgel", u[8], "wesen.", u[9], "blick you", u[10], "blick them"] if bad else ["plain"]), u[11]])
         rows.append((i, text))
         labels.append((i, int(bad)))
     rows += [(0, "zzz"), (None, "zorgel")]
@@ -62,7 +62,7 @@ def test_lexicon_against_a_plain_count(spark):
     counts = {w: [sum(y == k and w in t.split() or y == k and f"{w}." in t.split() for t, y in texts) for k in (0, 1)] for w in words}
     want = {w: np.log((bad + 0.5) / (seen[1] + 1)) - np.log((fine + 0.5) / (seen[0] + 1)) for w, (fine, bad) in counts.items() if bad == seen[1] and not fine}
     own = {w: e for w, e in lexicon.words.items() if w in words and w not in tox.general_lexicon().words}
-    assert {"zorgel", "blick", "wesen"} <= own.keys() <= want.keys() and "common" not in own
+    assert {"zorgel", "blick", "wesen"} == own.keys() <= want.keys()
     assert all(np.isclose(e[1], min(want[w], 6.0)) for w, e in own.items())
     assert own["blick"][0] == tox.THREAT and own["zorgel"][0] == tox.INSULT
 
