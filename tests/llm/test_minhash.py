@@ -94,6 +94,15 @@ def test_index_finds_all_under_threshold():
     assert all(set(keys[i]) & set(keys[i + 300]) for i in range(300))
 
 
+def test_thue_morse_words_differ(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} x y z w"), (2, f"{other} x y z w"), (3, word), (4, other)], "doc_id long, text string")
+    assert all(r.kept for r in minhash.near_duplicates(df).collect())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20] + [(100, 103), (103, 101), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}

@@ -57,6 +57,15 @@ def test_repeated_and_null_ids(spark):
     assert got == [(False, 4, 0), (False, 4, 4), (True, 0, 0), (True, 4, 4)]
 
 
+def test_thue_morse_words_differ(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x y"), (2, f"{other} x y"), (3, f"x y {other} x y")]
+    assert result(spark.createDataFrame(rows, "doc_id long, text string"), 3) == brute(rows, 3)
+
+
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
