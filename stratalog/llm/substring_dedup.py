@@ -11,9 +11,9 @@ Plan
    All later places are marked.
 3. Marks and texts meet by document bucket; overlapping windows merge into maximal intervals.
 
-Two windows count as equal if 96 bits agree, 64 of one rolling hash and 32 of another, and the
-bucket, which takes other bits of the second. With n windows and b buckets n * n / (b * 2**97) pairs
-of different windows are expected to agree: 0.0003 for the 1.7e13 windows of 100 TB in 2**12
+Two windows count as equal if 80 bits agree, 64 of one rolling hash and 16 of another, and the
+bucket, which takes other bits of the second. With n windows and b buckets n * n / (b * 2**81) pairs
+of different windows are expected to agree: 0.02 for the 2.5e13 windows of 100 TB in 2**14
 buckets. A word stands as 64 bits from a table of random numbers by byte and place; two different
 words that agree would only matter between windows that are equal otherwise.
 
@@ -82,7 +82,7 @@ def _hash_batches(width: int, buckets: int, most: int):
             again[order] = same
             doc, start = key[words.doc[at]], (at - words.first[words.doc[at]]).astype(np.int32)
             bucket = (other % np.uint64(buckets)).astype(np.int32)
-            more = (other >> np.uint64(32)).astype(np.uint32)
+            more = (other >> np.uint64(48)).astype(np.uint16)
             out: dict[str, list] = {"bucket": [], "hashes": [], "docs": [], "starts": []}
             for which, hashed in ((~again, True), (again, False)):
                 idx = np.flatnonzero(which)
@@ -112,8 +112,8 @@ def _count_bucket(parts: int):
         rows = range(group.num_rows)
         own, known = [i for i in rows if packed["hashes"][i] is not None], [i for i in rows if packed["hashes"][i] is None]
         held = [packed["hashes"][i] for i in own]
-        h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 12) for x in held]) if own else np.zeros(0, np.uint64)
-        more = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8) for x in held]) if own else np.zeros(0, np.uint32)
+        h = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 10) for x in held]) if own else np.zeros(0, np.uint64)
+        more = np.concatenate([np.frombuffer(x, np.uint16, len(x) // 10, len(x) // 10 * 8) for x in held]) if own else np.zeros(0, np.uint16)
         doc, start = (_unpack([packed[c][i] for i in own], k) for c, k in (("docs", np.int64), ("starts", np.int32)))
         order = np.argsort(h, kind="stable")
         equal = h[order][1:] == h[order][:-1]
