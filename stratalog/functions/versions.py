@@ -7,7 +7,7 @@ UNKNOWN. Everything stays in the JVM: versions are split into arrays, compared p
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SATISFIED, VIOLATED, UNKNOWN = "SATISFIED", "VIOLATED", "UNKNOWN"
@@ -75,7 +75,7 @@ def intervals(wanted: Column) -> Column:
         F.concat(s["out"], F.when((c == ",") & (s["depth"] <= 0), _SEPARATOR).otherwise(c)).alias("out"),
     )
     cut = F.aggregate(F.split(wanted, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda s: s["out"])
-    return F.when(wanted.rlike(r"[\[(]"), F.transform(F.split(cut, _SEPARATOR), F.trim)).otherwise(F.array(wanted))
+    return F.when(wanted.rlike(r"[\[(]"), F.transform(F.split(cut, _SEPARATOR), lambda x: F.trim(x))).otherwise(F.array(wanted))
 
 
 def check(version: Column, wanted: Column) -> Column:
@@ -84,3 +84,11 @@ def check(version: Column, wanted: Column) -> Column:
     verdicts = F.transform(intervals(wanted), lambda i: check_interval(version, i))
     found = F.when(F.array_contains(verdicts, SATISFIED), SATISFIED).when(F.array_contains(verdicts, VIOLATED), VIOLATED).otherwise(UNKNOWN)
     return F.when(F.coalesce(wanted, F.lit("")) == "", UNKNOWN).when(F.coalesce(version, F.lit("")) == "", UNKNOWN).when((wanted == "*") | (F.lower(wanted) == "any"), SATISFIED).otherwise(found)
+
+
+def judged(rows: DataFrame, version: str, wanted: str) -> DataFrame:
+    """``rows`` with the column ``verdict``: each distinct pair of version and range is judged once and joined back."""
+    pairs = rows.select(F.col(version).alias("_version"), F.col(wanted).alias("_wanted")).distinct()
+    pairs = pairs.withColumn("verdict", check(F.col("_version"), F.col("_wanted")))
+    met = rows.join(pairs, F.col(version).eqNullSafe(F.col("_version")) & F.col(wanted).eqNullSafe(F.col("_wanted")), "left")
+    return met.drop("_version", "_wanted")

@@ -34,12 +34,16 @@ def to_write(judged: DataFrame, existing: DataFrame, path: str = "path") -> Data
 
 
 def change_summary(judged: DataFrame) -> DataFrame:
-    """Counts by verdict, and a consumer's workload: changed and removed."""
+    """Counts by verdict, and a consumer's workload: all that is not as before."""
     n = {v: F.count_if(F.col("verdict") == v) for v in (NEW, CHANGED, UNCHANGED, REMOVED)}
-    return judged.agg(*[c.alias(v.lower()) for v, c in n.items()], (n[CHANGED] + n[REMOVED]).alias("workload"))
+    return judged.agg(*[c.alias(v.lower()) for v, c in n.items()], (n[NEW] + n[CHANGED] + n[REMOVED]).alias("workload"))
 
 
-def read_snapshot(lines: DataFrame, header: str = "snapshot 1") -> DataFrame:
+#: First line of a manifest.
+HEADER = "snapshot 1"
+
+
+def read_snapshot(lines: DataFrame, header: str = HEADER) -> DataFrame:
     """(value, line number) rows of a manifest as (path, fingerprint, ord).
 
     Without the header there is no snapshot. Comments and lines that are not ``sha<TAB>path`` are

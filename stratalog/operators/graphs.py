@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a temporary one only where it names none."""
+    """A reliable checkpoint in the folder that the cluster names; a temporary one where it names none and Spark runs in one process."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalog-"))
     return df.checkpoint()
 
 
@@ -37,20 +40,50 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return core
 
 
-def reachable(edges: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a path from a to b, by doubling path lengths; for small cores, not whole graphs."""
-    known = cut_lineage(edges.select("a", "b").distinct())
-    n = -1
-    while known.count() != n:
-        n = known.count()
-        step = known.alias("x").join(known.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        known = cut_lineage(known.union(step).distinct())
-    return known
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) with each label lowered to the least that reaches the node along the edges, in rounds."""
+    now = cut_lineage(labels)
+    while True:
+        near = edges.join(now, edges["a"] == now["node"]).groupBy("b").agg(F.min("label").alias("least"))
+        moved = cut_lineage(now.join(near, now["node"] == near["b"], "left").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("fell")))
+        if not moved.filter("fell").take(1):
+            return now
+        now = moved.drop("fell")
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves over edges other than loops."""
-    return reachable(cyclic_core(edges)).filter("a = b").select(F.col("a").alias("node"))
+    """Nodes that reach themselves over edges other than loops.
+
+    Forward and backward colouring of the cyclic core: each node takes the least node that reaches
+    it; what in turn reaches that node within its colour lies on a cycle with it. Those nodes go,
+    the core is peeled again, and so on until nothing is left. Rows stay in proportion to the edges.
+    """
+    core, found = cyclic_core(edges), None
+    while core.take(1):
+        nodes = core.select(F.col("a").alias("node")).union(core.select(F.col("b").alias("node"))).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), core)
+        own = core.join(colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
+        back = cut_lineage(own.filter("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # backward from each colour's own node, within the colour: a label that stays above it is not reached
+        start = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
+        reached = _reach(start, back).filter("label is not null").select("node")
+        met = cut_lineage(reached.join(back.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+        found = met if found is None else cut_lineage(found.union(met))
+        gone = cut_lineage(reached)
+        left = core.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti")
+        core = cyclic_core(left)
+    return edges.select(F.col("a").alias("node")).limit(0) if found is None else found.distinct()
+
+
+def _reach(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): a null label is filled by the one that reaches the node along the edges, in rounds."""
+    now = cut_lineage(labels)
+    while True:
+        near = edges.join(now.filter("label is not null"), edges["a"] == now["node"]).groupBy("b").agg(F.min("label").alias("least"))
+        moved = cut_lineage(now.join(near, now["node"] == near["b"], "left").select("node", F.coalesce("label", "least").alias("label"), (F.col("label").isNull() & F.col("least").isNotNull()).alias("filled")))
+        if not moved.filter("filled").take(1):
+            return now
+        now = moved.drop("filled")
 
 
 def cycle_paths(edges: DataFrame, order: DataFrame) -> DataFrame:

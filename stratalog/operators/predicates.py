@@ -69,8 +69,8 @@ class Selector:
         return held
 
 
-#: Columns that a mask never takes away.
-IDENTITY = ("id", "registry_name", "namespace", "kind", "key", "type", "name")
+#: Columns that a mask never takes away, in our spelling and in that of written fields.
+IDENTITY = ("registryName", "englishName", "id", "registry_name", "namespace", "kind", "key", "type", "name", "english_name")
 
 
 def masked(df: DataFrame, include: Collection[str] = (), exclude: Collection[str] = (), identity: Collection[str] = IDENTITY) -> DataFrame:

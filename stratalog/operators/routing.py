@@ -46,15 +46,16 @@ def counts(routed: DataFrame) -> DataFrame:
 
 
 def totals(routed: DataFrame) -> DataFrame:
-    return routed.agg(F.count_if(F.col("accepted")).alias("counted"), F.count_if(~F.col("accepted")).alias("filtered"), F.count_distinct(F.when(F.col("accepted"), F.col("namespace"))).alias("namespaces"))
+    kept = lambda c: F.count_distinct(F.when(F.col("accepted"), F.col(c)))
+    return routed.agg(F.count_if(F.col("accepted")).alias("counted"), F.count_if(~F.col("accepted")).alias("filtered"), kept("namespace").alias("namespaces"), kept("kind").alias("kinds"))
 
 
 def coverage(counted: DataFrame) -> DataFrame:
-    """For each kind with records: total, namespaces, and ``ns=n, ns=n`` in order of namespaces."""
-    some = counted.filter("counted > 0")
-    pair = F.struct("namespace", "counted")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.concat(p["namespace"], F.lit("="), p["counted"].cast("string"))), ", ")
-    return some.groupBy("kind").agg(F.sum("counted").alias("total"), F.count("*").alias("namespaces"), text.alias("by_namespace"))
+    """For each kind with records, counted or filtered: totals, namespaces with counted ones, their names, and ``ns=n, ns=n`` in order."""
+    held = F.array_sort(F.collect_list(F.when(F.col("counted") > 0, F.struct("namespace", "counted"))))
+    agg = counted.groupBy("kind").agg(F.sum("counted").alias("total"), F.sum("filtered").alias("filtered"), held.alias("held")).filter("total > 0 or filtered > 0")
+    text = F.array_join(F.transform("held", lambda p: F.concat(p["namespace"], F.lit("="), p["counted"].cast("string"))), ", ")
+    return agg.select("kind", "total", "filtered", F.size("held").cast("long").alias("namespaces"), F.transform("held", lambda p: p["namespace"]).alias("names"), text.alias("by_namespace"))
 
 
 def to_targets(accepted: DataFrame, targets: dict[str, Selector], name: str = "id", namespace: str = "namespace", tags: str = "tags") -> DataFrame:

@@ -45,6 +45,12 @@ class Settings:
     formats: tuple[str, ...] = ("json",)
     kinds: tuple[str, ...] = tuple(COMMON_KINDS)
     analyze: bool = True
+    analysis_separate: bool = True
+    fields: tuple[str, ...] = ()
+    excluded_fields: tuple[str, ...] = ()
+    targets: tuple[str, ...] = ()
+    strategies: tuple[str, ...] = ()
+    checks: tuple[str, ...] = ()
     delta: bool = False
     part_bytes: int = 0
     namespaces: tuple[str, ...] = field(default=(), metadata={"accumulates": True})

@@ -27,11 +27,15 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 DEPENDENCY = _struct(id=_S, range=_S, kind=_S)
-MODS = _struct(id=_S, name=_S, version=_S, namespace=_S, loader=_S, minecraft_version=_S, dependencies=T.ArrayType(DEPENDENCY), providers=T.ArrayType(_S), source_file=_S, ord=_I)
-CONTAINERS = _struct(mod_id=_S, file_name=_S, is_dir=_B, bytes=_L, entries=_I, mixin_paths=T.ArrayType(_S), read_error=_S)
-MIXINS = _struct(source=_S, mod_id=_S, entries=T.ArrayType(_struct(cls=_S, env=_S, explicit_target=_S)))
+MODS = _struct(id=_S, name=_S, version=_S, namespace=_S, loader=_S, minecraft_version=_S, license=_S, dependencies=T.ArrayType(DEPENDENCY), providers=T.ArrayType(_S), source_file=_S, ord=_I)
+CONTAINERS = _struct(mod_id=_S, file_name=_S, is_dir=_B, bytes=_L, entries=_I, mixin_paths=T.ArrayType(_S), manifest=T.MapType(_S, _S), read_error=_S)
+MIXINS = _struct(source=_S, mod_id=_S, package=_S, required=_B, level=_S, refmap=_S, entries=T.ArrayType(_struct(cls=_S, env=_S, explicit_target=_S)))
 COUNTS = _struct(kind=_S, namespace=_S, n=_L)
-FINDINGS = _struct(kind=_S, severity=_S, subject=_S, message=_S, detail=T.ArrayType(_struct(k=_S, v=_S)))
+PAIRS = T.ArrayType(_struct(k=_S, v=_S))
+FINDINGS = _struct(kind=_S, severity=_S, subject=_S, message=_S, detail=PAIRS)
+#: What analyses and registries without a kind of their own emit.
+RECORDS = _struct(kind=_S, namespace=_S, key=_S, name=_S, values=T.ArrayType(_S), extra=PAIRS)
+FAILURES = _struct(kind=_S, id=_S, error=_S)
 RESOURCES = _struct(path=_S, pack=_S, priority=_I, content=_S)
-RULES = _struct(strategy=_S, kind=_S, severity=_S, mod=_S, mods=T.ArrayType(_S), target=_S, namespace=_S, value=_L)
+RULES = _struct(strategy=_S, datapack=_S, kind=_S, severity=_S, mod=_S, mods=T.ArrayType(_S), target=_S, namespace=_S, value=_L, message=_S)
 SNAPSHOT = _struct(path=_S, fingerprint=_S)

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratalog.functions.names import dependency_kind
+
 #: Fields of world generation documents that refer to others, and that are counted.
 REFERENCES = ("feature", "fallback", "start_pool", "preset")
 COUNTED = ("elements", "processors")
@@ -221,17 +223,60 @@ def _as(kind: str):
     return lambda e: F.struct(e["key"].alias("id"), e["value"].alias("range"), F.lit(kind).alias("kind"))
 
 
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
+def _strings(root: Column, path: str) -> Column:
+    listed = F.transform(F.coalesce(_items(_at(root, path)), F.array().cast("array<variant>")), lambda x: F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string")))
+    return F.array_compact(listed)
+
+
 def descriptors(files: DataFrame) -> DataFrame:
-    """(path, content) of mod descriptors as (id, version, dependencies): lists of one loader, maps of the other."""
+    """(path, content) of mod descriptors as facts: (path, id, name, version, dependencies, providers, mixins).
+
+    One loader keeps maps of ids and ranges, or lists of ids, under several names; the other nests
+    all under ``quilt_loader`` and lists what it requires and provides. Documents without id are left out.
+    """
     root = parsed(F.col("content"))
+    nested = _at(root, "$.quilt_loader")
+    is_nested = _is(nested, "OBJECT")
     kinds = {"depends": "REQUIRED", "recommends": "OPTIONAL", "suggests": "OPTIONAL", "conflicts": "INCOMPATIBLE", "breaks": "INCOMPATIBLE"}
     parts = []
     for field, kind in kinds.items():
-        pairs = F.map_entries(F.try_variant_get(root, f"$.{field}", "map<string,string>"))
-        listed = F.transform(_items(_at(root, f"$.{field}")), lambda x: F.struct(F.coalesce(_text(x, "$.id"), F.try_variant_get(x, "$", "string")).alias("key"), F.try_variant_get(x, "$.versions", "string").alias("value")))
-        entries = F.coalesce(F.when(_is(_at(root, f"$.{field}"), "OBJECT"), pairs), listed)
-        parts.append(F.transform(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), _as(kind)))
-    return files.filter(_is(root, "OBJECT")).select("path", _text(root, "$.id").alias("id"), _text(root, "$.version").alias("version"), F.concat(*parts).alias("dependencies"))
+        pairs = F.filter(F.map_entries(F.try_variant_get(root, f"$.{field}", "map<string,variant>")), lambda e: e["key"] != "")
+        text = lambda v: F.coalesce(F.when(_is(v, "STRING"), F.try_variant_get(v, "$", "string")), F.to_json(v))
+        mapped = F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), F.when(~_is(e["value"], "VOID"), text(e["value"])).alias("value")))
+        listed = F.transform(F.filter(_strings(root, f"$.{field}"), lambda x: x != ""), lambda x: F.struct(x.alias("key"), F.lit(None).cast("string").alias("value")))
+        entries = F.coalesce(F.when(_is(_at(root, f"$.{field}"), "OBJECT"), mapped), listed).cast(_ENTRIES)
+        parts.append(F.transform(entries, _as(kind)))
+    needs = F.transform(F.coalesce(_items(_at(nested, "$.depends")), F.array().cast("array<variant>")), lambda x: F.struct(_text(x, "$.id").alias("key"), F.try_variant_get(x, "$.versions", "string").alias("value")))
+    needs = F.transform(F.filter(needs, lambda e: e["key"].isNotNull()).cast(_ENTRIES), _as("REQUIRED"))
+    gives = F.array_compact(F.transform(F.coalesce(_items(_at(nested, "$.provides")), F.array().cast("array<variant>")), lambda x: F.coalesce(_text(x, "$.id"), F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string")))))
+    pick = lambda a, b: F.when(is_nested, a).otherwise(b)
+    rows = files.filter(_is(root, "OBJECT")).select(
+        "path",
+        pick(_text(nested, "$.id"), _text(root, "$.id")).alias("id"),
+        pick(_text(nested, "$.metadata.name"), _text(root, "$.name")).alias("name"),
+        pick(_text(nested, "$.version"), _text(root, "$.version")).alias("version"),
+        pick(needs, F.concat(*parts)).alias("dependencies"),
+        pick(gives, F.array().cast("array<string>")).alias("providers"),
+        pick(_strings(nested, "$.metadata.mixins"), _strings(root, "$.mixins")).alias("mixins"),
+    )
+    return rows.filter(F.coalesce("id", F.lit("")) != "")
+
+
+def loader_dependencies(rows: DataFrame, loader: str) -> DataFrame:
+    """(id, range, type, mandatory) entries with ``kind``: what each loader says of how much it needs another mod.
+
+    NeoForge names requirements and incompatibilities, all else is optional; Forge only knows whether
+    an entry is mandatory; the descriptors of Fabric and Quilt have said it already (``descriptors``).
+    """
+    if loader == "forge":
+        return rows.withColumn("kind", F.when(F.coalesce("mandatory", F.lit(False)), "REQUIRED").otherwise("OPTIONAL"))
+    if loader == "neoforge":
+        word = F.upper(F.trim("type"))
+        return rows.withColumn("kind", F.when(word.isin("REQUIRED", "INCOMPATIBLE"), word).otherwise("OPTIONAL"))
+    return rows.withColumn("kind", dependency_kind(F.col("type")))
 
 
 def winners(files: DataFrame) -> DataFrame:
@@ -241,13 +286,20 @@ def winners(files: DataFrame) -> DataFrame:
     return winner(files, "path", "priority", "pack")
 
 
-#: Prefixes of asset paths that are always swept.
-ASSET_PREFIXES = ("models/", "textures/", "blockstates/", "shaders/", "particles/", "atlases/", "font/", "texts/", "lang/")
+#: Folders of assets that are always swept, and files at a namespace's root.
+ASSET_FOLDERS = ("models", "textures", "blockstates", "shaders", "particles", "atlases", "font", "texts", "lang")
+ROOT_FILES = ("sounds.json",)
+_PLAIN = re.compile(r"[a-z0-9_-][a-z0-9_.-]*")
+
+
+def _with_declared(known: tuple[str, ...], declared: tuple[str, ...]) -> list[str]:
+    """The known names, then the declared ones that can be swept, in order."""
+    return [*known, *sorted({d for d in declared if d and _PLAIN.fullmatch(d)} - set(known))]
 
 
-def sweep(files: DataFrame, declared: tuple[str, ...] = ()) -> DataFrame:
-    """Files under the built-in and declared prefixes; hidden segments are rejected."""
-    prefixes = sorted({*ASSET_PREFIXES, *(p.rstrip("/") + "/" for p in declared if p.strip("/"))})
-    path = F.col("path")
-    under = F.exists(F.array(*[F.lit(p) for p in prefixes]), lambda p: path.startswith(p))
-    return files.filter(under & ~path.rlike(r"(^|/)\.") & ~path.contains("\\"))
+def sweep(files: DataFrame, declared: tuple[str, ...] = (), root_files: tuple[str, ...] = ()) -> DataFrame:
+    """Files below the built-in and declared folders, and named ones at the root; hidden and empty segments are rejected."""
+    path = F.regexp_replace("path", "^/", "")
+    under = F.substring_index(path, "/", 1).isin(*_with_declared(ASSET_FOLDERS, declared)) & path.contains("/")
+    at_root = path.isin(*_with_declared(ROOT_FILES, root_files))
+    return files.filter((under | at_root) & ~path.rlike(r"(^|/)(\.|/|$)") & (path != ""))

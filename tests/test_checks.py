@@ -8,7 +8,7 @@ from stratalog.streaming import incremental
 
 def mods(spark, *rows):
     """(id, version, namespace, loader, game, dependencies, providers)"""
-    full = [(i, i, v, ns, ld, mc, deps, prov, None, n) for n, (i, v, ns, ld, mc, deps, prov) in enumerate(rows)]
+    full = [(i, i, v, ns, ld, mc, None, deps, prov, None, n) for n, (i, v, ns, ld, mc, deps, prov) in enumerate(rows)]
     return spark.createDataFrame(full, schema.MODS)
 
 
@@ -27,34 +27,78 @@ def test_dependency_graph(spark):
     assert found(checks.dependency_graph(m)) == [("contradictory_declaration", "a"), ("declared_incompatibility", "a"), ("declared_incompatibility", "c"), ("duplicate_mod_id", "b"), ("missing_dependency", "a")]
     mutual = {(r.src, r.dst): r.mutual for r in checks.incompatible(checks.edges(m), m.select("id")).collect()}
     assert mutual == {("a", "c"): True, ("c", "a"): True}
-    records = {r.id: (r.version, r.required_by, r.missing) for r in checks.dependency_records(m).collect()}
-    assert records == {"a": ("1.0", ["c"], 1), "b": ("2.5", ["a"], 0), "c": (None, [], 0)}
-    got = found(checks.compatibility(m, "quilt", "1.21.1"))
-    assert got == [("built_for_another_game_version", "1.20"), ("built_for_another_game_version", "b"), ("built_for_another_loader", "b"), ("version_out_of_range", "a"), ("version_range_unreadable", "b")]
+    records = {(r.key, dict(r.extra).get("version")): (r["values"], dict(r.extra)) for r in checks.dependency_records(m).collect()}
+    assert {k: v for k, (v, _) in records.items()} == {("dep:a", "1.0"): ["b@[1,2)", "gone"], ("dep:b", "2.5"): [], ("dep:c", None): ["a"], ("dep:b", "9"): []}
+    own = records["dep:a", "1.0"][1]
+    assert (own["missingRequired"], own["dependencyCount"], own["optionalOn"], own["declaresIncompatible"], own["requiredBy"], own["dependentsCount"]) == ("1", "4", "x", "c", "c", "1")
+    got = found(checks.compatibility(m, "Quilt", "1.21.1"))
+    assert got == [("built_for_another_game_version", "1.20"), ("built_for_another_game_version", "b"), ("built_for_another_loader", "b"), ("version_out_of_range", "b"), ("version_range_unreadable", "a")]
+    assert found(checks.compatibility(m, None, None)) == [("version_out_of_range", "b"), ("version_range_unreadable", "a")]
     assert found(checks.namespace_claims(m)) == [("namespace_conflict", "shared")]
+    spaces = {r.namespace: dict(r.extra) for r in checks.namespace_records(m).collect()}
+    assert spaces["shared"] == {"owners": "a, b", "ownerCount": "2", "conflict": "true"} and spaces["c"]["conflict"] == "false"
     observed = spark.createDataFrame([("a",), ("lost",), ("_global",)], "namespace string")
     assert found(checks.orphan_namespaces(observed, m)) == [("orphan_namespace", "lost")]
 
 
+def test_requirements_in_a_ring(spark):
+    """A ring of four closes one cycle; optional, absent and own edges close none; two ways to one mod are no cycle."""
+    need = lambda *ids: [(i, None, "REQUIRED") for i in ids]
+    ring = mods(spark, *[(i, "1", None, None, None, need(j), []) for i, j in ("wx", "xy", "yz", "zw")], ("o", "1", None, None, None, [("w", None, "OPTIONAL"), *need("o", "none", "w")], []))
+    (r,) = [x for x in checks.compatibility(ring, None, None).collect() if x.kind == "requiring_cycle"]
+    assert r.subject == "w" and r.severity == "WARN" and {k: v for k, v in r.detail} == {"loop": "w -> x -> y -> z -> w", "length": "4"}
+    both = mods(spark, ("a", "1", None, None, None, need("b", "c"), []), ("b", "1", None, None, None, need("d"), []), ("c", "1", None, None, None, need("d"), []), ("d", "1", None, None, None, [("a", None, "OPTIONAL")], []))
+    assert found(checks.compatibility(both, None, None)) == []
+
+
+def test_kinds_of_dependencies_and_ranges(spark):
+    """Every kind but a rejection has its range judged; the finding is the present mod's."""
+    deps = [("p", "[5,6]", k) for k in ("REQUIRED", "OPTIONAL", "EMBEDDED", "UNKNOWN", "INCOMPATIBLE")] + [("p", " ", "REQUIRED"), ("absent", "[1]", "REQUIRED")]
+    m = mods(spark, ("q", "1", None, None, "[1.21,", deps, []), ("p", "7", None, "FABRIC", "1.21", [], []))
+    rows = checks.compatibility(m, "fabric", "1.21").collect()
+    assert [(r.kind, r.subject) for r in rows] == [("version_out_of_range", "p")] * 4
+    assert sorted(dict(r.detail)["dependency_kind"] for r in rows) == ["embedded", "optional", "required", "unknown"] and {dict(r.detail)["required_by"] for r in rows} == {"q"}
+
+
 def test_containers_and_mixins(spark):
     m = mods(spark, ("a", "1", "ns", None, None, [], []), ("b", "1", None, None, None, [], []))
-    c = spark.createDataFrame([("a", "a.jar", False, 64 << 20, 3, ["x.json", "y.json"], None), ("q", "q.jar", False, 1, 0, [], "bad zip")], schema.CONTAINERS)
-    x = spark.createDataFrame([("x.json", "a", [("C1", "client", "T"), ("C2", "server", None)]), ("z.json", "b", [("C3", "both", "T")])], schema.MIXINS)
-    got = found(checks.container_checks(c, m, x))
-    assert got == [("dangling_mixin_declaration", "a"), ("large_container", "a"), ("no_container", "b"), ("unreadable_container", "q")]
-    assert found(checks.container_checks(c.limit(0), m, x)) == []
-    assert found(checks.mixin_checks(x, m)) == [("mixin_targets_uncorrelated", "_global"), ("shared_mixin_target", "T")]
-    order = [(r.severity, r.kind) for r in checks.ordered(checks.container_checks(c, m, x)).collect()]
+    rows = [("a", "a.jar", False, 64 << 20, 3, ["x.json"], {"MixinConfigs": "x.json"}, None), ("c", "c.jar", False, 5, 1, [], {"MixinConfigs": " , "}, None), ("d", "d.jar", False, 5, 1, [], {}, None), ("q", "q.jar", False, 1, 0, [], {"MixinConfigs": ","}, "bad zip")]
+    c = spark.createDataFrame(rows, schema.CONTAINERS)
+    x = spark.createDataFrame([("x.json", "a", "p", True, "J", None, [("C1", "client", "T"), ("C2", "server", None)]), ("z.json", "b", "p", None, None, "r", [("C3", "both", "T")]), ("y.json", None, "p", None, None, None, [("C4", "common", "U"), ("C4", "client", "U")])], schema.MIXINS)
+    got = found(checks.container_checks(c, m))
+    assert got == [("dangling_mixin_declaration", "c"), ("large_container", "a"), ("no_container", "b"), ("unreadable_container", "q")]
+    assert found(checks.container_checks(c.limit(0), m)) == []
+    assert found(checks.mixin_checks(x)) == [("mixin_targets_uncorrelated", "_global"), ("shared_mixin_target", "T")]
+    alone = x.filter("mod_id is null").union(x.filter("mod_id is null").withColumn("source", F.lit("w.json")))
+    assert found(checks.mixin_checks(alone)) == [("shared_mixin_target", "U")]  # a configuration without mod counts under its source
+    records = {r.key: (r.namespace, r["values"], dict(r.extra)["mixinClasses"]) for r in checks.mixin_records(x, m).collect()}
+    assert records == {"mixin:x.json": ("ns", ["T", "C2"], "2"), "mixin:z.json": ("_global", ["T"], "1"), "mixin:y.json": ("_global", ["U"], "2")} or records["mixin:z.json"][0] is None
+    facts = {r.mod_id: dict(r.facts) for r in checks.container_facts(c).collect()}
+    assert facts["a"] == {"container": "a.jar", "containerKind": "jar", "containerBytes": str(64 << 20), "containerEntries": "3", "manifest.MixinConfigs": "x.json"}
+    order = [(r.severity, r.kind) for r in checks.ordered(checks.container_checks(c, m)).collect()]
     assert order == sorted(order, key=lambda o: (schema.SEVERITIES[o[0]], o[1]))
 
 
 def test_rules_and_shadowing(spark):
-    m = mods(spark, ("a", "1", None, None, None, [], []))
-    r = spark.createDataFrame([("s", "require-mod", None, "zz", None, None, None, None), ("t", "REQUIRE_TOGETHER", "ERROR", None, ["b", "a"], None, None, None), ("u", "MUTUALLY_EXCLUSIVE", None, None, ["a", "b"], None, None, None)], schema.RULES)
-    entries = spark.createDataFrame([], "target string, owner string, explicit boolean")
-    assert [(x.kind, x.severity, x.subject) for x in rules.apply_pre(r, m, entries).orderBy("kind").collect()] == [("rule:s", "WARN", "zz"), ("rule:t", "ERROR", "a")]
-    rows = spark.createDataFrame([("f", 1, "p"), ("f", 2, "q"), ("f", 2, "r"), ("g", 0, "p")], "id string, rank int, source string")
-    assert sorted((x.source, x.winner, x.severity) for x in checks.shadowed(rows).collect()) == [("p", "q", "INFO"), ("r", "q", "WARN")]
+    m = mods(spark, ("a", "1", None, None, None, [], []), ("c", "1", None, None, None, [], []))
+    rule = lambda name, kind, **k: (name, "ns", kind, k.get("severity"), k.get("mod"), k.get("mods"), k.get("target"), None, None, k.get("message"))
+    r = spark.createDataFrame([rule("s", "require-mod", mod="zz", message="own words"), rule("t", "REQUIRE_TOGETHER", severity="ERROR", mods=["b", "c", "a"]), rule("u", "MUTUALLY_EXCLUSIVE", mods=["a", "b"]), rule("v", "FORBID_MIXIN_TARGET", target="T")], schema.RULES)
+    entries = spark.createDataFrame([("T", "m2", True), ("T", "m1", True), ("T", "m0", False)], "target string, owner string, explicit boolean")
+    got = sorted((x.kind, x.severity, x.subject, dict(x.detail)["strategy"]) for x in rules.apply_pre(r, m, entries).collect())
+    assert got == [("rule:forbid_mixin_target", "WARN", "m1,m2", "v"), ("rule:require_mod", "WARN", "zz", "s"), ("rule:require_together", "ERROR", "c,a", "t")]
+    rows = spark.createDataFrame([("f", 1, "p"), ("f", 1, "o"), ("f", 2, "q"), ("f", 2, "r"), ("g", 0, "p")], "id string, rank int, source string")
+    assert sorted((x.source, x.winner, x.severity) for x in checks.shadowed(rows).collect()) == [("o", "q", "INFO"), ("p", "o", "WARN"), ("r", "q", "WARN")]
+
+
+def test_coverage(spark):
+    """Two kinds counted, one of them filtered too, a third only filtered."""
+    counts = spark.createDataFrame([("item", "n2", 3, 1), ("item", "n1", 2, 0), ("sound", "n1", 1, 0), ("fluid", "n3", 0, 4)], "kind string, namespace string, counted long, filtered long")
+    got = {r.kind: (r.total, r.filtered, r.namespaces, r.by_namespace) for r in routing.coverage(counts).collect()}
+    assert got == {"item": (5, 1, 2, "n1=2, n2=3"), "sound": (1, 0, 1, "n1=1"), "fluid": (0, 4, 0, "")}
+    records = {r.key: dict(r.extra) for r in checks.coverage_records(routing.coverage(counts)).collect()}
+    assert records["coverage:item"] == {"counted": "5", "filtered": "1", "namespaces": "2", "source": "registry", "byNamespace": "n1=2, n2=3"} and "byNamespace" not in records["coverage:fluid"]
+    totals = spark.createDataFrame([(6, 5, 2, 2)], "counted long, filtered long, namespaces long, kinds long")
+    assert {r.kind: dict(r.detail) for r in checks.coverage_findings(totals).collect()} == {"filter_discarded_elements": {"discarded": "5", "kept": "6"}, "collection_summary": {"total": "6", "namespaces": "2", "categories": "2"}}
 
 
 def test_routing(spark):
@@ -79,6 +123,9 @@ def test_snapshot_and_second_run(spark):
     snap = delta.read_snapshot(lines)
     assert {r.path: r.fingerprint[:2] for r in snap.collect()} == {"x": "cd", "z": "ab"}
     assert delta.read_snapshot(lines.filter("n > 0")).count() == 0
+    new = spark.createDataFrame([("x", "ee" * 32), ("w", sha), ("v", sha)], "path string, fingerprint string")
+    summary = delta.change_summary(delta.verdicts(snap, new)).first()
+    assert (summary.new, summary.changed, summary.unchanged, summary.removed, summary.workload) == (2, 1, 0, 1, 4)
     judged = delta.verdicts(snap, snap)
     assert {r.verdict for r in judged.collect()} == {"UNCHANGED"} and delta.to_write(judged, snap).count() == 0
     assert [r.value[-1] for r in delta.manifest_lines(snap).collect()] == ["x", "z"]

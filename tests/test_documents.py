@@ -1,4 +1,5 @@
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -52,11 +53,53 @@ def test_function(spark):
 
 
 def test_descriptors_and_sweep(spark):
-    files = spark.createDataFrame([("x", '{"id":"m","version":"1","depends":{"a":">=1"},"breaks":{"b":"*"}}'), ("y", '{"id":"q","depends":[{"id":"c","versions":"[1,2)"},"e"]}'), ("z", "no")], "path string, content string")
-    got = {r.id: [tuple(x) for x in r.dependencies] for r in d.descriptors(files).collect()}
-    assert got == {"m": [("a", ">=1", "REQUIRED"), ("b", "*", "INCOMPATIBLE")], "q": [("c", "[1,2)", "REQUIRED"), ("e", None, "REQUIRED")]}
-    paths = spark.createDataFrame([(p,) for p in ("textures/a.png", "textures/.hidden/a", "other/x", "extra/y")], "path string")
-    assert sorted(r.path for r in d.sweep(paths, ("extra",)).collect()) == ["extra/y", "textures/a.png"]
+    files = spark.createDataFrame(
+        [
+            ("x", '{"id":"m","name":"M","version":"1","depends":{"a":">=1","":"no","l":["1","2"]},"breaks":{"b":"*"},"mixins":["m.json",3]}'),
+            ("y", '{"quilt_loader":{"id":"q","version":"2","depends":[{"id":"c","versions":"[1,2)"},{"x":1},"e"],"provides":["p",{"id":"r"}],"metadata":{"name":"Q"}}}'),
+            ("w", '{"id":"w","depends":["c","e"]}'),
+            ("z", "no"),
+            ("v", '{"name":"no id"}'),
+        ],
+        "path string, content string",
+    )
+    got = {r.id: r for r in d.descriptors(files).collect()}
+    deps = {i: [tuple(x) for x in r.dependencies] for i, r in got.items()}
+    assert deps == {"m": [("a", ">=1", "REQUIRED"), ("l", '["1","2"]', "REQUIRED"), ("b", "*", "INCOMPATIBLE")], "q": [("c", "[1,2)", "REQUIRED")], "w": [("c", None, "REQUIRED"), ("e", None, "REQUIRED")]}
+    assert got["q"].providers == ["p", "r"] and got["q"].name == "Q" and got["m"].mixins == ["m.json"] and got["m"].providers == []
+    rows = spark.createDataFrame([("a", None, "required", True), ("b", None, "DISCOURAGED", False), ("c", None, "incompatible", None)], "id string, range string, type string, mandatory boolean")
+    kinds = lambda loader: [r.kind for r in d.loader_dependencies(rows, loader).collect()]
+    assert kinds("neoforge") == ["REQUIRED", "OPTIONAL", "INCOMPATIBLE"] and kinds("forge") == ["REQUIRED", "OPTIONAL", "OPTIONAL"] and kinds("fabric") == ["REQUIRED", "UNKNOWN", "INCOMPATIBLE"]
+    names = ("textures/a.png", "textures/.hidden/a", "other/x", "extra/y", "sounds.json", "a/b/c", ".x/y", "/lang/en.json", "textures//a", "textures/", "splash.txt", "other.txt", "Bad/x")
+    paths = spark.createDataFrame([(p,) for p in names], "path string")
+    assert sorted(r.path for r in d.sweep(paths, ("extra", "a/b", ".x", "Bad"), ("splash.txt",)).collect()) == ["/lang/en.json", "extra/y", "sounds.json", "splash.txt", "textures/a.png"]
+
+
+def plain_fold(text):
+    """(commands, comments, macros, lines, unterminated), line by line."""
+    lines = text.replace("\r", "").split("\n")
+    lines = lines[:-1] if lines[-1] == "" else lines
+    out, held = [0, 0, 0, len(lines), False], None
+    for i, line in enumerate(lines):
+        line = line.strip()
+        joined = (held or "") + (line[:-1] if line.endswith("\\") else line)
+        held = joined if line.endswith("\\") else None
+        if held is not None and i < len(lines) - 1:
+            continue
+        out[4] |= held is not None
+        joined = joined.strip()
+        if joined and joined[0] != "/":
+            out["#$".find(joined[0]) + 1 if joined[0] in "#$" else 0] += 1
+    return tuple(out)
+
+
+def test_fold_of_all_documents(spark):
+    """Every document as it is, and again with lines that end in backslashes, comments and macros."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    marked = [re.sub("[.,] ", "\\\\\n# $", t) for t in docs] + [t.replace("e ", "\\ \r\n$") for t in docs]
+    marked += [t.replace("\n", "\n$") for t in docs]
+    rows = spark.createDataFrame([(t,) for t in docs + marked], "text string").select("text", d.function(F.col("text")).alias("f")).collect()
+    assert all((r.f.commands, r.f.comments, r.f.macros, r.f.lines, r.f.unterminated) == plain_fold(r.text) for r in rows) and any(r.f.macros for r in rows)
 
 
 def test_cycles(spark):
@@ -68,6 +111,18 @@ def test_cycles(spark):
     assert {r.node for r in graphs.on_cycle(e).collect()} == set("abcmn")
 
 
+def test_cycle_nodes_against_closure(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, m in ((30, 35), (12, 30)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        reach = {a: {y for x, y in edges if x == a and y != a} for a in range(n)}
+        for _ in range(n):
+            reach = {a: near.union(*(reach[b] for b in near)) for a, near in reach.items()}
+        assert {r.node for r in graphs.on_cycle(spark.createDataFrame(edges, "a int, b int")).collect()} == {a for a in reach if a in reach[a]}
+
+
 def test_chains(spark):
     parents = [(i, i // 2 if i > 1 else None) for i in range(1, 40)] + [(100, 101), (101, 100), (102, 100), (200, 999)]
     got = {r.node: (r.top, r.levels) for r in graphs.chain_levels(spark.createDataFrame(parents, "node long, parent long")).collect()}
@@ -85,7 +140,7 @@ def test_sinks(spark, tmp_path):
     text = {}
     for form in sinks.FORMATS:
         sinks.write(items, "item", form, str(tmp_path / form))
-        text[form] = {p.name: "\n".join(f.read_text() for f in sorted(p.glob("part-*"))) for p in (tmp_path / form).glob("namespace=*")}
+        text[form] = {p.name: "\n".join(f.read_text().rstrip("\n") for f in sorted(p.glob("part-*"))) for p in (tmp_path / form).glob("namespace=*")}
         assert text[form].keys() == {"namespace=m", "namespace=n"}
     body = json.loads(text["json"]["namespace=m"])["items"]
     assert [x["registry_name"] for x in body] == ["m:a", "m:b"] and body[1]["tags"] == ["t", 'q"']
@@ -98,3 +153,21 @@ def test_sinks(spark, tmp_path):
     root = ET.fromstring(text["xml"]["namespace=m"])
     assert [v.text for v in root[1].find("tags")] == ["t", 'q"'] and root[0].find("name").text == "x<y"
     assert "  - registry_name: \"m:a\"" in text["yaml"]["namespace=m"] and "    tags: []" in text["yaml"]["namespace=m"]
+
+
+def test_sinks_keep_odd_text_and_equal_names(spark, tmp_path):
+    """Control characters, and records that share a name or have none, give documents that parse."""
+    import tomllib
+    import xml.etree.ElementTree as ET
+
+    odd = 'a\bb\u0001c\td\\e"f\ng\u007f<é'
+    rows = [("m:a", "m", odd), ("m:a", "m", odd), ("m:a", "m", "z"), (None, "m", "y"), (None, "m", "y")]
+    items = spark.createDataFrame(rows, "registry_name string, namespace string, name string")
+    text = {}
+    for form in ("json", "toml", "xml", "ndjson"):
+        sinks.write(items, "item", form, str(tmp_path / form))
+        text[form] = "\n".join(f.read_text().rstrip("\n") for f in sorted((tmp_path / form / "namespace=m").glob("part-*")))
+    want = sorted([odd, odd, "z", "y", "y"])
+    assert sorted(x["name"] for x in json.loads(text["json"])["items"]) == want == sorted(json.loads(x)["name"] for x in text["ndjson"].splitlines())
+    assert sorted(x["name"] for x in tomllib.loads(text["toml"])["items"]) == want
+    assert sorted(x.find("name").text for x in ET.fromstring(text["xml"])) == sorted(t.replace("\b", "\ufffd").replace("\u0001", "\ufffd") for t in want)
