@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import versions
@@ -256,7 +256,8 @@ def _rules(spark) -> DataFrame:
     return spark.createDataFrame(RULES, schema)
 
 
-_STRATEGY = F.element_at(F.map_from_entries("detail"), "strategy").alias("strategy")
+def _strategy() -> Column:
+    return F.element_at(F.map_from_entries("detail"), "strategy").alias("strategy")
 
 
 @query(f"""
@@ -271,7 +272,7 @@ UNION ALL SELECT 'rule:forbid_mixin_target', 'WARN', string_agg(DISTINCT CAST(us
 def rules_pre(table, spark):
     mods = table("part").select(F.split("p_type", " ")[0].alias("id"))
     entries = table("events").select(F.col("event_type").alias("target"), (F.col("user_id") % 7).cast("string").alias("owner"), (F.col("value") > 1).alias("explicit"))
-    return rules.apply_pre(_rules(spark), mods, entries).select("kind", "severity", "subject", _STRATEGY, "message")
+    return rules.apply_pre(_rules(spark), mods, entries).select("kind", "severity", "subject", _strategy(), "message")
 
 
 @query("""
@@ -286,7 +287,7 @@ UNION ALL SELECT 'rule_failed', 'WARN', 'what', 'what'
 def rules_post(table, spark):
     items = table("part").groupBy(F.lit("item").alias("kind"), F.col("p_brand").alias("namespace")).agg(F.count("*").alias("n"))
     events = table("events").groupBy(F.lit("sound").alias("kind"), F.col("event_type").alias("namespace")).agg(F.count("*").alias("n"))
-    return rules.apply_post(_rules(spark), items.union(events)).select("kind", "severity", "subject", _STRATEGY)
+    return rules.apply_post(_rules(spark), items.union(events)).select("kind", "severity", "subject", _strategy())
 
 
 # positional merges
