@@ -75,6 +75,9 @@ def test_edges(spark):
         by[source] += r.taken
         goal[source] = r.target
     assert all(abs(by[s] - t) <= 1 for s, t in goal.items())
+    mixed = mix_documents(df.withColumn("key", F.lit(1)).withColumn("_key", F.lit(2)), block_words=4, shard_slots=5)
+    got = mixed.collect()
+    assert len(got) == sum(r.taken > 0 for r in rows) and sum(len(WORD.findall(r.text)) for r in got) == sum(r.taken for r in rows) and all((r.key, r._key) == (1, 2) for r in got)
     assert taken(df.limit(0)).count() == 0 and mix_documents(df.limit(0)).count() == 0
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -69,3 +70,27 @@ def test_chains_on_unseen_strings(spark):
     rows = df.select("s", "random", (secrets.mean_ratio(F.col("s"), table) > 0.5).alias("hit")).collect()
     assert sum(r.hit for r in rows if r.random) >= 0.97 * len(rand)
     assert [r.s for r in rows if r.hit and not r.random] == []
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """A megabyte of base64 in one run, and twenty thousand secrets in one text; both once took time by the square."""
+    rng = random.Random(1)
+    blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=1 << 20))
+    many = " ".join(f"api_key='{''.join(rng.choices(string.ascii_letters, k=12))}' x" for _ in range(20000))
+    df = spark.createDataFrame([(1, blob), (2, many)], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.perf_counter() - began < 60  # seconds either way; hours by the square
+    assert got[1] == "[SECRET]" and got[2].count("[SECRET]") == 20000
+
+
+def test_overlaps_against_plain_rule(spark):
+    """A random run counts only where it overlaps no base span, wherever that starts."""
+    deep = "".join(random.Random(5).choices(string.ascii_letters + string.digits, k=30))
+    texts = [f"token={deep}", f"{deep}/token=abcdefgh", f"{deep} token=abcdefgh {deep}", f"AKIA{'Q' * 14}/{deep}", f"{deep}={'0123456789abcdef' * 3}"]
+    got = {r.doc_id: [(a, k, b) for a, k, b in r.found] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, text in enumerate(texts):
+        base, runs = base_spans(text), [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text)]
+        free = {(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in base)}
+        assert {(a, b) for a, k, b in got[d] if k == 3} <= free and [x for x in got[d] if x[1] < 3] == base
+    assert sum(k == 3 for _, k, _ in got[2]) == 2

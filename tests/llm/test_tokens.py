@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratalog.llm import packing, token_files, tokens
 from stratalog.llm.packing import OpenWindows, op4_packing, pack, pack_documents
@@ -137,8 +138,6 @@ def test_op4(spark):
 
 
 def test_op4_edges(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumn("start", F.lit("x"))
     for chunk in (10, 1 << 20):
         rows = pack_documents(df, chunk_bytes=chunk).withColumn("ids_crc32", F.crc32("ids")).collect()
@@ -175,6 +174,8 @@ def test_op2(spark, sf):
 
 def test_op2_edges_and_random_access(spark):
     df = spark.createDataFrame([*enumerate(ODD), (None, "last"), (3, "again")], "doc_id long, text string")
+    for c in ("id", "start", "n_tokens", "base", "shard"):
+        df = df.withColumn(c, F.lit("x"))
     manifest = token_files.write_token_files(df, length=8)
     got = sorted(token_files.read_digests(manifest).collect(), key=lambda r: r.start)
     order = sorted([*enumerate(ODD), (None, "last"), (3, "again")], key=lambda r: (r[0] is None, r[0], r[1] or ""))
