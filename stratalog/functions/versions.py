@@ -48,10 +48,14 @@ def _prefix(version: Column, spec: Column) -> Column:
     return F.when(version.startswith(F.concat(F.expr("''"), F.substring(spec, F.lit(1), F.length(spec) - 2), F.lit("."))), SATISFIED).otherwise(VIOLATED)
 
 
-def _bound(version: Column, spec: Column, wrong: int, open_: Column) -> Column:
-    """Null where the bound holds, else the verdict that it settles."""
-    c = compare(version, spec)
-    plain = F.when(c == INCOMPARABLE, UNKNOWN).when((c == wrong) | ((c == 0) & open_), VIOLATED)
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` reads it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _bound(version: Column, spec: Column, order: Column, wrong: int, open_: Column) -> Column:
+    """Null where the bound holds, else the verdict that it settles; ``order`` is that of the version and the bound."""
+    plain = F.when(order == INCOMPARABLE, UNKNOWN).when((order == wrong) | ((order == 0) & open_), VIOLATED)
     return F.when(spec == "", F.lit(None).cast("string")).when(_wildcard(spec), _prefix(version, spec)).otherwise(plain)
 
 
@@ -59,13 +63,24 @@ def check_interval(version: Column, interval: Column) -> Column:
     first, last = F.substring(interval, 1, 1), F.substring(interval, -1, 1)
     bracketed = first.isin("[", "(")
     body = F.when(bracketed, F.substring(interval, F.lit(2), F.length(interval) - 2)).otherwise(interval)
-    comma = F.instr(body, ",")
-    low = F.trim(F.substring(body, F.lit(1), F.greatest(comma - 1, F.lit(0))))
-    high = F.trim(F.substring(body, comma + 1, F.length(body)))
-    single = F.trim(body)
-    exact = F.when(single == "", UNKNOWN).when(_wildcard(single), _prefix(version, single)).when(compare(version, single) == 0, SATISFIED).otherwise(VIOLATED)
-    ranged = F.coalesce(_bound(version, low, -1, first == "("), _bound(version, high, 1, last == ")"), F.lit(SATISFIED))
-    return F.when(interval == "", UNKNOWN).when(bracketed & ~last.isin("]", ")"), UNKNOWN).when(~bracketed & interval.contains(","), UNKNOWN).when(comma == 0, exact).otherwise(ranged)
+
+    def cut(t: Column) -> Column:
+        comma = F.instr(t, ",")
+        low, high = F.trim(F.substring(t, F.lit(1), F.greatest(comma - 1, F.lit(0)))), F.trim(F.substring(t, comma + 1, F.length(t)))
+        return F.struct(comma.alias("comma"), low.alias("low"), high.alias("high"))  # without a comma, high is the whole
+
+    def verdict(p: Column) -> Column:
+        orders = F.struct(F.when(p["comma"] > 0, compare(version, p["low"])).alias("low"), compare(version, p["high"]).alias("high"))
+        return _let(F.struct(p["comma"].alias("comma"), p["low"].alias("low"), p["high"].alias("high"), orders.alias("order")), settled)
+
+    def settled(p: Column) -> Column:
+        single = p["high"]
+        exact = F.when(single == "", UNKNOWN).when(_wildcard(single), _prefix(version, single)).when(p["order"]["high"] == 0, SATISFIED).otherwise(VIOLATED)
+        ranged = F.coalesce(_bound(version, p["low"], p["order"]["low"], -1, first == "("), _bound(version, p["high"], p["order"]["high"], 1, last == ")"), F.lit(SATISFIED))
+        return F.when(p["comma"] == 0, exact).otherwise(ranged)
+
+    broken = (interval == "") | (bracketed & ~last.isin("]", ")")) | (~bracketed & interval.contains(","))
+    return F.when(broken, UNKNOWN).otherwise(_let(_let(body, cut), verdict))
 
 
 def intervals(wanted: Column) -> Column:
@@ -82,7 +97,7 @@ def check(version: Column, wanted: Column) -> Column:
     """Any satisfied interval wins; else VIOLATED if one was violated; else UNKNOWN."""
     version, wanted = F.trim(version), F.trim(wanted)
     verdicts = F.transform(intervals(wanted), lambda i: check_interval(version, i))
-    found = F.when(F.array_contains(verdicts, SATISFIED), SATISFIED).when(F.array_contains(verdicts, VIOLATED), VIOLATED).otherwise(UNKNOWN)
+    found = _let(verdicts, lambda v: F.when(F.array_contains(v, SATISFIED), SATISFIED).when(F.array_contains(v, VIOLATED), VIOLATED).otherwise(UNKNOWN))
     return F.when(F.coalesce(wanted, F.lit("")) == "", UNKNOWN).when(F.coalesce(version, F.lit("")) == "", UNKNOWN).when((wanted == "*") | (F.lower(wanted) == "any"), SATISFIED).otherwise(found)
 
 

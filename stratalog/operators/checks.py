@@ -206,7 +206,7 @@ def built_for(mods: DataFrame, running: str | None) -> tuple[DataFrame, DataFram
 
 
 def compatibility(mods: DataFrame, loader: str | None, game_version: str | None) -> DataFrame:
-    checked = version_checks(mods)
+    checked = graphs.cut_lineage(version_checks(mods))
     off, others = built_for(mods, game_version)
     about = {"required_by": F.col("src"), "dependency_kind": F.lower("kind"), "declared_range": F.col("range"), "present_version": F.col("found")}
     return union(

@@ -3,23 +3,53 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a temporary one where it names none and Spark runs in one process."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not spark.sparkContext.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it names none and Spark runs in one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalog-"))
-    return df.checkpoint()
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalog-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, its size is known to later joins, and a lost executor costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/stratalog/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Edges that one task peels by itself; above that, layers are peeled in rounds of joins.
+SMALL = 100_000
+
+
+def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges that are left when dead ends are taken off until there are none, of a graph of at most SMALL edges."""
+    edges = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": []})])
+    for start, end in (("a", "b"), ("b", "a")):
+        lead = edges.groupby(end)[start].agg(list).to_dict()
+        left = edges.groupby(start).size().to_dict()
+        open_ = [n for n in lead if n not in left]  # nodes that lead nowhere
+        gone = set(open_)
+        while open_:
+            for n in lead.get(open_.pop(), []):
+                left[n] -= 1
+                if not left[n]:
+                    gone.add(n)
+                    open_.append(n)
+        edges = edges[~edges["a"].isin(gone) & ~edges["b"].isin(gone)]
+    yield edges
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:
@@ -29,15 +59,15 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     """
     core = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
     n = core.count()
-    while n:
+    while n > SMALL:
         ends = core.select(F.col("b").alias("a")).distinct()
         starts = core.select(F.col("a").alias("b")).distinct()
-        core = cut_lineage(core.join(ends, "a", "left_semi").join(starts, "b", "left_semi").select("a", "b"))
+        core = cut_lineage(core.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
         left = core.count()
         if left == n:
-            break
+            return core
         n = left
-    return core
+    return cut_lineage(core.coalesce(1).mapInPandas(_peel, core.schema)) if n else core
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -94,6 +124,8 @@ def cycle_paths(edges: DataFrame, order: DataFrame) -> DataFrame:
     changes no path.
     """
     core = cyclic_core(edges)
+    if not core.take(1):
+        return edges.sparkSession.createDataFrame([], "path string")
     part = _parts(core)
     rows = core.join(edges.groupBy("a", "b").agg(F.min("pos").alias("pos")), ["a", "b"]).join(part, F.col("a") == F.col("node")).drop("node")
     rows = rows.join(order.select(F.col("node").alias("a"), "ord"), "a")

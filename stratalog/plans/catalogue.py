@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -580,7 +581,8 @@ GROUP BY 1, 2, 3
 """)
 def diagnose(table, spark):
     """All checks that need no collection, over suppliers as mods."""
-    return export.diagnose(_catalogue(table)).groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
+    catalogue = _catalogue(table)
+    return export.diagnose(replace(catalogue, mods=graphs.cut_lineage(catalogue.mods))).groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
 
 
 @query("""

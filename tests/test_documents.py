@@ -1,6 +1,7 @@
 import json
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from stratalog.operators import graphs
@@ -111,7 +112,9 @@ def test_cycles(spark):
     assert {r.node for r in graphs.on_cycle(e).collect()} == set("abcmn")
 
 
-def test_cycle_nodes_against_closure(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_cycle_nodes_against_closure(spark, monkeypatch, small):
+    monkeypatch.setattr(graphs, "SMALL", small)
     import random
 
     rng = random.Random(5)
