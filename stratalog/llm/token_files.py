@@ -32,12 +32,16 @@ from .staging import new_path, partitions, small_batches, staged
 from .tokens import encoder, vocabulary_file
 from .words import slices
 
-BATCH_ROWS = 256
+#: Sequences, and documents of the index, to a batch of a file.
+BATCH_ROWS, INDEX_ROWS = 256, 1 << 16
 CHUNK_BYTES = 4 << 20
 
 
+_INDEX = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+
+
 class ShardWriter:
-    """Appends ids to one shard; holds less than a batch of them at a time."""
+    """Appends ids to one shard; holds less than a batch of them, and of its index, at a time."""
 
     def __init__(self, base: str, length: int, kind: pa.DataType):
         self.system, self.path = fs.FileSystem.from_uri(base)
@@ -46,11 +50,16 @@ class ShardWriter:
         self.out = self.system.open_output_stream(f"{self.path}.arrow")
         self.writer = ipc.new_file(self.out, self.schema)
         self.held: list[np.ndarray] = []
-        self.n_held = self.tokens = 0
+        self.n_held = self.tokens = self.docs = 0
         self.index: list[tuple[int | None, int, int]] = []
+        self.index_out = self.system.open_output_stream(f"{self.path}.index.arrow")
+        self.index_writer = ipc.new_file(self.index_out, _INDEX)
 
     def add(self, name: int | None, ids: np.ndarray) -> None:
         self.index.append((name, self.tokens, len(ids)))
+        self.docs += 1
+        if len(self.index) == INDEX_ROWS:
+            self._flush_index()
         self.tokens += len(ids)
         self.held.append(ids)
         self.n_held += len(ids)
@@ -68,13 +77,15 @@ class ShardWriter:
         rest = np.zeros(0, np.uint32) if last else ids[len(ids) - len(ids) % size :]
         self.held, self.n_held = [rest], len(rest)
 
+    def _flush_index(self) -> None:
+        self.index_writer.write_batch(pa.record_batch([pa.array([r[i] for r in self.index], pa.int64()) for i in range(3)], schema=_INDEX))
+        self.index = []
+
     def close(self) -> None:
         self._flush(True)
-        self.writer.close()
-        self.out.close()
-        table = pa.table([pa.array(x, pa.int64()) for x in zip(*self.index, strict=True)] if self.index else [pa.array([], pa.int64())] * 3, names=["id", "start", "n_tokens"])
-        with self.system.open_output_stream(f"{self.path}.index.arrow") as out, ipc.new_file(out, table.schema) as writer:
-            writer.write_table(table)
+        self._flush_index()
+        for x in (self.writer, self.out, self.index_writer, self.index_out):
+            x.close()
 
 
 class ShardReader:
@@ -89,8 +100,11 @@ class ShardReader:
     def _open(self, path: str):
         return pa.memory_map(path) if isinstance(self.system, fs.LocalFileSystem) else self.system.open_input_file(path)
 
-    def index(self) -> pa.Table:
-        return ipc.open_file(self._open(f"{self.path}.index.arrow")).read_all()
+    def index(self) -> Iterator[pa.RecordBatch]:
+        """Batches of (id, start, n_tokens), in order."""
+        reader = ipc.open_file(self._open(f"{self.path}.index.arrow"))
+        for k in range(reader.num_record_batches):
+            yield reader.get_batch(k)
 
     def _batch(self, k: int) -> pa.RecordBatch:
         if k != self.at:
@@ -129,7 +143,7 @@ def _write(folder: str, path: str, length: int, end_id: int, most: int):
                 writer.add(name, np.append(own, np.uint32(end_id)))
         if writer is not None:
             writer.close()
-            yield pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (base, pa.string()), (len(writer.index), pa.int64()), (writer.tokens, pa.int64()))], names=["shard", "base", "n_docs", "n_tokens"])
+            yield pa.record_batch([pa.array([x], t) for x, t in ((task.partitionId(), pa.int32()), (base, pa.string()), (writer.docs, pa.int64()), (writer.tokens, pa.int64()))], names=["shard", "base", "n_docs", "n_tokens"])
 
     return run
 
@@ -157,14 +171,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, first in zip(batch.column("base").to_pylist(), batch.column("start").to_pylist(), strict=True):
             shard = ShardReader(base)
-            index, sums = shard.index(), []
-            for start, n in zip(index.column("start").to_pylist(), index.column("n_tokens").to_pylist(), strict=True):
-                crc = 0
-                for view in shard.tokens(start, n):
-                    crc = zlib.crc32(view.astype("<u4").tobytes(), crc)
-                sums.append(crc)
-            table = pa.table([index.column("id"), pa.array(index.column("start").to_numpy() + first), index.column("n_tokens"), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
-            yield from table.to_batches()
+            for index in shard.index():
+                sums = []
+                for start, n in zip(index.column("start").to_pylist(), index.column("n_tokens").to_pylist(), strict=True):
+                    crc = 0
+                    for view in shard.tokens(start, n):
+                        crc = zlib.crc32(view.astype("<u4").tobytes(), crc)
+                    sums.append(crc)
+                yield pa.record_batch([index.column("id"), pa.array(index.column("start").to_numpy() + first), index.column("n_tokens"), pa.array(sums, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
