@@ -189,3 +189,16 @@ def test_op2_edges_and_random_access(spark):
         assert [int(x) for a, mask in rows for x in a[mask]] == flat[m.start : m.start + m.n_tokens]
         assert shard.sequence(0)[0].base is not None  # a view, no copy
     assert token_files.read_digests(token_files.write_token_files(df.limit(0))).count() == 0
+
+
+def test_index_in_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "INDEX_ROWS", 3)
+    writer = token_files.ShardWriter(str(tmp_path / "s"), 4, pa.uint16())
+    for i in range(7):
+        writer.add(i if i < 6 else None, np.arange(i, dtype=np.uint32))
+    writer.close()
+    batches = list(token_files.ShardReader(str(tmp_path / "s")).index())
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert len(batches) == 3 and rows == [(i if i < 6 else None, i * (i - 1) // 2, i) for i in range(7)]
