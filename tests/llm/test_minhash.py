@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm import minhash
+from stratalog.llm import graph, minhash
 from stratalog.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -114,6 +114,25 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Nodes over the degree meet their neighbours by broadcast; the components are the same."""
+    monkeypatch.setattr(graph, "DEGREE", 3)
+    rng = np.random.default_rng(9)
+    edges = [(500, int(i)) for i in rng.choice(400, 60, replace=False)] + [(0, i) for i in range(401, 440)] + [(i, i + 1) for i in range(600, 640)] + [(600, 601)] * 5
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {x: root(x) for x in up}
+
+
 def test_signature_size_follows_percent():
     assert minhash.signature_size(85) == (minhash.SYMBOLS, minhash.MOST_ERRORS) == minhash.signature_size(95)
     assert minhash.signature_size(80) == (40, 19)
