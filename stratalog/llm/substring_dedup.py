@@ -13,12 +13,13 @@ Plan
 
 Two windows count as equal if 80 bits agree, 64 of one rolling hash and 16 of another, and the
 bucket, which takes other bits of the second. With n windows and b buckets n * n / (b * 2**81) pairs
-of different windows are expected to agree: 0.02 for the 2.5e13 windows of 100 TB in 2**14
+of different windows are expected to agree: 0.002 for the 2.5e13 windows of 100 TB in 2**17
 buckets. A word stands as 64 bits from a table of random numbers by byte and place; two different
 words that agree would only matter between windows that are equal otherwise.
 
 The number of buckets follows the size of the input (``BUCKET_BYTES`` of text for each), up to
-``MOST_BUCKETS``; from there on they grow, and with them what a task holds of one.
+``MOST_BUCKETS``; from there on they grow, and with them what a task holds of one (2 to 3 GB at
+100 TB). Where there are many buckets, chunks grow too, so that each still has some 20 windows of one.
 
 Edge cases: a null or empty text has no words; a document under ``width`` words has no window
 and is kept whole; null ids order after all others; rows that share an id count as documents of
@@ -40,8 +41,10 @@ from pyspark.sql import functions as F
 from .staging import fresh, small_batches, with_key
 from .words import slices, split_words, windows
 
-#: Bytes of text that a task hashes at once, and to a bucket; the most buckets, with under 20 windows of a chunk in each.
-CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 16 << 20, 1 << 14
+#: Bytes of text that a task hashes at once, and to a bucket; the most buckets.
+CHUNK_BYTES, BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 16 << 20, 1 << 17
+#: Buckets that the usual chunk fills, and bytes of a larger chunk for each.
+FILLED, FILL_BYTES = 1 << 14, 80
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -189,6 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(128, min(MOST_BUCKETS, size // BUCKET_BYTES))
     parts = max(64, size // BUCKET_BYTES) | 1
+    chunk_bytes = chunk_bytes if buckets <= FILLED else max(chunk_bytes, buckets * FILL_BYTES)
     hashed = rows.select("key", "text").mapInArrow(_hash_batches(width, buckets, chunk_bytes), _HASHED)
     marks = hashed.groupBy("bucket").applyInArrow(_count_bucket(parts), _MARKED)
     texts = rows.mapInArrow(_compressed, "key long, id long, packed binary").withColumn("part", F.pmod("key", F.lit(parts)).cast("int"))
