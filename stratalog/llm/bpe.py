@@ -24,8 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
-from itertools import chain
+from heapq import heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -34,73 +33,89 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import small_batches
-from .tokens import MOST_BYTES, MOST_IDS, REMEMBERED, Encoder, Store, vocabulary_file
+from .tokens import _BYTE_NAMES, MOST_BYTES, MOST_IDS, REMEMBERED, Encoder, Store, vocabulary_file
 from .words import slices, span_hashes, split_words, spread
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
 
 
 class Merges:
-    """Pairs of symbols by rank: ``rank`` of ``left * WIDE + right``, and (left, right, made) of each rank."""
-
-    WIDE = 1 << 32
+    """Merges (left, right, made) of symbols by rank; of a pair given twice the first rank counts."""
 
     def __init__(self, triples: list[tuple[int, int, int]]):
         self.triples = triples
-        self.rank = {}
-        for r, (a, b, _) in enumerate(triples):
-            self.rank.setdefault(a * self.WIDE + b, r)
-
-    def apply(self, words: list[list[int]]) -> list[list[int]]:
-        """The symbols of each word after all merges: in each word the lowest rank first, of a rank the leftmost pair first."""
-        wide, rank = self.WIDE, self.rank
-        symbol = list(chain.from_iterable(words))
-        upto = np.cumsum([len(w) for w in words]).tolist()
-        n, edge = len(symbol), bytearray(len(symbol) + 1)
-        for e in upto:
-            edge[e] = 1
-        edge[0] = 1
-        after = [-1 if edge[i + 1] else i + 1 for i in range(n)]
-        before = [-1 if edge[i] else i - 1 for i in range(n)]
-        places: dict[int, list[int]] = {}
-        for i in range(n):
-            if after[i] >= 0 and (r := rank.get(symbol[i] * wide + symbol[i + 1])) is not None:
-                places.setdefault(r, []).append(i)
-        active = list(places)
-        heapify(active)
-
-        def meet(i: int, r: int) -> None:
-            if r in places:
-                places[r].append(i)
-            else:
-                places[r] = [i]
-                heappush(active, r)
-
+        left, right, made = np.array(triples, dtype=np.int64).reshape(-1, 3).T
+        self.keys, self.ranks = np.unique(left << 32 | right, return_index=True)
+        least = dict(zip(right[::-1].tolist(), range(len(left) - 1, -1, -1), strict=True))  # the first rank that each symbol is part of
+        for a, r in zip(left[::-1].tolist(), range(len(left) - 1, -1, -1), strict=True):
+            least[a] = min(r, least.get(a, r))
+        #: Ranks whose merge may make a pair of a rank that is not higher; merges that were learned in turn have none.
+        self.early = {r for r, m in enumerate(made.tolist()) if least.get(m, r + 1) <= r}
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or -1."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+    def apply(self, symbol: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols, and how many, of each word after all merges: in each the lowest rank first, of a rank the leftmost pair first.
+
+        The words lie end to end in ``symbol``; ``places`` holds, for each rank whose pair occurs, all positions of the pair.
+        """
+        n, upto = len(symbol), np.cumsum(size)
+        symbol = symbol.astype(np.int64)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[upto[size > 0] - 1] = -1
+        before[(upto - size)[size > 0]] = -1
+        left = np.flatnonzero(after >= 0)
+        rank = self.rank(symbol[left], symbol[left + 1])
+        left, rank = left[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        left, (active, first) = left[order], np.unique(rank[order], return_index=True)
+        places = {r: own.tolist() for r, own in zip(active.tolist(), np.split(left, first[1:]), strict=False)}
+        active = active.tolist()  # ascending, and so a heap
         while active:
             now = heappop(active)
-            left, right, made = self.triples[now]
-            waits = -1  # places up to here lie in a word where a merge made a pair of lower rank, which goes first
-            for i in sorted(places.pop(now)):
-                j = after[i]
-                if j < 0 or symbol[i] != left or symbol[j] != right:
-                    continue
-                if i < waits:
-                    meet(i, now)
-                    continue
-                k, h = after[j], before[i]
-                symbol[i], symbol[j], after[i], after[j] = made, -1, k, -1
-                for at, r in ((i, rank.get(made * wide + symbol[k]) if k >= 0 else None), (h, rank.get(symbol[h] * wide + made) if h >= 0 else None)):
-                    if r is not None:
-                        meet(at, r)
-                        if r < now:
-                            waits = upto[np.searchsorted(upto, i, side="right")]
-                if k >= 0:
-                    before[k] = i
-        out, at = [], 0
-        for to in upto:
-            out.append([s for s in symbol[at:to] if s >= 0])
-            at = to
-        return out
+            a, b, made = self.triples[now]
+            at = np.array(places.pop(now), np.int64)
+            at = at[symbol[at] == a]
+            j = after[at]
+            at = at[(j >= 0) & (symbol[j] == b)]
+            if a == b or now in self.early:
+                at = np.unique(at)
+                if now in self.early:  # one merge a word, since what it makes may go before the next
+                    _, alone = np.unique(np.searchsorted(upto, at, side="right"), return_index=True)
+                    if len(rest := np.delete(at, alone)):
+                        places[now] = rest.tolist()
+                        heappush(active, now)
+                    at = at[alone]
+                else:  # of a run of overlapping pairs every other one
+                    start = np.r_[True, after[at[:-1]] != at[1:]]
+                    run = np.flatnonzero(start)
+                    at = at[(np.arange(len(at)) - run[np.cumsum(start) - 1]) % 2 == 0] if len(at) else at
+            if not len(at):
+                continue
+            j = after[at]
+            k = after[j]
+            symbol[at], symbol[j], after[at], after[j] = made, -1, k, -1
+            inner = k >= 0
+            before[k[inner]] = at[inner]
+            h = before[at]
+            outer = h >= 0
+            near = np.concatenate([at[inner], h[outer]])
+            ranks = self.rank(symbol[near], symbol[after[near]])
+            hit = ranks >= 0
+            for i, r in zip(near[hit].tolist(), ranks[hit].tolist(), strict=True):
+                if r in places:
+                    places[r].append(i)
+                else:
+                    places[r] = [i]
+                    heappush(active, r)
+        alive = symbol >= 0
+        return symbol[alive], np.diff(np.r_[0, np.cumsum(alive)][np.r_[0, upto]])
 
 
 class WordEncoder(Encoder):
@@ -120,6 +135,10 @@ class WordEncoder(Encoder):
         self.merges = Merges([(self.vocabulary[a], self.vocabulary[b], self.vocabulary[a + b]) for a, b in pairs])
         self.special = {t["content"]: t["id"] for t in added}
         self.parts = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True)) or "(?!)")
+        #: Symbols of the characters that stand for bytes, within a piece and at its end.
+        self.inner, self.last = np.zeros(512, np.int64), np.zeros(512, np.int64)
+        for c in _BYTE_NAMES:
+            self.inner[ord(c)], self.last[ord(c)] = self.vocabulary[c], self.vocabulary[c + self.end]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.hashes, self.used, self.round = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.ids, self.raw = Store(self.kind), Store(np.uint8)
@@ -128,34 +147,50 @@ class WordEncoder(Encoder):
         shown = [f"{names.get(i, '')} ".encode() for i in range(max(names) + 1)]
         self.strings.insert(np.zeros(len(shown), np.int64), np.frombuffer(b"".join(shown), np.uint8), np.array([len(s) for s in shown]))
 
-    def _pieces(self, words: list[str]) -> list[list[str | int]]:
-        """Of each word what the pre-tokenizer makes of it, in characters that stand for bytes; special tokens as ids."""
-        cut = [[p for p in self.parts.split(w) if p] for w in words]
-        out: list[list[str | int]] = [[] for _ in words]
-        plain, owner = [], []
-        for n, own in enumerate(cut):
-            for p in own:
+    def _pieces(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What the pre-tokenizer makes of the words, in characters that stand for bytes: the distinct pieces, and in
+        order the place there and the word of each; a special token is in place of its number from the end."""
+        part, owner, odd = [], [], []
+        for n, w in enumerate(words):
+            for p in self.parts.split(w):
+                if p in self.special:
+                    odd.append((len(part), -1 - list(self.special).index(p)))
+                    p = ""
+                part.append(p.lower() if p is not None and p.isascii() else self.tokenizer.normalizer.normalize_str(p) if p else "")
                 owner.append(n)
-                plain.append("" if p in self.special else p.lower() if p.isascii() else self.tokenizer.normalizer.normalize_str(p))
-        start = np.cumsum([0] + [len(p) + 1 for p in plain])
-        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(plain))
-        place = np.searchsorted(start, [at for _, (at, _) in found], side="right") - 1
-        special = [(k, self.special[p]) for k, p in enumerate(chain.from_iterable(cut)) if p in self.special]
-        for k, x in sorted([*zip(place.tolist(), (p for p, _ in found), strict=True), *special], key=lambda y: y[0]):
-            out[owner[k]].append(x)
-        return out
-
-    def _learn(self, words: list[str]) -> list[list[int]]:
-        """Ids of distinct words: their pieces, each distinct one once, are merged together."""
-        pieces = self._pieces(words)
-        distinct = list(dict.fromkeys(p for own in pieces for p in own if isinstance(p, str)))
-        base = [[self.vocabulary[c] for c in p[:-1]] + [self.vocabulary[p[-1] + self.end]] for p in distinct]
-        ids = dict(zip(distinct, self.merges.apply(base), strict=True))
-        return [list(chain.from_iterable(ids[p] if isinstance(p, str) else [p] for p in own)) for own in pieces]
+        start = np.cumsum([0] + [len(p) + 1 for p in part])
+        found = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ".join(part))
+        index: dict[str, int] = {}
+        which = [index.setdefault(p, len(index)) for p, _ in found]
+        place = np.searchsorted(start, np.fromiter((at for _, (at, _) in found), np.int64, len(found)), side="right") - 1
+        place, which = np.r_[place, np.array([k for k, _ in odd], np.int64)], np.r_[np.array(which, np.int64), np.array([x for _, x in odd], np.int64)]
+        order = np.argsort(place, kind="stable")
+        return list(index), which[order], np.array(owner, np.int64)[place[order]]
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, end to end, and how many each has: their distinct pieces are merged together."""
+        distinct, which, owner = self._pieces(words)
+        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        code = np.frombuffer("".join(distinct).encode("utf-32-le"), "<u4")
+        symbol, last = self.inner[code], np.cumsum(size) - 1
+        symbol[last] = self.last[code[last]]
+        ids = Store(np.int64)
+        flat, size = self.merges.apply(symbol, size)
+        special = list(self.special.values())[::-1]  # from the end
+        ids.insert(np.zeros(len(size) + len(special), np.int64), np.r_[flat, np.array(special, np.int64)], np.r_[size, np.ones(len(special), np.int64)])
+        which = np.where(which < 0, which + len(ids.size), which)
+        return ids.take(which)[0], np.bincount(owner, ids.size[which], len(words)).astype(np.int64)
+
+    def encode(self, texts: pa.Array | pa.ChunkedArray | list) -> list[np.ndarray]:
+        """Ids of each text; a null text has none. The longer the lists of places are, the less a merge costs."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        rows = pa.record_batch([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], names=["text"])
+        return [ids for part in slices([rows], "text", CHUNK_BYTES) for ids in self._encode(part.column("text"))]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Without memory: all words of the texts are merged together."""
-        return [np.array(ids, dtype=np.uint32) for ids in self._learn(texts)]
+        flat, size = self._learn(texts)
+        return np.split(flat.astype(np.uint32), np.cumsum(size)[:-1]) if texts else []
 
     def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         words = split_words(texts)
@@ -172,8 +207,7 @@ class WordEncoder(Encoder):
         raw = data.tobytes()
         left, right = begin[first[fresh]], end[first[fresh]]
         self.used[place[known]] = self.round
-        ids = self._learn([raw[a:b].decode() for a, b in zip(left.tolist(), right.tolist(), strict=True)])
-        self.ids.insert(place[fresh], np.fromiter(chain.from_iterable(ids), self.kind), np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.ids.insert(place[fresh], *self._learn([raw[a:b].decode() for a, b in zip(left.tolist(), right.tolist(), strict=True)]))
         self.raw.insert(place[fresh], data[spread(left, right)[0]], right - left)
         self.hashes, self.used = np.insert(self.hashes, place[fresh], distinct[fresh]), np.insert(self.used, place[fresh], np.int32(self.round))
 
