@@ -19,6 +19,7 @@ from .token_files import op2_token_files
 from .topk import ORACLE as TOPK_SQL
 from .topk import op5_topk
 from .toxicity import op9_toxicity
+from .vector_codes import op12_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_bpe": op11_bpe,
+    "op12_codes": op12_codes,
     "op13_alignment": op13_alignment,
 }
 

@@ -49,6 +49,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``new_path`` that nothing will read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The shuffle width the cluster is set to; bucket counts follow it, and so the input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
