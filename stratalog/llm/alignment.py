@@ -37,7 +37,8 @@ from .staging import small_batches, staged
 from .tokens import _BYTE_NAMES, Encoder, Store, vocabulary_file
 from .words import slices, utf8
 
-CHUNK_BYTES = 2 << 20
+#: Bytes of text whose pairs share a list, and that are merged at once.
+CHUNK_BYTES, BLOCK_BYTES = 2 << 20, 1 << 19
 
 
 class ByteEncoder(Encoder):
@@ -143,8 +144,8 @@ def group_texts(a: Side, b: Side, ids: tuple[np.ndarray, np.ndarray], closes: tu
     return out, upto[ahead[0][1:] + ahead[1][1:] - 1]
 
 
-def align_chunk(texts: pa.Array, a: Side, b: Side) -> dict[str, list | np.ndarray]:
-    """Per text counts of tokens, groups and links, the groups' text and the links' places among ``pair_a``, ``pair_b``, ``pair_n``."""
+def align_block(texts: pa.Array, a: Side, b: Side) -> dict[str, list | np.ndarray]:
+    """Per text counts of tokens, groups and links and the groups' text, and of all links in turn the pair as one number."""
     spaced = pc.if_else(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False), pc.binary_join_element_wise("", texts, " "), pa.scalar(None, pa.string()))
     data, at = utf8(spaced)
     length = np.diff(at)
@@ -169,13 +170,21 @@ def align_chunk(texts: pa.Array, a: Side, b: Side) -> dict[str, list | np.ndarra
     shown, upto = group_texts(a, b, (flat[0], flat[1]), (close_a, close_b))
     raw, cut = shown.tobytes(), np.r_[0, upto][np.r_[0, np.cumsum(n_groups)]]
     groups = [raw[x : max(x, y - 1)].decode() for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    pair, place, count = np.unique(flat[0][link_a].astype(np.int64) << 32 | flat[1][link_b].astype(np.int64), return_inverse=True, return_counts=True)
+    pairs = flat[0][link_a].astype(np.int64) << 32 | flat[1][link_b].astype(np.int64)
+    return {"n_a": n[0], "n_b": n[1], "n_groups": n_groups, "n_links": n_links, "groups": groups, "pairs": pairs}
+
+
+def align_chunk(texts: pa.Array, a: Side, b: Side) -> dict[str, list | np.ndarray]:
+    """What ``align_block`` finds in each part of the texts, and the links' places among the distinct pairs ``pair_a``, ``pair_b``, ``pair_n``."""
+    blocks = [align_block(part.column("text"), a, b) for part in slices([pa.record_batch([texts], names=["text"])], "text", BLOCK_BYTES)]
+    found = {c: np.concatenate([x[c] for x in blocks]) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    pair, place, count = np.unique(np.concatenate([x.pop("pairs") for x in blocks]), return_inverse=True, return_counts=True)
     order = np.argsort(-count, kind="stable")  # frequent pairs have small places, which pack well
     where = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
     where[order] = np.arange(len(order))
-    raw, cut = where[place].tobytes(), np.r_[0, np.cumsum(n_links)] * where.itemsize
+    raw, cut = where[place].tobytes(), np.r_[0, np.cumsum(found["n_links"])] * where.itemsize
     links = [raw[x:y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    return {"n_a": n[0], "n_b": n[1], "n_groups": n_groups, "n_links": n_links, "groups": groups, "links": links, "pair_a": (pair >> 32)[order].astype(np.int32), "pair_b": (pair & 0xFFFFFFFF)[order].astype(np.int32), "pair_n": count[order]}
+    return {**found, "groups": [g for x in blocks for g in x["groups"]], "links": links, "pair_a": (pair >> 32)[order].astype(np.int32), "pair_b": (pair & 0xFFFFFFFF)[order].astype(np.int32), "pair_n": count[order]}
 
 
 _LISTS = ("pair_a", "pair_b", "pair_n")
