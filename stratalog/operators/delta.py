@@ -56,6 +56,18 @@ def read_snapshot(lines: DataFrame, header: str = HEADER) -> DataFrame:
     return rows.join(F.broadcast(known.select(F.lit(1).alias("_known"))), F.lit(True), "left_semi").groupBy("path").agg(F.max_by("fingerprint", "n").alias("fingerprint"))
 
 
+def complaints(lines: DataFrame, header: str = HEADER) -> DataFrame:
+    """(complaint): what in a manifest's (value, n) rows is no header, no entry or no fingerprint, or repeats a path."""
+    parts = F.split("value", "\t", 2)
+    mark, path = F.get(parts, F.lit(0)), F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    entries = lines.filter((F.col("n") > 0) & (F.trim("value") != "") & ~F.trim("value").startswith("//"))
+    kind = F.when((path == "") | (mark == ""), "is not an entry, and was skipped").when(~well_formed(mark), "has a fingerprint that is not one, and was skipped")
+    bad = entries.withColumn("why", kind).filter("why is not null").select(F.concat_ws(" ", F.lit("the line"), F.concat(F.lit("'"), F.substring("value", 1, 80), F.lit("'")), "why").alias("complaint"))
+    twice = entries.filter(kind.isNull()).groupBy(path.alias("path")).count().filter("count > 1").select(F.concat(F.lit("the path "), "path", F.lit(" is repeated, and the later entry wins")).alias("complaint"))
+    known = lines.filter((F.col("n") == 0) & (F.col("value") == header)).agg(F.count("*").alias("n")).filter("n = 0")
+    return bad.union(twice).union(known.select(F.lit("the manifest has no header of this format, so this run is treated as the first")))
+
+
 def manifest_lines(current: DataFrame) -> DataFrame:
     """Lines of a manifest, in order of paths."""
     return current.orderBy("path").select(F.concat_ws("\t", "fingerprint", "path").alias("value"))

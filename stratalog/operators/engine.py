@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import NamedTuple
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,7 +135,7 @@ def run(facts: Facts, chosen: Iterable[Check] | None = None, stage: int | None =
         try:
             own, more = c.run(facts)
             held = [graphs.cut_lineage(own), graphs.cut_lineage(more) if more is not None else None]
-        except (PySparkException, ValueError, TypeError, AttributeError) as e:
+        except Exception as e:  # whatever it is, it becomes a finding
             error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
             found.append(facts.spark.createDataFrame([("analysis_failed", "WARN", c.name, f"{c.name} broke off: {error}", [])], schema.FINDINGS))
             continue

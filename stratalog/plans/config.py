@@ -53,6 +53,9 @@ class Settings:
     checks: tuple[str, ...] = ()
     delta: bool = False
     part_bytes: int = 0
+    package_per_kind: bool = True
+    shard_by_namespace: bool = True
+    wiki_blocks: bool = False
     namespaces: tuple[str, ...] = field(default=(), metadata={"accumulates": True})
     excluded_namespaces: tuple[str, ...] = field(default=(), metadata={"accumulates": True})
     tags: tuple[str, ...] = field(default=(), metadata={"accumulates": True})

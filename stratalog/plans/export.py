@@ -2,8 +2,8 @@
 
 An export routes the records of every kind, counts them, runs the checks, renders what was accepted
 in each format, and writes the shards that differ from the run before. A shard is the records of
-one kind, namespace and target in one format. Everything is a plan over frames: what reaches the
-driver is the settings, one row of totals, and lists of shards.
+one kind, namespace and target in one format, and a file. Everything is a plan over frames, and files
+are written, copied and deleted by tasks: what reaches the driver is the settings and one row of totals.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Collection, Iterable
 from dataclasses import dataclass, field
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from stratalog.functions.names import path_segment
 from stratalog.operators import checks, delta, engine, graphs, predicates, routing
 from stratalog.schema import GLOBAL
 
-from . import sinks
+from . import commit, sinks
 from .config import Settings, analyses_wanted
 
 
@@ -49,7 +48,7 @@ class Report:
     findings: DataFrame
     failures: DataFrame
     counts: DataFrame
-    removed: list[str]
+    removed: DataFrame  # (path) of files that were deleted
 
     def totals(self) -> DataFrame:
         """One row over all artifacts."""
@@ -127,7 +126,9 @@ def _lines(rows: DataFrame, kind: str, form: str, settings: Settings, target: st
     keyed = _masked(rows.withColumn("_shard", F.concat_ws("\u0001", "_shard", "part")), kind, form, settings)
     rendered = sinks.rendered(keyed, kind, form, "_shard", "_name", fields(keyed))
     at = F.split("_shard", "\u0001")
-    return rendered.select(F.lit(sinks.plural(kind)).alias("kind"), F.lit(target).alias("target"), at[0].alias("namespace"), at[1].alias("part"), "place", "_order", "line")
+    space, part = at[0], at[1].cast("int")
+    path = sinks.shard_path(form, kind, space, part, target, settings.package_per_kind, settings.shard_by_namespace)
+    return rendered.select(path.alias("path"), F.lit(form).alias("format"), F.lit(sinks.plural(kind)).alias("kind"), F.lit(target).alias("target"), space.alias("namespace"), at[1].alias("part"), "place", "_order", "line")
 
 
 #: Where a record goes: its shard and its place there.
@@ -152,103 +153,56 @@ def _masked(rows: DataFrame, kind: str, form: str, settings: Settings) -> DataFr
     return own
 
 
-_SHARD = ("kind", "target", "namespace", "part")
+def _planned(lines: DataFrame) -> DataFrame:
+    """(path, …, records, bytes) of the shards that the lines would make."""
+    return lines.groupBy("path", *commit.ABOUT).agg(F.count_if(F.col("place").isin(1, 2)).alias("records"), F.sum(F.octet_length("line") + 1).alias("bytes"))
 
 
-def _shards(lines: DataFrame, form: str) -> DataFrame:
-    """(path, …, records, bytes, fingerprint) of each shard; the fingerprint adds up its lines' hashes, so order needs no sort."""
-    whole = F.struct("place", "_order", "line")
-    agg = lines.groupBy(*_SHARD).agg(F.count_if(F.col("place").isin(1, 2)).alias("records"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64(whole)).alias("_x"), F.sum(F.xxhash64(F.lit(1), whole).cast("decimal(38,0)")).alias("_s"))
-    path = F.concat_ws("/", F.lit(form), *[F.concat(F.lit(f"{c}="), F.when(F.col(c) == "", "__HIVE_DEFAULT_PARTITION__").otherwise(F.col(c))) for c in _SHARD])
-    return agg.select(path.alias("path"), F.lit(form).alias("format"), *_SHARD, "records", "bytes", delta.fingerprint(F.concat_ws(":", "_n", "_x", "_s"), twice=True).alias("fingerprint"))
+def _commit(lines: DataFrame, assets: DataFrame | None, folder: str, only_changed: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bring a folder to the state that lines and assets describe: (artifacts with verdicts, removed paths, failures).
 
-
-class Folder:
-    """Files below a folder, through Hadoop's file systems."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.jvm = spark._jvm
-        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def path(self, name: str) -> Any:
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.path(name))
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.path(name), True)
-
-    def replace(self, temporary: str, name: str) -> None:
-        """Put a finished file or folder in the place of the one before, by renaming."""
-        if self.exists(name):
-            self.delete(name)
-        if not self.fs.rename(self.path(temporary), self.path(name)):
-            raise OSError(f"{temporary} could not be renamed to {name}")
-
-
-MANIFEST = "manifest"
-
-
-def previous(spark: SparkSession, folder: Folder) -> DataFrame:
-    """The snapshot of the run before, empty at the first."""
-    if not folder.exists(MANIFEST):
-        return spark.createDataFrame([], schema.SNAPSHOT)
-    lines = spark.read.text(f"{folder.root}/{MANIFEST}")
-    numbered = lines.withColumn("n", F.when(F.col("value") == delta.HEADER, 0).otherwise(1))  # paths are unique
-    return delta.read_snapshot(numbered)
-
-
-def write_manifest(folder: Folder, current: DataFrame) -> None:
-    """Header, then paths in order; written beside the old manifest, which it replaces only when it is whole."""
-    spark, temporary = current.sparkSession, f".{MANIFEST}-{uuid.uuid4().hex}"
-    head = spark.createDataFrame([(0, "", delta.HEADER)], "n int, path string, value string")
-    lines = head.union(current.select(F.lit(1), "path", F.concat_ws("\t", "fingerprint", "path")))
-    lines.orderBy("n", "path").select("value").write.text(f"{folder.root}/{temporary}")
-    folder.replace(temporary, MANIFEST)
-
-
-def copy_assets(assets: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Copy files (namespace, path, source) to ``folder``/namespace/path; (path, fingerprint, bytes) of the copies, and failures.
-
-    Each task writes a part file and renames it when it is whole, so a file is never half there.
+    The lines are rendered once, into the run's own folder, and counted by the tasks that write them.
+    Without ``only_changed`` everything is published and nothing removed; what was there stays in the
+    manifest, for a later run to judge.
     """
-    from pyarrow import fs
-
-    def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for space, path, source in zip(*(batch.column(c).to_pylist() for c in ("namespace", "path", "source")), strict=True):
-                name = f"assets/{space}/{path}"
-                try:
-                    (a, at), (b, to) = fs.FileSystem.from_uri(source), fs.FileSystem.from_uri(f"{folder}/{name}")
-                    b.create_dir(to.rsplit("/", 1)[0])
-                    digest, n = hashlib.sha256(), 0
-                    with a.open_input_stream(at) as r, b.open_output_stream(f"{to}.part") as w:
-                        while chunk := r.read(1 << 20):
-                            digest.update(chunk)
-                            n += len(chunk)
-                            w.write(chunk)
-                    b.move(f"{to}.part", to)
-                    out.append((name, digest.hexdigest(), n, None))
-                except (OSError, pa.ArrowInvalid) as e:
-                    out.append((name, None, None, f"{type(e).__name__}: {e}"))
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], names=["path", "fingerprint", "bytes", "error"])
-
-    done = graphs.cut_lineage(assets.select("namespace", "path", "source").mapInArrow(run, "path string, fingerprint string, bytes long, error string"))
-    return done.filter("error is null").drop("error"), done.filter("error is not null").select(F.lit("asset").alias("kind"), F.col("path").alias("id"), "error")
+    spark, run = lines.sparkSession, f".run-{uuid.uuid4().hex}"
+    out = commit.Folder(spark, folder)
+    try:
+        before, complaints = (graphs.cut_lineage(x) for x in commit.previous(out))
+        made = graphs.cut_lineage(commit.shards(graphs.cut_lineage(commit.write_beside(graphs.cut_lineage(lines), folder, run))))
+        current, failed = made, [complaints]
+        if assets is not None:
+            told = graphs.cut_lineage(commit.asset_fingerprints(assets, folder))
+            failed.append(told.filter("error is not null").select(F.lit("asset").alias("kind"), F.col("path").alias("id"), "error"))
+            files = told.filter("error is null").select("path", F.lit("asset").alias("format"), F.lit("asset").alias("kind"), F.lit("").alias("target"), "namespace", F.lit("0").alias("part"), F.lit(0).cast("long").alias("records"), "bytes", "fingerprint")
+            current = made.drop("pieces").unionByName(files)
+        judged = graphs.cut_lineage(delta.verdicts(before, current.select("path", "fingerprint")))
+        due = judged.filter(F.col("verdict") != delta.REMOVED).select("path")
+        if only_changed:
+            unchanged = judged.filter(F.col("verdict") == delta.UNCHANGED)
+            due = delta.to_write(judged, commit.there(unchanged, folder)).select("path")
+        due = graphs.cut_lineage(due)
+        done = graphs.cut_lineage(commit.publish(made.join(due, "path", "left_semi"), folder))
+        if assets is not None:
+            done = done.unionByName(graphs.cut_lineage(commit.publish_assets(told.filter("error is null").join(due, "path", "left_semi"), folder)))
+        gone = judged.filter(F.col("verdict") == delta.REMOVED).select("path")
+        removed = graphs.cut_lineage(commit.remove(gone if only_changed else gone.limit(0), folder))
+        broken = done.filter("error is not null").unionByName(removed.filter("error is not null"))
+        # a file that could not be replaced or deleted keeps its entry
+        kept = before.join(broken, "path", "left_semi") if only_changed else before.join(broken, "path", "left_semi").union(before.join(gone, "path", "left_semi")).distinct()
+        commit.write_manifest(out, current.select("path", "fingerprint").join(broken, "path", "left_anti").unionByName(kept))
+        failed.append(broken.select(F.lit("artifact").alias("kind"), F.col("path").alias("id"), "error"))
+        artifacts = current.drop("fingerprint", "pieces").join(judged.filter(F.col("verdict") != delta.REMOVED), "path")
+        return artifacts, removed.filter("error is null").select("path"), checks.union(*failed)
+    finally:
+        out.delete(run)
 
 
 def export(catalogue: Catalogue, folder: str, settings: Settings | None = None, targets: dict[str, tuple[str, predicates.Selector]] | None = None, rules: DataFrame | None = None, dry_run: bool = False) -> Report:
     """Write the catalogue below ``folder`` (analyses in the sibling folder ``analysis``), or with ``dry_run`` only say what would be written.
 
-    With ``settings.delta`` only shards that are new, changed or lost are written, and those that no
-    longer exist are deleted; then the manifest takes the place of the one before.
+    With ``settings.delta`` only shards and assets that are new, changed or lost are written, and those
+    that no longer exist are deleted; then the manifest takes the place of the one before.
     """
     spark, settings = catalogue.mods.sparkSession, settings or Settings()
     routed, failures = routed_kinds(catalogue, settings)
@@ -258,7 +212,7 @@ def export(catalogue: Catalogue, folder: str, settings: Settings | None = None,
     accepted = {k: r.filter("accepted") for k, r in routed.items()}
     for form in settings.formats:
         for kind, rows in accepted.items():
-            if not sinks.supports(form, kind):
+            if not sinks.supports(form, kind, settings.wiki_blocks):
                 continue
             rendered.setdefault((form, folder), []).append(_lines(rows, kind, form, settings))
             for name, (of, selector) in (targets or {}).items():
@@ -274,36 +228,21 @@ def export(catalogue: Catalogue, folder: str, settings: Settings | None = None,
             for kind in analyses_wanted(settings.kinds):
                 if sinks.supports(form, kind):
                     rendered.setdefault((form, beside), []).append(_lines(every.filter(F.col("kind") == kind).drop("kind"), kind, form, settings))
-    artifacts, removed = [], []
-    shards = {where: _shards(graphs.cut_lineage(checks.union(*lines)) if not dry_run else checks.union(*lines), where[0]) for where, lines in rendered.items()}
+    by_folder: dict[str, list[DataFrame]] = {folder: []} if catalogue.assets is not None else {}
+    for (_, at), lines in rendered.items():
+        by_folder.setdefault(at, []).extend(lines)
     if dry_run:
-        parts = [s.withColumn("verdict", F.lit("DRY")) for s in shards.values()]
-        return Report(checks.union(*parts).drop("fingerprint"), found, failures, counts, removed)
-    for at in dict.fromkeys(where for _, where in rendered):
-        out = Folder(spark, at)
-        own = {form: s for (form, where), s in shards.items() if where == at}
-        current = graphs.cut_lineage(checks.union(*own.values()))
-        before = previous(spark, out)
-        judged = graphs.cut_lineage(delta.verdicts(before, current.select("path", "fingerprint")))
-        there = [r.path for r in before.select("path").collect() if out.exists(r.path)]  # shards, not records
-        existing = spark.createDataFrame([(p,) for p in there], "path string")
-        due = delta.to_write(judged, existing).select("path") if settings.delta else current.select("path")
-        due = current.join(due, "path", "left_semi").select("format", *_SHARD)
-        for form in own:
-            lines = graphs.cut_lineage(checks.union(*rendered[form, at]))
-            mine = due.filter(F.col("format") == form).drop("format")
-            sinks.write_lines(lines.join(mine, list(_SHARD), "left_semi"), f"{at}/{form}", *_SHARD)
-        if settings.delta:
-            gone = [r.path for r in judged.filter(F.col("verdict") == delta.REMOVED).select("path").collect()]
-            for path in gone:
-                out.delete(path)
-            removed += gone
-        write_manifest(out, current.select("path", "fingerprint"))
-        artifacts.append(current.join(judged.filter(F.col("verdict") != delta.REMOVED), "path").drop("fingerprint"))
-    if catalogue.assets is not None:
-        _, failed = copy_assets(catalogue.assets, folder)
-        failures = failures.unionByName(failed)
-    return Report(checks.union(*artifacts), found, failures, counts, removed)
+        parts = [_planned(checks.union(*lines)).withColumn("verdict", F.lit("DRY")) for lines in by_folder.values() if lines]
+        return Report(checks.union(*parts), found, failures, counts, spark.createDataFrame([], "path string"))
+    done = []
+    for at, lines in by_folder.items():
+        every = checks.union(*lines) if lines else spark.createDataFrame([], _LINES)
+        done.append(_commit(every, catalogue.assets if at == folder else None, at, settings.delta))
+    artifacts, removed, failed = (checks.union(*x) for x in zip(*done, strict=True))
+    return Report(artifacts, found, failures.unionByName(failed), counts, removed)
+
+
+_LINES = "path string, format string, kind string, target string, namespace string, part string, place int, _order string, line string"
 
 
 def report(catalogue: Catalogue, findings: DataFrame, names: Collection[str] = ()) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.functions.names import json_number
+from stratalog.functions.names import json_number, part_name
 from stratalog.schema import SEVERITIES, plural
 
 
@@ -178,9 +178,23 @@ WIKI_FILES = {
 }
 
 
-def wiki_file(version: str, kind: str, namespace: str, extension: str = "json") -> str:
-    template = WIKI_FILES[version].get(kind, WIKI_FILES[version]["item"])
-    return template.replace("%mod%", namespace).replace("%kind%", plural(kind)).replace("%ext%", extension)
+def _template(form: str, kind: str) -> str:
+    """Name of a shard's file in a format, with what is known of it filled in."""
+    known = WIKI_FILES.get({"wiki": "v2", "wiki_v1": "v1"}.get(form, ""))
+    template = known.get(kind, known["item"]) if known else "%mod%-%kind%.%ext%"
+    return template.replace("%kind%", plural(kind)).replace("%ext%", FORMATS[form].extension)
+
+
+def shard_path(form: str, kind: str, namespace: Column, part: Column, target: str = "", per_kind: bool = True, by_namespace: bool = True) -> Column:
+    """Path of a shard's file below the output folder: a target's own root, a folder for the kind, one for the namespace, the file.
+
+    ``namespace`` is a path segment already, but for ``.`` and ``..``, which name no folder of their own.
+    """
+    held = F.when(namespace.isin(".", "..", ""), "_").otherwise(namespace)
+    folders = [F.lit(x) for x in ([f"targets/{target}"] if target else []) + ([plural(kind)] if per_kind else [])] + ([held] if by_namespace else [])
+    head, *rest = _template(form, kind).split("%mod%")
+    name = F.concat(F.lit(head), *[x for r in rest for x in (held, F.lit(r))])
+    return F.concat_ws("/", *folders, part_name(name, part))
 
 
 def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
