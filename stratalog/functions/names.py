@@ -88,6 +88,31 @@ def worldgen_path(path: Column) -> Column:
     return _within(path, r"^/?worldgen/[^/]*/(.+?)(?:\.json)?$")
 
 
+def utf16(text: Column) -> Column:
+    """A sort key by UTF-16 code units: Spark orders text by UTF-8, where what lies beyond U+FFFF comes after U+E000 to U+FFFF."""
+    return F.encode(text, "UTF-16BE")
+
+
+#: Ranges of characters that take two columns of text.
+WIDE = "\u1100-\u115f\u2e80-\ua4cf\uac00-\ud7a3\uf900-\ufaff\ufe30-\ufe6f\uff00-\uff60"
+
+
+def display_width(text: Column) -> Column:
+    """Columns that a text takes: two for a full-width character, one for any other, none for null; beyond U+FFFF there are two units of one."""
+    count = lambda chars: F.length(text) - F.length(F.regexp_replace(text, chars, ""))
+    return F.coalesce(F.length(text) + count(f"[{WIDE}]") + count(r"[\x{10000}-\x{10FFFF}]"), F.lit(0))
+
+
+FALLBACK_LOCALE = "en_us"
+
+
+def locale_chain(locale: str | None) -> list[str]:
+    """Locales in which a text is looked for, in turn: the one wanted, its language alone, the fallback."""
+    wanted = (locale or "").strip().lower()
+    language = wanted.split("_")[0] if wanted.find("_") > 0 else ""
+    return list(dict.fromkeys(x for x in (wanted, language, FALLBACK_LOCALE) if x))
+
+
 def json_number(value: Column) -> Column:
     """A double as JSON text: without a fraction where it is whole and below 1e15."""
     whole = (value == F.floor(value)) & (F.abs(value) < 1e15)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import versions
+from stratalog.functions.names import utf16
 from stratalog.schema import ANALYSIS_KINDS, GLOBAL, SEVERITIES
 
 from . import graphs
@@ -57,9 +58,9 @@ def union(*found: DataFrame) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    """By severity, then kind, then subject."""
+    """By severity, then kind, then subject, text by UTF-16 code units."""
     rank = F.element_at(F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair]), F.coalesce("severity", F.lit("INFO")))
-    return findings.orderBy(rank, "kind", "subject", "message")
+    return findings.orderBy(rank, *[utf16(F.col(c)) for c in ("kind", "subject", "message")])
 
 
 def first_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -187,6 +187,43 @@ def chain_levels(parents: DataFrame) -> DataFrame:
     return now.join(tops.union(outside).distinct(), "top", "left_semi").select("node", "top", "levels")
 
 
+def chain_search(starts: DataFrame, parents: DataFrame) -> DataFrame:
+    """(node, depth, labels, shared, terminal): all that is reached upward from labelled starts, each at its least depth.
+
+    ``starts`` (label, node, ord), ``parents`` (node, parent), the parent null, or the node not there, at
+    the top. A start has the labels that name it, in their order; more than one make it shared. Where a
+    top was reached, a last row (node null) stands one level deeper than all others. Round k adds what
+    lies 2**k steps above, so a chain of length n takes log2(n) rounds; a cycle ends when nothing new or
+    less deep is found.
+    """
+    held = cut_lineage(starts.select("label", "node", "ord"))
+    up = cut_lineage(parents.filter("parent is not null").select("node", F.col("parent").alias("top")))
+    labels = held.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "label"))), lambda x: x["label"]).alias("labels"))
+    found, step = cut_lineage(held.select("node", F.lit(0).cast("long").alias("depth")).distinct()), 1
+    while True:
+        above = found.join(up, "node").select(F.col("top").alias("node"), (F.col("depth") + step).alias("depth"), F.lit(True).alias("new"))
+        both = found.withColumn("new", F.lit(False)).unionByName(above).groupBy("node").agg(F.min("depth").alias("depth"), F.min_by("new", F.struct("depth", "new")).alias("new"))
+        now = cut_lineage(both)
+        if not now.filter("new").take(1):
+            break
+        found, step = now.drop("new"), step * 2
+        over = up.select(F.col("node").alias("top"), F.col("top").alias("_top"))
+        up = cut_lineage(up.join(over, "top").select("node", F.col("_top").alias("top")))
+    levels = found.join(labels, "node", "left").select("node", "depth", F.coalesce("labels", F.array().cast(labels.schema["labels"].dataType)).alias("labels"))
+    levels = cut_lineage(levels.select("*", (F.size("labels") > 1).alias("shared"), F.lit(False).alias("terminal")))
+    tops = levels.join(parents.filter("parent is not null").select("node"), "node", "left_anti").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    last = levels.agg((F.max("depth") + 1).alias("depth")).join(F.broadcast(tops)).filter("n > 0").select(none.cast(levels.schema["node"].dataType).alias("node"), "depth", F.array().cast(levels.schema["labels"].dataType).alias("labels"), F.lit(False).alias("shared"), F.lit(True).alias("terminal"))
+    return levels.unionByName(last)
+
+
+def chain_summary(levels: DataFrame) -> DataFrame:
+    """(starting_points, distinct_starts, shared_starts) of a search."""
+    n = F.size("labels").cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return levels.agg(total(n).alias("starting_points"), F.count_if(n > 0).alias("distinct_starts"), total(F.when(F.col("shared"), n)).alias("shared_starts"))
+
+
 def roll_over(records: DataFrame, shard: str, order: str, size: str, budget: int) -> DataFrame:
     """Part of each record in its shard: a part takes whole records until it holds ``budget``, then the next begins.
 

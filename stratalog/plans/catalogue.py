@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import versions
+from stratalog.functions.names import display_width, utf16
 from stratalog.operators import checks, delta, encodings, graphs, merge, predicates, routing, rules
-from stratalog.sources import documents, scans
+from stratalog.sources import documents, records, scans
 
 from . import export
 from .config import Settings
@@ -475,6 +476,35 @@ def chain_depth(table, spark):
     return graphs.chain_levels(parents)
 
 
+CHAIN = """WITH RECURSIVE p AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 64 = 5 AND 2 * c_custkey <= n THEN 2 * c_custkey WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent FROM customer, (SELECT max(c_custkey) AS n FROM customer)),
+starts AS (SELECT o_orderpriority || ' ' || o_orderstatus AS label, min(o_custkey) AS node FROM orders GROUP BY 1 UNION ALL SELECT 'region ' || n_regionkey, min(c_custkey) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT 'nation ' || c_nationkey, max(c_custkey) FROM customer GROUP BY 1),
+w AS (SELECT node, CAST(0 AS BIGINT) AS depth FROM starts UNION SELECT parent, depth + 1 FROM w JOIN p USING (node) WHERE parent IS NOT NULL AND depth < 80),
+levels AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1),
+named AS (SELECT node, depth, coalesce(labels, '') AS labels, coalesce(n, 0) > 1 AS shared, false AS terminal FROM levels LEFT JOIN (SELECT node, string_agg(label, ',' ORDER BY label) AS labels, count(*) AS n FROM starts GROUP BY 1) USING (node)
+  UNION ALL SELECT NULL, max(depth) + 1, '', false, true FROM levels HAVING count(*) FILTER (WHERE node IN (SELECT node FROM p WHERE parent IS NULL)) > 0)"""
+
+
+def _chain(table) -> DataFrame:
+    """Customers in chains of halves, some of which turn back; starts by order priority, region and nation, many of them shared."""
+    key, n = F.col("c_custkey"), table("customer").agg(F.max("c_custkey").alias("n"))  # one row
+    parents = table("customer").join(F.broadcast(n)).select(key.alias("node"), F.when((key % 64 == 5) & (2 * key <= F.col("n")), 2 * key).when(key > 1, F.floor(key / 2)).alias("parent"))
+    by = lambda rows, label, node: rows.groupBy(label.alias("label")).agg(node.alias("node"))
+    orders = by(table("orders"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), F.min("o_custkey"))
+    customers = table("customer").join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    starts = orders.union(by(customers, F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), F.min("c_custkey"))).union(by(table("customer"), F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), F.max("c_custkey")))
+    return graphs.chain_search(starts.withColumn("ord", F.col("label")), parents)
+
+
+@query(f"{CHAIN} SELECT * FROM named")
+def loader_chain(table, spark):
+    return _chain(table).withColumn("labels", F.array_join("labels", ","))
+
+
+@query(f"{CHAIN} SELECT (SELECT count(*) FROM starts) AS starting_points, (SELECT count(DISTINCT node) FROM starts) AS distinct_starts, (SELECT count(*) FROM starts WHERE node IN (SELECT node FROM starts GROUP BY 1 HAVING count(*) > 1)) AS shared_starts")
+def loader_chain_summary(table, spark):
+    return graphs.chain_summary(_chain(table))
+
+
 @query("""
 WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
 r AS (SELECT source, doc_id, k, CAST(0 AS BIGINT) AS part, n_chars AS held FROM d WHERE k = 1
@@ -528,6 +558,70 @@ def translate_lookup(table, spark):
     return scans.with_names(table("customer").select("c_custkey", F.col("c_nationkey").alias("translation_key")), some).select("c_custkey", "name_en", "name_zh")
 
 
+@query("""
+SELECT event_id, CASE WHEN event_id % 10 > 3 THEN CAST(json_extract_string(props, '$.k') AS INT) END AS k,
+  CASE event_id % 10 WHEN 0 THEN 'it is no JSON object' WHEN 1 THEN 'k is no int: "a"' WHEN 2 THEN 'k is missing' WHEN 3 THEN 'it is no JSON object' END AS error
+FROM events
+""")
+def typed_events(table, spark):
+    """Events' properties as typed records or failures; of ten, one is torn, one a text, one lacks the field, one is a list."""
+    own = F.col("event_id") % 10
+    raw = F.when(own == 0, F.expr("substring(props, 1, length(props) - 1)")).when(own == 1, '{"k": "a"}').when(own == 2, '{"j": 1}').when(own == 3, "[1]").otherwise(F.col("props"))
+    scan = records.typed(table("events").select("event_id", raw.alias("document")), "event", (records.Field("k", "$.k", "int", required=True),), "event_id")
+    none = F.lit(None)
+    return scan.records.select("event_id", "k", none.cast("string").alias("error")).unionByName(scan.failures.select(F.col("id").cast("long").alias("event_id"), none.cast("int").alias("k"), "error"))
+
+
+@query("""
+WITH d AS (SELECT *, p_partkey % 20 AS own, lower(replace(p_brand, '#', '_')) || ':' || p_partkey AS id FROM part)
+SELECT 'item' AS kind, id, CASE own WHEN 0 THEN 'it is no JSON object' WHEN 1 THEN 'max_stack is no int: "many"' WHEN 2 THEN 'translation_key is missing' WHEN 3 THEN 'tags is no array<string>: [1]; block_item is no boolean: 0' WHEN 5 THEN 'max_stack is no int: 5000000000' END AS error,
+  CAST(NULL AS INT) AS max_stack, NULL AS tags, NULL AS name_en FROM d WHERE own IN (0, 1, 2, 3, 5)
+UNION ALL SELECT 'item', id, NULL, CASE WHEN own = 6 THEN 64 ELSE CAST(p_size AS INT) END, replace(p_name, ' ', ','), CASE WHEN p_type IN (SELECT p_type FROM part WHERE p_size > 25) THEN lower(p_type) END FROM d WHERE own > 5
+""")
+def typed_items(table, spark):
+    """Parts as documents of items, some of them malformed: records with their names, and the failures."""
+    own, size = F.col("p_partkey") % 20, F.col("p_size")
+    good = F.to_json(F.struct(F.col("p_type").alias("descriptionId"), F.when(own != 6, size).alias("maxStackSize"), F.split("p_name", " ").alias("tags")))
+    raw = F.when(own == 0, F.lit('{"descriptionId":')).when(own == 1, '{"descriptionId":"a","maxStackSize":"many"}').when(own == 2, "{}").when(own == 3, '{"descriptionId":"a","tags":[1],"blockItem":0}').when(own == 5, '{"descriptionId":"a","maxStackSize":5000000000}').when(own != 4, good)
+    rows = table("part").select(F.concat(F.lower(F.translate("p_brand", "#", "_")), F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), raw.alias("document"))
+    texts = table("part").filter("p_size > 25").select(F.col("p_type").alias("key"), F.lit("en_us").alias("locale"), F.lower("p_type").alias("text"))
+    scan = records.registry_records(rows, "item", texts)
+    good = scan.records.select(F.lit("item").alias("kind"), F.col("registry_name").alias("id"), F.lit(None).cast("string").alias("error"), "max_stack", F.array_join("tags", ",").alias("tags"), "name_en")
+    none = F.lit(None)
+    return good.unionByName(scan.failures.select("kind", "id", "error", none.cast("int").alias("max_stack"), none.cast("string").alias("tags"), none.cast("string").alias("name_en")))
+
+
+@query("""
+SELECT p_partkey AS key, coalesce(CASE WHEN p_size % 3 = 0 THEN p_name END, CASE WHEN p_size % 2 = 0 THEN p_type END, CASE WHEN p_size % 5 <> 0 THEN p_brand END, CAST(p_partkey AS VARCHAR)) AS text FROM part
+""")
+def locale_fallback(table, spark):
+    """Parts' texts in de_AT: some have one of their own, some of the language, some only the fallback's, some none."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    texts = F.array(*[F.struct(F.lit(loc).alias("locale"), F.when(held, F.col(c)).alias("text")) for loc, held, c in (("en_us", size % 5 != 0, "p_brand"), ("de", size % 2 == 0, "p_type"), ("de_at", size % 3 == 0, "p_name"), ("fr", size > 0, "p_name"))])
+    some = table("part").select(key.alias("key"), F.explode(texts).alias("t")).select("key", "t.*")
+    wanted = table("part").select("p_partkey", key.alias("translation_key"))
+    return scans.with_text(wanted, some, "de_AT").select(F.col("p_partkey").alias("key"), "text")
+
+
+@query("""
+WITH n AS (SELECT c_nationkey, CASE c_custkey % 4 WHEN 0 THEN chr(57344) WHEN 1 THEN chr(128512) WHEN 2 THEN chr(65533) ELSE '' END || c_name AS name, CASE c_custkey % 4 WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS rank, c_name FROM customer)
+SELECT c_nationkey, arg_min(name, (rank, c_name)) AS first_name, arg_max(name, (rank, c_name)) AS last_name FROM n GROUP BY 1
+""")
+def utf16_order(table, spark):
+    """Each nation's first and last name by UTF-16 code units, where a character beyond U+FFFF precedes U+E000."""
+    k = F.col("c_custkey") % 4
+    name = F.concat(F.when(k == 0, "\ue000").when(k == 1, "\U0001f600").when(k == 2, "\ufffd").otherwise(""), F.col("c_name"))
+    return table("customer").withColumn("name", name).groupBy("c_nationkey").agg(F.min_by("name", utf16(F.col("name"))).alias("first_name"), F.max_by("name", utf16(F.col("name"))).alias("last_name"))
+
+
+@query("SELECT o_orderkey, CAST(length(t) + length(regexp_replace(t, '[^\u4e00-\u9fff\uff00-\uff60]', '', 'g')) + length(regexp_replace(t, '[^\\x{1F600}]', '', 'g')) AS BIGINT) AS width FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '\u77f3\uff01' WHEN 1 THEN chr(128512) ELSE '' END || o_orderpriority AS t FROM orders)")
+def text_width(table, spark):
+    """Columns that orders' priorities take, some behind full-width characters."""
+    k = F.col("o_orderkey") % 3
+    shown = F.concat(F.when(k == 0, "\u77f3\uff01").when(k == 1, "\U0001f600").otherwise(""), F.col("o_orderpriority"))
+    return table("orders").select("o_orderkey", display_width(shown).cast("long").alias("width"))
+
+
 @query("""
 WITH w AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'x:' || (l_partkey % 997) ELSE CAST(l_partkey % 1500 AS VARCHAR) END AS id FROM lineitem),
 d AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'x:' || p_partkey ELSE CAST(p_partkey AS VARCHAR) END AS id, p_name AS source FROM part)

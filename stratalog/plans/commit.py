@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog import schema
+from stratalog.functions.names import utf16
 from stratalog.operators import delta
+from stratalog.sources.files import file_system, located
 
 #: Bytes that are read or written at once.
 AT_ONCE = 1 << 20
@@ -38,10 +40,6 @@ _NUMBERS = dict.fromkeys(("piece", "records", "bytes", "n", "x", "s"), pa.int64(
 _WRITTEN = ", ".join([f"{c} string" for c in _TEXT] + [f"{c} long" for c in _NUMBERS])
 
 
-def file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1))
-
-
 def _told(rows: list[dict[str, Any]], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
@@ -88,7 +86,7 @@ def write_beside(lines: DataFrame, folder: str, run: str) -> DataFrame:
     other by number. The plan writes whenever it is run, so it is run once.
     """
     whole = F.struct("place", "_order", "line")
-    order = [F.col(c) for c in ("path", "place", "_order", "line")]
+    order = [F.col("path"), F.col("place"), utf16(F.col("_order")), F.col("line")]
     width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lines.withColumn("hash", F.xxhash64(whole)).repartitionByRange(width, *order).sortWithinPartitions(*order)
     return rows.select("path", *ABOUT, "place", "line", "hash").mapInArrow(_write(folder, run), _WRITTEN)
@@ -157,7 +155,7 @@ def publish_assets(due: DataFrame, folder: str) -> DataFrame:
     """Copy the files (path, source) to their places; (path, error)."""
 
     def work(system, base, row):
-        _whole(system, base, row["path"], [file_system(row["source"])])
+        _whole(system, base, row["path"], [located(row["source"])])
         return {}
 
     return _spread(due.select("path", "source")).mapInArrow(_each(folder, work, {"path": pa.string(), "error": pa.string()}), "path string, error string")
@@ -167,7 +165,7 @@ def asset_fingerprints(assets: DataFrame, folder: str) -> DataFrame:
     """(path, namespace, source, fingerprint, bytes, error) of files (namespace, path, source): each is read once, nothing is written."""
 
     def work(system, base, row):
-        a, at = file_system(row["source"])
+        a, at = located(row["source"])
         digest, n = hashlib.sha256(), 0
         with a.open_input_stream(at) as r:
             while chunk := r.read(AT_ONCE):

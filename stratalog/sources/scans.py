@@ -6,19 +6,22 @@ import io
 import json
 import re
 import zipfile
-from collections.abc import Collection
-from typing import NamedTuple
+import zlib
+from collections.abc import Collection, Sequence
+from typing import BinaryIO, NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.functions.names import namespace_of, path_of
+from stratalog.functions.names import locale_chain, namespace_of, path_of
 from stratalog.operators.predicates import namespace_allowed
 from stratalog.schema import FINDINGS
 
 from .documents import _at, _is, _items, _text, parsed
+from .files import located
 
 ARCHIVE = T.StructType([T.StructField("entries", T.IntegerType()), T.StructField("mixin_paths", T.ArrayType(T.StringType())), T.StructField("manifest", T.MapType(T.StringType(), T.StringType())), T.StructField("read_error", T.StringType())])
 MIXIN_SUFFIX = ".mixins.json"
@@ -41,12 +44,20 @@ def _manifest(text: str) -> dict[str, str]:
     return {k: v for k, v in found.items() if k in ATTRIBUTES}
 
 
-def _inspect(content: bytes) -> tuple[int | None, list[str], dict[str, str], str | None]:
+#: Bytes of a manifest that are read at most; its main section is far shorter.
+MOST_MANIFEST = 1 << 20
+_DAMAGE = (zipfile.BadZipFile, zlib.error, OSError, EOFError, KeyError, ValueError, RuntimeError, NotImplementedError, pa.ArrowException)
+
+
+def _inspect(source: BinaryIO) -> tuple[int | None, list[str], dict[str, str], str | None]:
+    """Of a file that can be sought in: the directory at its end and the manifest are read, nothing else."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = z.namelist()
-            manifest = _manifest(z.read("META-INF/MANIFEST.MF").decode("utf-8", "replace")) if "META-INF/MANIFEST.MF" in names else {}
-    except (zipfile.BadZipFile, OSError, KeyError, RuntimeError, NotImplementedError) as e:
+        with zipfile.ZipFile(source) as z:
+            names, manifest = z.namelist(), {}
+            if "META-INF/MANIFEST.MF" in names:
+                with z.open("META-INF/MANIFEST.MF") as m:
+                    manifest = _manifest(m.read(MOST_MANIFEST).decode("utf-8", "replace"))
+    except _DAMAGE as e:
         return None, [], {}, f"{type(e).__name__}: {e}"
     declared = [x.strip() for x in manifest.get("MixinConfigs", "").split(",")]
     return len(names), list(dict.fromkeys(x for x in declared + [n for n in names if n.endswith(MIXIN_SUFFIX)] if x)), manifest, None
@@ -54,13 +65,40 @@ def _inspect(content: bytes) -> tuple[int | None, list[str], dict[str, str], str
 
 @F.pandas_udf(ARCHIVE)
 def archive(contents: pd.Series) -> pd.DataFrame:
-    """Entries, manifest attributes and mixin configurations of a zip; a damaged one gives its error."""
-    return pd.DataFrame([_inspect(c) for c in contents], columns=ARCHIVE.names)
+    """Entries, manifest attributes and mixin configurations of a zip held in memory; a damaged one gives its error."""
+    return pd.DataFrame([_inspect(io.BytesIO(c)) for c in contents], columns=ARCHIVE.names)
+
+
+@F.pandas_udf(ARCHIVE)
+def archive_at(paths: pd.Series) -> pd.DataFrame:
+    """The same of the files at these paths, each by a few ranged reads."""
+
+    def inspect(path: str):
+        try:
+            system, at = located(path)
+            with system.open_input_file(at) as f:
+                return _inspect(f)
+        except _DAMAGE as e:
+            return None, [], {}, f"{type(e).__name__}: {e}"
+
+    return pd.DataFrame([inspect(p) for p in paths], columns=ARCHIVE.names)
+
+
+def archives(spark: SparkSession, folder: str, pattern: str = "*.jar") -> DataFrame:
+    """The archives below a folder as container facts. Spark lists them, without their content, and deals them to tasks by size;
+    a task seeks each one's directory, so its memory does not grow with the archives."""
+    return containers(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "length"))
+
+
+def container_failures(found: DataFrame) -> DataFrame:
+    """Archives that could not be read, as failures."""
+    return found.filter("read_error is not null").select(F.lit("container").alias("kind"), F.col("path").alias("id"), F.col("read_error").alias("error"))
 
 
 def containers(files: DataFrame) -> DataFrame:
-    """``binaryFile`` rows of archives as container facts."""
-    return files.withColumn("a", archive("content")).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit(False).alias("is_dir"), F.col("length").alias("bytes"), "a.entries", "a.mixin_paths", "a.manifest", "a.read_error")
+    """Rows of archives as container facts: by their ``path``, or by their ``content`` where that was read."""
+    facts = archive("content") if "content" in files.columns else archive_at("path")
+    return files.withColumn("a", facts).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), F.lit(False).alias("is_dir"), F.col("length").alias("bytes"), "a.entries", "a.mixin_paths", "a.manifest", "a.read_error")
 
 
 def directories(files: DataFrame, root: str) -> DataFrame:
@@ -203,6 +241,24 @@ def with_names(records: DataFrame, translations: DataFrame, key: str = "translat
     return records.join(wide, key, "left")
 
 
+def texts_for(translations: DataFrame, chain: Sequence[str]) -> DataFrame:
+    """(key, locale, text) as (key, text, locale): of each key the text of the first locale of the chain that has one.
+
+    One aggregate over the chain's locales, whatever its length; combined in the tasks, so a key with many
+    texts shuffles one for each of them.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in chain]), F.lower(F.trim("locale")))
+    known = translations.filter(F.col("text").isNotNull()).withColumn("_rank", rank).filter("_rank > 0")
+    first = known.groupBy("key").agg(F.min_by(F.struct("text", F.lower(F.trim("locale")).alias("locale")), F.struct("_rank", "text")).alias("_f"))
+    return first.select("key", "_f.text", "_f.locale")
+
+
+def with_text(records: DataFrame, translations: DataFrame, locale: str | None, key: str = "translation_key", name: str = "text") -> DataFrame:
+    """Adds the text of each record's key in a locale, its language or the fallback; the key itself where there is none."""
+    found = texts_for(translations, locale_chain(locale)).select(F.col("key").alias(key), F.col("text").alias(name))
+    return records.join(found, key, "left").withColumn(name, F.coalesce(name, key))
+
+
 def lookup(wanted: DataFrame, definitions: DataFrame, wanted_id: str = "id") -> DataFrame:
     """Definitions by the id asked for, else by what follows its first colon."""
     found = definitions.select(F.col("id").alias("_id"), F.col("source").alias("_source"))

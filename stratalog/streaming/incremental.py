@@ -1,38 +1,72 @@
-"""Extension: the delta of a directory of records as a stream of micro-batches.
+"""Extension: the delta of a directory of records as a stream, with the fingerprint of each path as keyed state.
 
-Each batch is judged against the snapshot so far and merged into it. The snapshot is a Parquet
-table per version under one folder, so a batch that is retried writes the same version again.
+A batch touches the state of its own paths only, so it costs in proportion to itself, whatever the
+snapshot holds. State and output are committed by Spark's checkpoint: a query that starts again goes on
+where it stopped, and a batch that is retried says the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from stratalog.operators import delta, merge
+from stratalog.operators import delta
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERDICTS = "path string, verdict string, fingerprint string, seq long"
 
-def judge_batches(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """``stream`` of (path, content, seq): verdicts go to ``folder``/verdicts, snapshots to ``folder``/snapshot/version=n."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = merge.winner(batch.select("path", delta.fingerprint(F.col("content")).alias("fingerprint"), "seq"), "path", "seq").select("path", "fingerprint")
-        before = snapshot(spark, folder, number - 1)
-        judged = delta.verdicts(before, latest).filter(F.col("verdict") != delta.REMOVED)  # a batch does not list everything
-        judged.write.mode("overwrite").parquet(f"{folder}/verdicts/batch={number}")
-        merged = before.join(latest, "path", "left_anti").unionByName(latest)
-        merged.write.mode("overwrite").parquet(f"{folder}/snapshot/version={number}")
+class Judge(StatefulProcessor):
+    """Of one path: the newest row of a batch against the newest before it; older rows that come late change nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "fingerprint string, seq long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        newest = None
+        for frame in rows:
+            top = frame.loc[frame["seq"].idxmax()]
+            if newest is None or top["seq"] >= newest["seq"]:
+                newest = top
+        before = self.last.get() if self.last.exists() else None
+        if before is not None and int(newest["seq"]) < before[1]:
+            return
+        mark, seq = newest["fingerprint"], int(newest["seq"])
+        verdict = delta.NEW if before is None else delta.UNCHANGED if before[0] == mark else delta.CHANGED
+        self.last.update((mark, seq))
+        yield pd.DataFrame({"path": [key[0]], "verdict": [verdict], "fingerprint": [mark], "seq": [seq]})
+
+    def close(self) -> None:
+        pass
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def judged(stream: DataFrame) -> DataFrame:
+    """``stream`` of (path, content, seq) as (path, verdict, fingerprint, seq), a row for each path of a batch."""
+    marked = stream.select("path", delta.fingerprint(F.col("content")).alias("fingerprint"), F.col("seq").cast("long").alias("seq"))
+    return marked.groupBy("path").transformWithStateInPandas(statefulProcessor=Judge(), outputStructType=VERDICTS, outputMode="Append", timeMode="None")
+
+
+def judge_batches(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Verdicts go to ``folder``/verdicts, the snapshot is the state below ``checkpoint``. Starts the query on what is there now."""
+    spark = stream.sparkSession
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)  # read when the query starts
+    try:
+        return judged(stream).writeStream.format("parquet").option("path", f"{folder}/verdicts").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def snapshot(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    schema = "path string, fingerprint string"
-    if version < 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/snapshot/version={version}")
+def snapshot(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(path, fingerprint) as of the last batch."""
+    state = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return state.select(F.col("key.path").alias("path"), F.col("value.fingerprint").alias("fingerprint"))
 
 
 def counts_by_window(events: DataFrame, size: str = "10 minutes", late: str = "1 hour") -> DataFrame:

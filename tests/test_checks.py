@@ -1,3 +1,4 @@
+import hashlib
 from pyspark.sql import functions as F
 
 from stratalog import schema
@@ -139,11 +140,16 @@ def test_settings():
 
 
 def test_streaming_delta(spark, tmp_path):
-    src = str(tmp_path / "in")
+    """Each call starts the query anew from its checkpoint; state is kept by path, a batch tells of its own paths only."""
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
     schema_ = "path string, content string, seq int"
-    for batch in ([("a", "1", 0), ("b", "1", 1)], [("a", "2", 2), ("b", "1", 3), ("c", "1", 4), ("c", "2", 5)]):
-        spark.createDataFrame(batch, schema_).coalesce(1).write.mode("append").json(src)
-        incremental.judge_batches(spark.readStream.schema(schema_).json(src), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    last = {r.path: r.verdict for r in spark.read.parquet(str(tmp_path / "out/verdicts/batch=1")).collect()}
-    assert last == {"a": "CHANGED", "b": "UNCHANGED", "c": "NEW"}
-    assert incremental.snapshot(spark, str(tmp_path / "out"), 1).count() == 3
+    seen = []
+    for batch in ([("a", "1", 0), ("b", "1", 1)], [("a", "2", 2), ("b", "1", 3), ("c", "1", 4), ("c", "2", 5)], [("a", "1", 1), ("c", "3", 6)], []):
+        if batch:
+            spark.createDataFrame(batch, schema_).coalesce(1).write.mode("append").json(src)
+        incremental.judge_batches(spark.readStream.schema(schema_).json(src), out, cp).awaitTermination()
+        rows = sorted((r.path, r.verdict, r.seq) for r in spark.read.parquet(f"{out}/verdicts").collect())
+        seen.append(sorted(set(rows) - {x for s in seen for x in s}))
+    assert seen == [[("a", "NEW", 0), ("b", "NEW", 1)], [("a", "CHANGED", 2), ("b", "UNCHANGED", 3), ("c", "NEW", 5)], [("c", "CHANGED", 6)], []]
+    told = {r.path: r.fingerprint for r in incremental.snapshot(spark, cp).collect()}
+    assert told == {p: hashlib.sha256(c.encode()).hexdigest() for p, c in (("a", "2"), ("b", "1"), ("c", "3"))}

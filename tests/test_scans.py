@@ -20,6 +20,28 @@ def test_archives(spark, tmp_path):
     assert got["b.jar"].entries is None and got["b.jar"].read_error and got["b.jar"].bytes == 6
 
 
+def test_archives_by_range(spark, tmp_path):
+    """A file of three gigabytes (sparse) of which the directory alone is read; damaged and missing ones are told."""
+    names = ["huge.jar", "a b#1%20.jar", "torn.jar", "deep/er.jar"]
+    (tmp_path / "deep").mkdir()
+    for n in names:
+        with (tmp_path / n).open("wb") as f:
+            if n == "huge.jar":
+                f.seek(3 << 30)
+                f.write(b"\0")
+            with zipfile.ZipFile(f, "a") as z:
+                z.writestr("META-INF/MANIFEST.MF", f"Implementation-Title: {n}\r\n\r\n")
+                z.writestr("x/q.mixins.json", "{}")
+    torn = (tmp_path / "torn.jar").read_bytes()
+    (tmp_path / "torn.jar").write_bytes(torn[:10] + b"\xff" * 30 + torn[40:])
+    (tmp_path / "no.txt").write_bytes(b"x")
+    found = scans.archives(spark, str(tmp_path))
+    got = {r.file_name: r for r in found.collect()}
+    assert sorted(got) == ["a b#1%20.jar", "er.jar", "huge.jar", "torn.jar"] and got["huge.jar"].bytes > 3 << 30
+    assert all(r.entries == 2 and r.manifest["Implementation-Title"].endswith(n) and r.mixin_paths == ["x/q.mixins.json"] for n, r in got.items() if n != "torn.jar")
+    assert [(r.kind, r.id.rsplit("/", 1)[1]) for r in scans.container_failures(found).collect()] == [("container", "torn.jar")] and got["torn.jar"].entries is None
+
+
 def test_directories_are_containers(spark):
     files = spark.createDataFrame([("file:/m/one/a/x.mixins.json", 5), ("file:/m/one/b.class", 7), ("file:/m/two/c", 1), ("file:/m/loose.jar", 9)], "path string, length long")
     got = {r.file_name: (r.is_dir, r.bytes, r.entries, r.mixin_paths) for r in scans.directories(files, "file:/m").collect()}
