@@ -5,9 +5,11 @@ report, other. Four machines read classes: negation and reported speech remember
 words came before (negation for ``REACH`` words, a report to the clause's end), the target machine
 whether the clause addresses someone before the word or, read from right to left, after it; the
 scoring machine turns insults and threats into weight. Their composition is one machine whose
-output for a clause is weight by context. Before any label is seen, an aimed insult, a threat with
-a target or a clause of several insults makes a text toxic, a lone insult without target does not;
-what the contexts weigh is then learned.
+output for a clause is weight by context. A clause matches where a threat with a target, an aimed
+insult or several insults stand in it, neither negated nor reported. What the contexts weigh is
+learned, within bounds that no label moves (``_held``): a threat with a target or an aimed insult
+makes a text toxic; one insult without a target, and any number of negated or reported insults and
+threats, do not.
 
 Insults and threats are a short general list and what labelled rows teach: words, and beginnings
 of words, that occur in toxic training texts far more often than chance explains. Those whose
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import shingle_sets
-from .staging import small_batches, staged
+from .staging import least_hashed, small_batches, staged
 from .words import slices
 
 MOST_TOXIC, MOST_CLEAN = 4000, 8000
@@ -118,11 +120,10 @@ PLAIN, AIMED, NEGATED, REPORTED, THREATS = range(5)
 def _score(state: None, read):
     (symbol, follows), ((negated, reported), before) = read
     aimed = before or follows
-    if symbol == THREAT and aimed and not negated:
-        return None, THREATS
-    if symbol != INSULT:
+    if symbol != INSULT and not (symbol == THREAT and aimed):
         return None, None
-    return None, NEGATED if negated else REPORTED if reported else AIMED if aimed else PLAIN
+    own = THREATS if symbol == THREAT else AIMED if aimed else PLAIN
+    return None, NEGATED if negated else REPORTED if reported else own
 
 
 TARGETS = Machine(False, _target)
@@ -150,8 +151,8 @@ def general_lexicon() -> Lexicon:
 
 
 def clause_weights(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Of a text: the weight in each context, the largest weight of a clause, and the matched clauses."""
-    out, largest, matched = [0.0] * 5, 0.0, 0
+    """Of a text: the weight in each context, the heaviest unaimed insult, and the matched clauses."""
+    out, alone, matched = [0.0] * 5, 0.0, 0
     text = (text or "").lower()
     known = {w: e for w in set(_WORD.findall(text)) if (e := lexicon.find(w))}
     marks = {w for w, (kind, _) in known.items() if kind in (INSULT, THREAT)}
@@ -161,33 +162,60 @@ def clause_weights(text: str | None, lexicon: Lexicon) -> list[float]:
         words = _WORD.findall(clause)
         if marks.isdisjoint(words):
             continue
-        state, weight = GRAMMAR.start, 0.0
+        state, n = GRAMMAR.start, [0] * 5
         symbols = [known[w][0] if w in known else OTHER for w in words]
         for w, read in zip(words, zip(symbols, TARGETS.backwards(symbols), strict=True), strict=True):
             state, context = GRAMMAR.step(state, read)
             if context is not None:
                 out[context] += known[w][1]
-                weight += known[w][1]
-        largest, matched = max(largest, weight), matched + (weight > 0)
-    return [*out, largest, float(matched)]
+                n[context] += 1
+                if context == PLAIN:
+                    alone = max(alone, known[w][1])
+        matched += n[AIMED] + n[THREATS] > 0 or n[PLAIN] > 1
+    return [*out, alone, float(matched)]
+
+
+#: Features by place: what is aimed, threats, unaimed insults beyond the heaviest, that one, what is negated, what is reported, matched clauses.
+BIAS, F_AIMED, F_THREATS, F_SEVERAL, F_ALONE, F_NEGATED, F_REPORTED, F_MATCHED = range(8)
 
 
 def _features(weights: np.ndarray) -> np.ndarray:
-    return np.c_[np.ones(len(weights)), np.log1p(weights)]
+    w = weights.reshape(-1, 7)
+    alone = w[:, 5]
+    held = np.c_[w[:, AIMED], w[:, THREATS], w[:, PLAIN] - alone, alone, w[:, NEGATED], w[:, REPORTED], w[:, 6]]
+    return np.c_[np.ones(len(w)), np.log1p(np.maximum(held, 0))]
+
+
+#: Heaviest and lightest entry of a lexicon that was learned: bounds hold for both.
+HEAVIEST, LIGHTEST = 6.0, LEAST_ODDS
+#: Log-odds beyond which a text is toxic or clean at the threshold of 0.3, which is -0.85.
+_TOXIC, _CLEAN = -0.7, -1.0
+
+
+def _held(beta: np.ndarray) -> np.ndarray:
+    """The coefficients within what the grammar says: a lone insult stays clean, one aimed insult or threat is toxic, what is negated or reported adds nothing."""
+    b = beta.copy()
+    b[BIAS] = min(b[BIAS], _CLEAN)
+    b[[F_SEVERAL, F_MATCHED]] = np.maximum(b[[F_SEVERAL, F_MATCHED]], 0)
+    b[F_ALONE] = min(b[F_ALONE], (_CLEAN - b[BIAS]) / np.log1p(HEAVIEST))
+    b[[F_NEGATED, F_REPORTED]] = np.minimum(b[[F_NEGATED, F_REPORTED]], 0)
+    least = (_TOXIC - b[BIAS] - b[F_MATCHED] * np.log1p(1.0)) / np.log1p(LIGHTEST)
+    b[[F_AIMED, F_THREATS]] = np.maximum(b[[F_AIMED, F_THREATS]], max(least, 0.0))
+    return b
 
 
-#: Coefficients before any label is seen: what is aimed counts, a lone, a negated or a reported insult does not suffice.
-PRIOR = np.array([-4.0, 0.5, 1.8, 0.3, 0.5, 1.8, 1.0, 0.5])
+#: Coefficients before any label is seen.
+PRIOR = _held(np.array([-4.0, 1.8, 1.8, 1.0, 0.5, 0.0, 0.0, 1.2]))
 
 
 def fit(weights: np.ndarray, toxic: np.ndarray, share: np.ndarray, pull: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic coefficients by Newton's method, held near PRIOR; ``share`` weighs the rows."""
+    """Logistic coefficients by Newton's method, near PRIOR and within ``_held``; ``share`` weighs the rows."""
     x, beta = _features(weights), PRIOR.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         gradient = x.T @ (share * (p - toxic)) + pull * (beta - PRIOR)
         curve = (x * (share * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(beta))
-        beta = beta - np.clip(np.linalg.solve(curve, gradient), -2, 2)
+        beta = _held(beta - np.clip(np.linalg.solve(curve, gradient), -2, 2))
     return beta
 
 
@@ -203,7 +231,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     for value, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         own = known.filter(F.col("toxic") == value)
         n = own.count()
-        parts.append(own.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("share", F.lit(max(1.0, n / most))))
+        parts.append(least_hashed(own, n, most, "id").withColumn("share", F.lit(max(1.0, n / most))))
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most MOST_TOXIC + MOST_CLEAN rows of 20 bytes
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").join(chosen, "id")
     return texts.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.max("share").alias("share"))
