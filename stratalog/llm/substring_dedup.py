@@ -4,11 +4,12 @@ Plan
 ----
 1. Each task hashes every window of its texts with rolling polynomials and keeps, of windows
    that repeat within a few megabytes of text, the first; the others are known to repeat.
-   Windows leave the task grouped by hash bucket: 8 bytes of hash, and document and start as
-   compressed differences, so the shuffle moves about 10 bytes a window and at most one entry
-   of a hot window for each few megabytes of text, however often the passage occurs.
+   Windows leave the task grouped by hash bucket: 10 bytes of hash, and document and start as
+   compressed differences, so the shuffle moves about 12 bytes a window. Of a hot window each few
+   megabytes of text send one hash to its bucket; its other places need no count and are dealt
+   by document, so a passage that every text holds is spread over all buckets.
 2. Spark shuffles the buckets; each counts its hashes and finds the earliest place of each.
-   All later places are marked.
+   All later places are marked, and those that were known.
 3. Marks and texts meet by document bucket; overlapping windows merge into maximal intervals.
 
 Two windows count as equal if 80 bits agree, 64 of one rolling hash and 16 of another, and the
@@ -84,7 +85,7 @@ def _hash_batches(width: int, buckets: int, most: int):
             again = np.zeros(len(at), bool)
             again[order] = same
             doc, start = key[words.doc[at]], (at - words.first[words.doc[at]]).astype(np.int32)
-            bucket = (other % np.uint64(buckets)).astype(np.int32)
+            bucket = np.where(again, doc % buckets, (other % np.uint64(buckets)).astype(np.int64)).astype(np.int32)
             more = (other >> np.uint64(48)).astype(np.uint16)
             out: dict[str, list] = {"bucket": [], "hashes": [], "docs": [], "starts": []}
             for which, hashed in ((~again, True), (again, False)):

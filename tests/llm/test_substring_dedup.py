@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from stratalog.llm import substring_dedup as dedup
 from stratalog.llm.substring_dedup import _intervals, op1_substring_dedup, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,3 +80,18 @@ def test_intervals(starts):
     edge, mask = _intervals(np.array(starts, dtype=np.int64), 4, 30)
     want = {j for i in starts for j in range(i, i + 4)}
     assert set(np.flatnonzero(mask)) == want == {j for a, b in edge for j in range(a, b)}
+
+
+def test_a_passage_in_every_text_is_spread_over_buckets():
+    """Its window counts once a chunk; the other places go by document, and no bucket holds more than a small share."""
+    import pyarrow as pa
+
+    words = [f"p{i}" for i in range(20)]
+    texts = [" ".join([*(f"w{k}x{i}" for i in range(5)), *words]) for k in range(3000)]
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["key", "text"])
+    out = next(iter(dedup._hash_batches(20, 128, 8 << 20)(iter([batch])))).to_pydict()
+    places = {}
+    for b, hashes, docs in zip(out["bucket"], out["hashes"], out["docs"], strict=True):
+        if hashes is None:
+            places[b] = places.get(b, 0) + len(dedup._unpack([docs], np.int64))
+    assert sum(places.values()) == 2999 and max(places.values()) <= 24
