@@ -225,13 +225,13 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.mapInArrow(_pack_batches(tokenizer or vocabulary_file(), capacity, end, chunk_bytes, slack), _PIECES).withColumnRenamed("id", id_col)
 
 
-def report(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 2048) -> DataFrame:
+def report(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: documents, those cut although they would fit one sequence, sequences, tokens and padding."""
-    docs = pieces.groupBy(id_col, "doc_tokens").agg(F.count("*").alias("pieces"))
     filled = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     power = F.expr("n & (n - 1)") == 0
     padding = F.when(power, 0).otherwise(capacity - F.col("n"))
-    a = docs.agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("doc_tokens") <= capacity)).alias("cut"))
+    first = F.col("start") == 0  # of each document one piece, whatever ids repeat
+    a = pieces.agg(F.count_if(first).alias("documents"), F.count_if(first & (F.col("length") < F.col("doc_tokens")) & (F.col("doc_tokens") <= capacity)).alias("cut"))
     b = filled.agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"), F.sum(padding).alias("padding"))
     return a.join(b)  # one row each
 

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import fresh, staged, with_key, with_length
+from .staging import fresh, least_hashed, staged, with_key, with_length
 
 #: Kind, pattern, and least length of the last group; fixed values.
 BASE = (
@@ -63,7 +63,7 @@ def labelled_samples(spark: SparkSession, texts: DataFrame) -> DataFrame:
     three = [pick(n) for n in range(3)]
     number = F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(10**18)).cast("string")
     ordinary = seed.select(F.explode(F.array(F.concat(three[0], F.initcap(three[1]), F.initcap(three[2])), F.concat_ws("_", *three), F.upper(F.concat_ws("_", *three)), F.concat_ws("/", *three), number)).alias("text"))
-    some = texts.orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_ROWS)
+    some = least_hashed(texts, texts.count(), SAMPLE_ROWS, "id", "text")
     found = some.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("text"))
     return random.withColumn("random", F.lit(1)).union(ordinary.union(found).withColumn("random", F.lit(0)))
 

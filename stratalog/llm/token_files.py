@@ -12,7 +12,7 @@ makes them part of the result, so a repeated task does no harm. The files go to
 executors share, through Arrow's file systems (local paths, hdfs, s3 and others by URI).
 
 Edge cases: a null or empty text has the end id alone; null ids come last; rows that repeat an
-id follow each other, by text; an empty table gives no shards and no rows; a text longer than a
+id follow each other, by how their texts begin; an empty table gives no shards and no rows; a text longer than a
 batch just spans several; other columns are ignored.
 """
 
@@ -157,7 +157,11 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), F.col("id").asc_nulls_last()).sortWithinPartitions(F.col("id").asc_nulls_last(), "text")
+    # an id with many rows is split by how its texts begin, then by their hashes, then anyhow: those are equal rows
+    order = [F.col("id").asc_nulls_last(), F.substring("text", 1, 64), F.xxhash64("text"), F.monotonically_increasing_id()]
+    ranged = rows.select("*", *[c.alias(f"order_{i}") for i, c in enumerate(order[1:])])
+    order = [order[0], "order_0", "order_1", "order_2"]
+    ranged = ranged.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("id", "text")
     target = folder or new_path(spark, "token-files")
     manifest = staged(ranged.mapInArrow(_write(target, tokenizer or vocabulary_file(), length, end_id, CHUNK_BYTES), _MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, not for each document

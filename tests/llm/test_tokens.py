@@ -191,6 +191,22 @@ def test_op2_edges_and_random_access(spark):
     assert token_files.read_digests(token_files.write_token_files(df.limit(0))).count() == 0
 
 
+def test_rows_of_one_id_spread_over_shards(spark):
+    texts = [None] * 500 + ["same"] * 500 + [f"{i} words" for i in range(1000)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+    manifest = token_files.write_token_files(docs, length=8)
+    assert manifest.count() == 4 and max(r.n_docs for r in manifest.collect()) < 900
+    rows = token_files.read_digests(manifest).collect()
+    assert sorted((r.n_tokens, r.ids_crc32) for r in rows) == sorted((len(i) + 1, crc([*i, 0])) for i in map(reference, texts)) and {r.doc_id for r in rows} == {None}
+    assert sorted(r.start for r in rows) == [0, *np.cumsum([r.n_tokens for r in sorted(rows, key=lambda r: r.start)])[:-1]]
+
+
+def test_report_counts_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "c " * 5000)], "doc_id long, text string")
+    r = packing.report(pack_documents(docs)).first()
+    assert (r.documents, r.cut) == (3, 0)
+
+
 def test_index_in_batches(tmp_path, monkeypatch):
     import pyarrow as pa
 
