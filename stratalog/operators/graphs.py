@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,79 +31,173 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Edges that one task peels by itself; above that, layers are peeled in rounds of joins.
+#: Edges of a graph, or of a connected part of one, that one task takes by itself.
 SMALL = 100_000
+#: Layers of dead ends that are taken off a larger graph; leaving some in changes no result.
+LAYERS = 8
 
 
-def _peel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Edges that are left when dead ends are taken off until there are none, of a graph of at most SMALL edges."""
-    edges = pd.concat(list(batches) or [pd.DataFrame({"a": [], "b": []})])
-    for start, end in (("a", "b"), ("b", "a")):
-        lead = edges.groupby(end)[start].agg(list).to_dict()
-        left = edges.groupby(start).size().to_dict()
-        open_ = [n for n in lead if n not in left]  # nodes that lead nowhere
-        gone = set(open_)
-        while open_:
-            for n in lead.get(open_.pop(), []):
-                left[n] -= 1
-                if not left[n]:
-                    gone.add(n)
-                    open_.append(n)
-        edges = edges[~edges["a"].isin(gone) & ~edges["b"].isin(gone)]
-    yield edges
-
-
-def cyclic_core(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) left when edges that start or end in a dead end are taken off, again and again.
-
-    What is left holds all cycles and the paths between them; it is empty if there is no cycle.
+def _plain(edges: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) but for loops."""
+    return cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, part): the least node of each node's weakly connected part.
+
+    A round moves every node to its least neighbour, first from the larger ends of its edges, then from
+    the smaller; a path halves with each, so a ring of n nodes takes about log2(n) rounds.
     """
-    core = cut_lineage(edges.select("a", "b").filter("a <> b").distinct())
+    now, seen = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
+    while True:
+        check = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        if (check.n, check.x) == seen or not check.n:
+            break
+        seen = (check.n, check.x)
+        both = now.union(now.select("v", "u"))
+        large = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u <> v").distinct()
+        large = cut_lineage(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = cut_lineage(small.filter("u <> v").distinct())
+    return now.select(F.col("u").alias("node"), F.col("v").alias("part")).union(now.select(F.col("v").alias("node"), F.col("v").alias("part"))).groupBy("node").agg(F.min("part").alias("part"))
+
+
+def _circular(edges: pd.DataFrame) -> list:
+    """Nodes on cycles of a small graph: those of strongly connected components of several nodes, by Tarjan's walk with a stack of its own."""
+    nexts = edges.groupby("a")["b"].agg(list).to_dict()
+    index, low, open_, held, found = {}, {}, [], set(), []
+    for start in nexts:
+        if start in index:
+            continue
+        trail = [(start, iter(nexts[start]))]
+        index[start] = low[start] = len(index)
+        open_.append(start)
+        held.add(start)
+        while trail:
+            node, rest = trail[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    open_.append(nxt)
+                    held.add(nxt)
+                    trail.append((nxt, iter(nexts.get(nxt, ()))))
+                    break
+                if nxt in held:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == index[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(open_.pop())
+                    held.difference_update(own)
+                    if len(own) > 1:
+                        found += own
+    return found
+
+
+def _trimmed(core: DataFrame) -> DataFrame:
+    """Edges that are left when up to LAYERS layers of dead ends, in both directions, are taken off."""
     n = core.count()
-    while n > SMALL:
-        ends = core.select(F.col("b").alias("a")).distinct()
-        starts = core.select(F.col("a").alias("b")).distinct()
+    for _ in range(LAYERS):
+        ends, starts = core.select(F.col("b").alias("a")).distinct(), core.select(F.col("a").alias("b")).distinct()
         core = cut_lineage(core.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b"))
         left = core.count()
         if left == n:
-            return core
+            break
         n = left
-    return cut_lineage(core.coalesce(1).mapInPandas(_peel, core.schema)) if n else core
+    return core
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label) with each label lowered to the least that reaches the node along the edges, in rounds."""
-    now = cut_lineage(labels)
-    while True:
-        near = edges.join(now, edges["a"] == now["node"]).groupBy("b").agg(F.min("label").alias("least"))
-        moved = cut_lineage(now.join(near, now["node"] == near["b"], "left").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("fell")))
-        if not moved.filter("fell").take(1):
-            return now
-        now = moved.drop("fell")
+def _doubled(step: DataFrame, inner: DataFrame) -> DataFrame:
+    """(node, to) of nodes with one way on: ``to`` is where the way leaves them, or still one of them on a ring of nothing else."""
+    now = cut_lineage(step)
+    for _ in range(now.count().bit_length() + 1):
+        over = now.select(F.col("node").alias("to"), F.col("to").alias("_to"))
+        now = cut_lineage(now.join(over, "to", "left").select("node", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")))
+        if not now.filter("moved").take(1):
+            break
+        now = now.drop("moved")
+    return now.select("node", "to").join(inner.select(F.col("node").alias("to"), F.lit(True).alias("ring")), "to", "left")
 
 
-def on_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves over edges other than loops.
+def _large_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on cycles of a graph of any size.
 
-    Forward and backward colouring of the cyclic core: each node takes the least node that reaches
-    it; what in turn reaches that node within its colour lies on a cycle with it. Those nodes go,
-    the core is peeled again, and so on until nothing is left. Rows stay in proportion to the edges.
+    Runs of nodes with one way in and one way on are passed over by pointer doubling, so what is left to
+    rounds of one hop are the branching nodes; a run lies on a cycle if its two ends do together, and a ring of nothing else
+    is one. Then forward and backward colouring: each node takes the least node that reaches it; what in turn
+    reaches that node within its colour lies on a cycle with it. Those nodes go, and so on until nothing is left.
     """
-    core, found = cyclic_core(edges), None
+    out = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("to"))
+    into = edges.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("of"))
+    one = out.filter("n = 1").select(F.col("a").alias("node"), "to").join(into.filter("n = 1").select(F.col("b").alias("node"), "of"), "node")
+    one = cut_lineage(one)
+    ahead = cut_lineage(_doubled(one.select("node", "to"), one))
+    back = _doubled(one.select("node", F.col("of").alias("to")), one).select("node", F.col("to").alias("of"))
+    found = [ahead.filter("ring").select("node")]
+    passed = ahead.filter("ring is null").select("node", "to")
+    outer = edges.join(one.select(F.col("node").alias("a")), "a", "left_anti").join(passed.select(F.col("node").alias("b"), "to"), "b", "left").select("a", F.coalesce("to", "b").alias("b"))
+    outer = cut_lineage(outer.distinct())
+    loops = outer.filter("a = b").select(F.col("a").alias("node"))
+    core, coloured = _trimmed(outer.filter("a <> b")), [loops.select("node", F.col("node").alias("colour"))]
     while core.take(1):
         nodes = core.select(F.col("a").alias("node")).union(core.select(F.col("b").alias("node"))).distinct()
         colour = _spread(nodes.withColumn("label", F.col("node")), core)
         own = core.join(colour.select(F.col("node").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("cb")), "b")
-        back = cut_lineage(own.filter("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # backward from each colour's own node, within the colour: a label that stays above it is not reached
+        turned = cut_lineage(own.filter("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # backward from each colour's own node, within the colour: a label that stays null is not reached
         start = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
-        reached = _reach(start, back).filter("label is not null").select("node")
-        met = cut_lineage(reached.join(back.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
-        found = met if found is None else cut_lineage(found.union(met))
-        gone = cut_lineage(reached)
-        left = core.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti")
-        core = cyclic_core(left)
-    return edges.select(F.col("a").alias("node")).limit(0) if found is None else found.distinct()
+        reached = cut_lineage(_reach(start, turned).filter("label is not null").select("node", F.col("label").alias("colour")))
+        coloured.append(reached.join(turned.select(F.col("a").alias("node")).distinct(), "node", "left_semi"))
+        gone = reached.select(F.col("node").alias("a"))
+        core = _trimmed(cut_lineage(core.join(gone, "a", "left_anti").join(gone.select(F.col("a").alias("b")), "b", "left_anti")))
+    marks = cut_lineage(reduce(DataFrame.union, coloured).groupBy("node").agg(F.collect_set("colour").alias("colours")))  # its own, and that of its part
+    ends = passed.join(back, "node").join(marks.select(F.col("node").alias("to"), F.col("colours").alias("x")), "to").join(marks.select(F.col("node").alias("of"), F.col("colours").alias("y")), "of")
+    found += [marks.select("node"), ends.filter((F.col("to") == F.col("of")) | F.arrays_overlap("x", "y")).select("node")]
+    return reduce(DataFrame.union, found).distinct()
+
+
+def on_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves over edges other than loops.
+
+    A graph of up to SMALL edges is one task's work; of a larger one, so is each connected part of that
+    size. Only parts beyond it take rounds of joins (``_large_cycles``).
+    """
+    core = _plain(edges)
+    kind, n = T.StructType([T.StructField("node", core.schema["a"].dataType)]), core.count()
+    if n <= SMALL:
+        return core.coalesce(1).mapInPandas(_circular_of(kind), kind) if n else edges.select(F.col("a").alias("node")).limit(0)
+    core = _trimmed(core)
+    parted = cut_lineage(core.join(components(core), F.col("a") == F.col("node")).drop("node"))
+    size = parted.groupBy("part").agg(F.count("*").alias("n"))
+    small = parted.join(size.filter(F.col("n") <= SMALL), "part").groupBy("part").applyInPandas(lambda rows: pd.DataFrame({"node": _circular(rows)}).astype({"node": rows["a"].dtype}), kind)
+    large = cut_lineage(parted.join(size.filter(F.col("n") > SMALL), "part").select("a", "b"))
+    return small.union(_large_cycles(large)).distinct() if large.take(1) else small
+
+
+def _circular_of(kind: T.StructType):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            edges = pd.concat(held)
+            yield pd.DataFrame({"node": _circular(edges)}).astype({"node": edges["a"].dtype})
+
+    return run
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) with each label lowered to the least that reaches the node along the edges, in rounds."""
+    now = cut_lineage(labels)
+    while True:
+        near = edges.join(now, edges["a"] == now["node"]).groupBy("b").agg(F.min("label").alias("least"))
+        moved = cut_lineage(now.join(near, now["node"] == near["b"], "left").select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("fell")))
+        if not moved.filter("fell").take(1):
+            return now
+        now = moved.drop("fell")
 
 
 def _reach(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,29 +214,17 @@ def _reach(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def cycle_paths(edges: DataFrame, order: DataFrame) -> DataFrame:
     """(path) of each edge that closes a cycle in a depth-first walk, as ``a -> b -> a``.
 
-    ``edges`` (a, b, pos) and ``order`` (node, ord) fix the walk. Only the cyclic core is walked,
-    each weakly connected part by itself; dead ends never close a cycle, so leaving them out
-    changes no path.
+    ``edges`` (a, b, pos) and ``order`` (node, ord) fix the walk. Where it enters a cycle depends on what
+    leads there, so each weakly connected part that has a cycle is walked whole, in one task; a graph of up to
+    SMALL edges in one.
     """
-    core = cyclic_core(edges)
-    if not core.take(1):
-        return edges.sparkSession.createDataFrame([], "path string")
-    part = _parts(core)
-    rows = core.join(edges.groupBy("a", "b").agg(F.min("pos").alias("pos")), ["a", "b"]).join(part, F.col("a") == F.col("node")).drop("node")
-    rows = rows.join(order.select(F.col("node").alias("a"), "ord"), "a")
-    return rows.groupBy("part").applyInPandas(_walk, "path string")
-
-
-def _parts(core: DataFrame) -> DataFrame:
-    """(node, part): the least node of the weakly connected part, in rounds of minima."""
-    both = core.select("a", "b").union(core.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    part = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("part", F.col("node")))
-    while True:
-        near = both.join(part, both["b"] == part["node"]).groupBy("a").agg(F.min("part").alias("least"))
-        moved = cut_lineage(part.join(near, part["node"] == near["a"]).select("node", "part", F.least("part", "least").alias("next")))
-        if not moved.filter("next <> part").take(1):
-            return part
-        part = moved.select("node", F.col("next").alias("part"))
+    rows = cut_lineage(edges.filter("a <> b").groupBy("a", "b").agg(F.min("pos").alias("pos")).join(order.select(F.col("node").alias("a"), "ord"), "a"))
+    if rows.count() <= SMALL:
+        return rows.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_walk, "path string")
+    part = components(rows)
+    held = part.join(on_cycle(rows), "node", "left_semi").select("part").distinct()
+    kept = part.join(held, "part", "left_semi").select(F.col("node").alias("a"), "part")
+    return rows.join(kept, "a").groupBy("part").applyInPandas(_walk, "path string")
 
 
 def _walk(rows: pd.DataFrame) -> pd.DataFrame:

@@ -112,18 +112,62 @@ def test_cycles(spark):
     assert {r.node for r in graphs.on_cycle(e).collect()} == set("abcmn")
 
 
-@pytest.mark.parametrize("small", [100_000, 0])
+def closure(edges, nodes):
+    reach = {a: {y for x, y in edges if x == a and y != a} for a in nodes}
+    while True:
+        more = {a: near.union(*(reach[b] for b in near)) for a, near in reach.items()}
+        if more == reach:
+            return {a for a in reach if a in reach[a]}
+        reach = more
+
+
+@pytest.mark.parametrize("small", [100_000, 12, 0])
 def test_cycle_nodes_against_closure(spark, monkeypatch, small):
     monkeypatch.setattr(graphs, "SMALL", small)
     import random
 
     rng = random.Random(5)
-    for n, m in ((30, 35), (12, 30)):
-        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
-        reach = {a: {y for x, y in edges if x == a and y != a} for a in range(n)}
-        for _ in range(n):
-            reach = {a: near.union(*(reach[b] for b in near)) for a, near in reach.items()}
-        assert {r.node for r in graphs.on_cycle(spark.createDataFrame(edges, "a int, b int")).collect()} == {a for a in reach if a in reach[a]}
+    cases = [[(rng.randrange(n), rng.randrange(n)) for _ in range(m)] for n, m in ((30, 33), (12, 30))]
+    ring = lambda at, n: [(at + i, at + (i + 1) % n) for i in range(n)]
+    # rings of their own, long ways between branching nodes, a tail into a ring and out of it, two rings with a bridge
+    cases.append([*ring(100, 20), (0, 100), (110, 1), (1, 2), *ring(200, 5), *ring(300, 15), (204, 305), *ring(400, 9), (405, 450), (450, 451), (451, 452), (452, 402)])
+    for edges in cases if small != 12 else cases[2:]:
+        nodes = {x for e in edges for x in e}
+        assert {r.node for r in graphs.on_cycle(spark.createDataFrame(edges, "a int, b int")).collect()} == closure(edges, nodes)
+
+
+def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
+    """Above SMALL the rounds grow with the logarithm of a ring's length, below it there are none."""
+    ring = lambda n: spark.range(n).selectExpr("id as a", f"(id + 1) % {n} as b")
+    assert graphs.on_cycle(ring(10_000)).count() == 10_000
+    n, cut = [0], graphs.cut_lineage
+
+    def counted(df):
+        n[0] += 1
+        return cut(df)
+
+    monkeypatch.setattr(graphs, "cut_lineage", counted)
+    monkeypatch.setattr(graphs, "SMALL", 50)
+    rounds = []
+    for size in (60, 960):
+        n[0] = 0
+        assert graphs.on_cycle(ring(size)).count() == size
+        rounds.append(n[0])
+    assert rounds[1] - rounds[0] <= 4 * 6  # four more doublings in each of a few loops
+    n[0] = 0
+    assert sorted(r.part for r in graphs.components(ring(960)).select("part").distinct().collect()) == [0] and n[0] <= 26
+
+
+def test_a_walk_enters_where_what_leads_there_enters(spark):
+    e = spark.createDataFrame([("t", "c", 0), ("a", "b", 0), ("b", "c", 0), ("c", "a", 0), ("c", "z", 1)], "a string, b string, pos int")
+    order = spark.createDataFrame([(n, i) for i, n in enumerate("tabcz")], "node string, ord int")
+    for small in (100, 0):
+        before, graphs.SMALL = graphs.SMALL, small
+        try:
+            assert [r.path for r in graphs.cycle_paths(e, order).collect()] == ["c -> a -> b -> c"]
+            assert graphs.cycle_paths(e.filter("a <> 'c'"), order).count() == 0
+        finally:
+            graphs.SMALL = before
 
 
 def test_chains(spark):
