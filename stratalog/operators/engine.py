@@ -124,8 +124,8 @@ def named(names: Iterable[str] = ()) -> list[Check]:
     return [c for c in CHECKS.values() if not wanted or c.name in wanted]
 
 
-def run(facts: Facts, chosen: Iterable[Check] | None = None, stage: int | None = None) -> Results:
-    """Findings and records of the chosen checks (the standard ones, and rules where there are any) up to a stage."""
+def run(facts: Facts, chosen: Iterable[Check] | None = None, stage: int | None = None, with_records: bool = True) -> Results:
+    """Findings and records of the chosen checks (the standard ones, and rules where there are any) up to a stage; without ``with_records``, findings alone."""
     chosen = list(chosen) if chosen is not None else named() + (rule_checks() if facts.rules is not None else [])
     upto = facts.stage if stage is None else stage
     found, records = [facts.spark.createDataFrame([], schema.FINDINGS)], [facts.spark.createDataFrame([], schema.RECORDS)]
@@ -134,7 +134,7 @@ def run(facts: Facts, chosen: Iterable[Check] | None = None, stage: int | None =
             continue
         try:
             own, more = c.run(facts)
-            held = [graphs.cut_lineage(own), graphs.cut_lineage(more) if more is not None else None]
+            held = [graphs.cut_lineage(own), graphs.cut_lineage(more) if with_records and more is not None else None]
         except Exception as e:  # whatever it is, it becomes a finding
             error = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
             found.append(facts.spark.createDataFrame([("analysis_failed", "WARN", c.name, f"{c.name} broke off: {error}", [])], schema.FINDINGS))

@@ -644,11 +644,19 @@ def first_wins(table, spark):
 # the entry points
 
 
+def _mod(key: Column) -> Column:
+    return F.concat(F.lit("mod_"), F.lpad(key.cast("string"), 8, "0"))
+
+
 def _catalogue(table) -> export.Catalogue:
-    """Suppliers as mods that need, want and reject others by their lines; parts, customers and orders as records."""
+    """Suppliers as mods that need, want and reject others by all their lines; of each one line is the one that it requires. Parts,
+    customers and orders as records, suppliers' balances as containers, nations' and suppliers' keys as what mixins patch."""
     own = table("supplier").agg(F.max("s_suppkey").alias("n"))  # one row
-    mod = lambda c: F.concat(F.lit("mod_"), F.lpad(c.cast("string"), 8, "0"))
-    line = table("lineitem").join(F.broadcast(own)).select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % (F.col("n") + 2) + 1).alias("d"), F.when(F.col("l_linenumber") == 7, "INCOMPATIBLE").when(F.col("l_linenumber") % 2 == 0, "OPTIONAL").otherwise("REQUIRED").alias("kind")).distinct().filter("s > d or kind = 'INCOMPATIBLE'")
+    mod = _mod
+    line = table("lineitem").join(F.broadcast(own)).select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % (F.col("n") + 2) + 1).alias("d"), F.when(F.col("l_linenumber") == 7, "INCOMPATIBLE").when(F.col("l_linenumber") % 2 == 0, "OPTIONAL").otherwise("EMBEDDED").alias("kind")).distinct()
+    lot = F.struct((F.col("d") * 7919 + F.col("s") * 31) % 1009, "d")
+    needed = line.groupBy("s").agg(F.min_by("d", lot).alias("d")).withColumn("kind", F.lit("REQUIRED"))
+    line = line.unionByName(needed)
     deps = line.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(mod(F.col("d")).alias("id"), F.when(F.col("kind") == "OPTIONAL", "[1.3,1.7)").alias("range"), "kind"))).alias("dependencies"))
     key, nation = F.col("s_suppkey"), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"))
     none = lambda t="string": F.lit(None).cast(t)
@@ -656,27 +664,61 @@ def _catalogue(table) -> export.Catalogue:
     items = _parts(table).select(F.concat("id", F.lit("_"), "p_partkey").alias("registry_name"), "namespace", "tags")
     entities = table("customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("registry_name"), F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string")).alias("namespace"))
     sounds = table("orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("key"), F.lower("o_orderpriority").alias("namespace"), F.array("o_orderstatus").alias("values"))
-    return export.Catalogue(mods, {"item": items, "entity": entities, "sound": sounds}, loader="quilt", game_version="1.21")
+    text = lambda x: F.lit(x).cast("string")
+    torn, empty = key % 17 == 0, F.create_map().cast("map<string,string>")
+    containers = table("supplier").filter("s_suppkey % 11 <> 0").select(mod(key).alias("mod_id"), F.concat(mod(key), F.lit(".jar")).alias("file_name"), F.lit(False).alias("is_dir"), F.when(key % 13 == 0, F.lit(64 << 20) + key).otherwise(key * 1000).cast("long").alias("bytes"), F.when(~torn, F.lit(3)).alias("entries"), F.when(key % 12 == 0, F.array(F.lit("a.mixins.json"))).otherwise(F.array().cast("array<string>")).alias("mixin_paths"), F.when(key % 6 == 0, F.create_map(F.lit("MixinConfigs"), F.lit("a.mixins.json"))).otherwise(empty).alias("manifest"), F.when(torn, "torn").alias("read_error"))
+    patched = F.struct(F.concat(F.lit("m.C"), (key % 10).cast("string")).alias("cls"), text("common").alias("env"), F.when(key % 3 == 0, F.concat(F.lit("net.T"), (key % 7).cast("string"))).alias("explicit_target"))
+    mixins = table("supplier").select(F.concat(mod(key), F.lit(".mixins.json")).alias("source"), mod(key).alias("mod_id"), text("m").alias("package"), F.lit(True).alias("required"), none().alias("level"), none().alias("refmap"), F.array(patched).alias("entries"))
+    return export.Catalogue(mods, {"item": items, "entity": entities, "sound": sounds}, containers, mixins, loader="quilt", game_version="1.21")
+
+
+def _declared(table) -> DataFrame:
+    """Rules of five kinds, one a nation in turn, on mods and targets by the nations' keys."""
+    n, none = F.col("n_nationkey"), F.lit(None).cast("string")
+    kinds = ("REQUIRE_MOD", "forbid-mod", "MUTUALLY_EXCLUSIVE", "require_together", "FORBID_MIXIN_TARGET")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (n % 5 + 1).cast("int"))
+    return table("nation").select(F.lit("s").alias("strategy"), F.col("n_name").alias("datapack"), kind.alias("kind"), F.when(n % 2 == 0, "ERROR").alias("severity"), _mod(n * 7 + 1).alias("mod"), F.array(_mod(n + 1), _mod(n * 11 + 1)).alias("mods"), F.concat(F.lit("net.T"), n.cast("string")).alias("target"), none.alias("namespace"), F.lit(None).cast("long").alias("value"), none.alias("message"))
 
 
 @query("""
-WITH n AS (SELECT max(s_suppkey) AS n FROM supplier),
-l AS (SELECT DISTINCT l_suppkey AS s, l_partkey % (n + 2) + 1 AS d, CASE WHEN l_linenumber = 7 THEN 'INCOMPATIBLE' WHEN l_linenumber % 2 = 0 THEN 'OPTIONAL' ELSE 'REQUIRED' END AS kind FROM lineitem, n),
-e AS (SELECT *, 'mod_' || lpad(CAST(s AS VARCHAR), 8, '0') AS src, 'mod_' || lpad(CAST(d AS VARCHAR), 8, '0') AS dst, d IN (SELECT s_suppkey FROM supplier) AS here FROM l WHERE (s > d OR kind = 'INCOMPATIBLE') AND s IN (SELECT s_suppkey FROM supplier))
+WITH RECURSIVE n AS (SELECT max(s_suppkey) AS n FROM supplier),
+m AS (SELECT s_suppkey AS k, 'mod_' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS id FROM supplier),
+l0 AS (SELECT DISTINCT l_suppkey AS s, l_partkey % (n + 2) + 1 AS d, CASE WHEN l_linenumber = 7 THEN 'INCOMPATIBLE' WHEN l_linenumber % 2 = 0 THEN 'OPTIONAL' ELSE 'EMBEDDED' END AS kind FROM lineitem, n),
+l AS (SELECT * FROM l0 UNION ALL SELECT s, arg_min(d, ((d * 7919 + s * 31) % 1009, d)), 'REQUIRED' FROM l0 GROUP BY s),
+e AS (SELECT *, 'mod_' || lpad(CAST(s AS VARCHAR), 8, '0') AS src, 'mod_' || lpad(CAST(d AS VARCHAR), 8, '0') AS dst, d IN (SELECT s_suppkey FROM supplier) AS here FROM l WHERE s IN (SELECT s_suppkey FROM supplier)),
+q AS (SELECT s AS a, d AS b FROM e WHERE kind = 'REQUIRED' AND here AND s <> d),
+r AS (SELECT a, b, [a] AS path FROM q UNION ALL SELECT r.a, q.b, list_append(r.path, q.a) FROM r JOIN q ON r.b = q.a WHERE NOT list_contains(r.path, r.b)),
+c AS (SELECT r.b AS entered, r.a, min(r.a) OVER (PARTITION BY list_sort(list_slice(r.path, list_position(r.path, r.b), len(r.path)))) AS first FROM r WHERE list_contains(r.path, r.b)),
+x AS (SELECT k, id, 'net.T' || (k % 7) AS target FROM m WHERE k % 3 = 0),
+u AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'ERROR' ELSE 'WARN' END AS severity, n_nationkey * 7 + 1 AS one, [n_nationkey + 1, n_nationkey * 11 + 1] AS pair FROM nation),
+h AS (SELECT n, any_value(severity) AS severity, string_agg(id, ',' ORDER BY place) AS here, count(*) AS present FROM (SELECT n, severity, unnest(pair) AS k, generate_subscripts(pair, 1) AS place FROM u) JOIN m USING (k) GROUP BY n)
 SELECT kind, severity, subject, count(*) AS n FROM (
   SELECT 'missing_dependency' AS kind, 'ERROR' AS severity, src AS subject FROM e WHERE kind = 'REQUIRED' AND NOT here
   UNION ALL SELECT 'declared_incompatibility', 'ERROR', src FROM e WHERE kind = 'INCOMPATIBLE' AND here
   UNION ALL SELECT 'contradictory_declaration', 'ERROR', a.src FROM e a JOIN e b ON a.kind = 'INCOMPATIBLE' AND b.kind = 'REQUIRED' AND b.s = a.d AND b.d = a.s
   UNION ALL SELECT 'version_out_of_range', 'WARN', dst FROM e WHERE kind = 'OPTIONAL' AND here AND d % 10 NOT BETWEEN 3 AND 6
-  UNION ALL SELECT 'built_for_another_loader', 'WARN', 'mod_' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') FROM supplier WHERE s_suppkey % 5 = 0
-  UNION ALL SELECT DISTINCT 'built_for_another_game_version', 'INFO', '1.20' FROM supplier WHERE s_suppkey % 7 = 0
-  UNION ALL SELECT 'namespace_conflict', 'ERROR', 'nation_' || s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) > 1)
+  UNION ALL SELECT 'requiring_cycle', 'WARN', 'mod_' || lpad(CAST(entered AS VARCHAR), 8, '0') FROM c WHERE a = first
+  UNION ALL SELECT 'built_for_another_loader', 'WARN', id FROM m WHERE k % 5 = 0
+  UNION ALL SELECT DISTINCT 'built_for_another_game_version', 'INFO', '1.20' FROM m WHERE k % 7 = 0
+  UNION ALL SELECT 'namespace_conflict', 'ERROR', 'nation_' || s_nationkey FROM supplier GROUP BY s_nationkey HAVING count(*) > 1
+  UNION ALL SELECT 'unreadable_container', 'WARN', id FROM m WHERE k % 11 <> 0 AND k % 17 = 0
+  UNION ALL SELECT 'large_container', 'INFO', id FROM m WHERE k % 11 <> 0 AND k % 17 <> 0 AND k % 13 = 0
+  UNION ALL SELECT 'dangling_mixin_declaration', 'WARN', id FROM m WHERE k % 11 <> 0 AND k % 17 <> 0 AND k % 6 = 0 AND k % 12 <> 0
+  UNION ALL SELECT 'no_container', 'INFO', id FROM m WHERE k % 11 = 0
+  UNION ALL SELECT 'shared_mixin_target', 'WARN', target FROM x GROUP BY target HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT 'mixin_targets_uncorrelated', 'INFO', '_global' FROM m WHERE k % 3 <> 0
+  UNION ALL SELECT 'rule:require_mod', severity, 'mod_' || lpad(CAST(one AS VARCHAR), 8, '0') FROM u WHERE n % 5 = 0 AND one NOT IN (SELECT k FROM m)
+  UNION ALL SELECT 'rule:forbid_mod', severity, 'mod_' || lpad(CAST(one AS VARCHAR), 8, '0') FROM u WHERE n % 5 = 1 AND one IN (SELECT k FROM m)
+  UNION ALL SELECT 'rule:mutually_exclusive', severity, here FROM h WHERE n % 5 = 2 AND present > 1
+  UNION ALL SELECT 'rule:require_together', severity, here FROM h WHERE n % 5 = 3 AND present < 2
+  UNION ALL SELECT 'rule:forbid_mixin_target', severity, (SELECT string_agg(id, ',' ORDER BY id) FROM x WHERE target = 'net.T' || n) FROM u WHERE n % 5 = 4 AND 'net.T' || n IN (SELECT target FROM x))
 GROUP BY 1, 2, 3
 """)
 def diagnose(table, spark):
-    """All checks that need no collection, over suppliers as mods."""
+    """All checks that need no collection, and declared rules, over suppliers as mods with all their lines."""
     catalogue = _catalogue(table)
-    return export.diagnose(replace(catalogue, mods=graphs.cut_lineage(catalogue.mods))).groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
+    held = replace(catalogue, mods=graphs.cut_lineage(catalogue.mods))
+    return export.diagnose(held, rules=_declared(table)).groupBy("kind", "severity", "subject").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -98,7 +98,7 @@ def _facts(catalogue: Catalogue, rules: DataFrame | None, counts: DataFrame | No
 def diagnose(catalogue: Catalogue, names: Iterable[str] = (), rules: DataFrame | None = None) -> DataFrame:
     """Findings of the named checks (all if none is named) on what is known without collecting, in their order."""
     chosen = engine.named(names) + (engine.rule_checks() if rules is not None and not list(names) else [])
-    return checks.ordered(engine.run(_facts(catalogue, rules), chosen, engine.PRE).findings)
+    return checks.ordered(engine.run(_facts(catalogue, rules), chosen, engine.PRE, with_records=False).findings)
 
 
 def counted(routed: dict[str, DataFrame], spark: SparkSession) -> tuple[DataFrame, DataFrame]:
