@@ -5,17 +5,19 @@ The words of each source, its documents one after the other, are packed into blo
 source. A source takes as many slots as its target fills: whole passes over its blocks, then a
 part of one, of which the last slot may be cut, so that it meets its target to the word.
 
-Each slot is thrown into one of the output shards, which draws for each shard multinomial source
-counts given the totals. A shard's slots of a source then are a run of that source's slot
+Each shard's source counts are multinomial given the sources' totals, as if every slot were thrown by
+itself: the shards are the leaves of a binary tree, and at each node a source's slots go left by a fair
+coin each, of which 64 are the bits of one hash. The work is a hash for 64 slots and a row for each
+node; nothing is shuffled but the coins of nodes with over ``COINS`` slots. A shard's slots of a source then are a run of that source's slot
 numbers; a pseudorandom permutation of the source's block numbers, another for each pass, maps
 them to blocks, and slots and documents meet by (source, block). The permutation is a Feistel
 network on a grid that barely exceeds the number of blocks; a number that leaves the range walks
 on along its cycle, so it is one to one.
 
 Scale: documents are numbered within (source, hash bucket), never within a whole source; the
-number of buckets follows the number of rows, so nothing hangs on a setting of the cluster. Slots
-are made from runs of at most ``shard_slots``, so a source with a third of all rows is spread over
-all tasks. Windows without such buckets run over sources, over buckets of a source (a row for
+number of buckets follows the number of rows, so nothing hangs on a setting of the cluster. The
+slots of a source are made shard by shard, so a source with a third of all rows is spread over all
+tasks. Windows without such buckets run over sources, over buckets of a source (a row for
 ``BUCKET_ROWS`` documents) or over groups of a source's shards (a row for ``SHARD_GROUP`` shards).
 
 Edge cases: a null text has size 0; a null source is a source of its own, after all others; a
@@ -36,6 +38,8 @@ from .staging import fresh, partitions, staged, with_key, with_length
 WORD = r"[^\x20\x09-\x0D]+"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 BUCKET_ROWS, LEAST_BUCKETS, SHARD_GROUP = 50_000, 256, 1024
+#: Slots whose coins one row throws.
+COINS = 1 << 20
 
 
 class Mix(NamedTuple):
@@ -100,6 +104,34 @@ def upto(rows: DataFrame, by: str, order: str, value: str, group: int) -> DataFr
     return rows.withColumn("first", F.col("_base") + F.col("_within")).drop("_group", "_within", "_base")
 
 
+def _heads(seed: int, level: int, first: str, count: str) -> Column:
+    """Heads of ``count`` fair coins, from number ``first`` on, a multiple of 64; each word of 64 coins is a hash, the last one's spare bits are cut off."""
+    word = f"bit_count(shiftrightunsigned(xxhash64({seed}L, {level}, rank, shard, {first} div 64 + w), cast(64 - least(64L, {count} - 64 * w) as int)))"
+    return F.when(F.expr(count) > 0, F.expr(f"aggregate(sequence(0L, ({count} - 1) div 64), 0L, (s, w) -> s + {word})")).otherwise(F.lit(0).cast("long"))
+
+
+def drawn_counts(totals: DataFrame, levels: int, seed: int, most: int) -> DataFrame:
+    """(rank, shard, count) of totals (rank, count): each rank's slots thrown evenly into 2**levels shards; ``most`` is the largest total.
+
+    Above COINS slots a node's coins are thrown by several rows, and a level is a table of its own; the
+    levels below are one plan without a shuffle.
+    """
+    spark = totals.sparkSession
+    now = totals.select("rank", F.lit(0).cast("long").alias("shard"), F.col("count").cast("long").alias("count"))
+    for level in range(levels):
+        if most >> level > COINS // 2:  # a node may have some more than its even share
+            runs = now.select("rank", "shard", "count", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / COINS))).alias("run"))
+            runs = runs.repartition(partitions(spark), "rank", "shard", "run").withColumn("own", F.least(F.lit(COINS).cast("long"), F.col("count") - F.col("run") * COINS)).withColumn("from", F.col("run") * COINS)
+            left = runs.withColumn("heads", _heads(seed, level, "from", "own")).groupBy("rank", "shard", "count").agg(F.sum("heads").alias("heads"))
+        else:
+            left = now.withColumn("heads", _heads(seed, level, "0L", "count"))
+        both = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("heads").alias("count")), F.struct((F.col("shard") * 2 + 1).alias("shard"), (F.col("count") - F.col("heads")).alias("count")))
+        now = left.select("rank", F.explode(both).alias("n")).select("rank", "n.shard", "n.count").filter("count > 0")
+        if most >> level > COINS // 2:
+            now = staged(now, "level")
+    return now
+
+
 def plan(docs: DataFrame, key_col: str, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, block_words: int, shard_slots: int, seed: int) -> Mix:
     """Lay out blocks and slots; ``docs`` has ``key_col`` of ``with_key``."""
     width = partitions(docs.sparkSession)
@@ -130,14 +162,11 @@ def plan(docs: DataFrame, key_col: str, id_col: str, text_col: str, source_col:
     filled = filled.withColumn("full", F.floor(F.col("source_size") / length)).withColumn("n", F.ceil(F.col("source_size") / length))
     filled = filled.withColumn("part", F.col("goal") % F.col("source_size"))
     filled = filled.withColumn("n_slots", F.floor(F.col("goal") / F.col("source_size")) * F.col("n") + F.ceil(F.col("part") / length)).filter("n_slots > 0")
-    filled = filled.withColumn("shards", F.ceil(F.sum("n_slots").over(Window.partitionBy()) / F.lit(shard_slots)))
-
-    lot = F.pmod(F.xxhash64(F.lit(seed), "rank", "k"), F.col("shards"))
-    thrown = filled.select("rank", "n_slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / F.lit(shard_slots)))).alias("run"))
-    thrown = thrown.repartition(width, "rank", "run")
-    last = F.least((F.col("run") + 1) * shard_slots, F.col("n_slots")) - 1
-    thrown = thrown.select("rank", "shards", F.explode(F.sequence(F.col("run") * shard_slots, last)).alias("k"))
-    drawn = thrown.groupBy("rank", lot.alias("shard")).agg(F.count("*").alias("count"))
+    filled = staged(filled, "filled")  # a row for each source
+
+    every = filled.agg(F.sum("n_slots").alias("n"), F.max("n_slots").alias("most")).first()
+    levels = max(0, (-(-(every.n or 0) // shard_slots) - 1).bit_length())
+    drawn = drawn_counts(filled.select("rank", F.col("n_slots").alias("count")), levels, seed, int(every.most or 0))
     drawn = upto(staged(drawn, "drawn"), "rank", "shard", "count", SHARD_GROUP)
     slots = drawn.join(filled.select("rank", "source_size", "full", "n", "n_slots", "part"), "rank").repartition(width, "rank", "shard")
     slots = slots.withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))

@@ -4,7 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.llm.mixing import mix_documents, op3_mixing, permuted, placements, taken, targets
+from stratalog.llm import mixing
+from stratalog.llm.mixing import drawn_counts, mix_documents, op3_mixing, permuted, placements, taken, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,6 +44,24 @@ def test_permutation(spark, n):
     assert n < 100 or [r.p for r in rows] != [r.q for r in rows]
 
 
+def test_draws_are_multinomial(spark, monkeypatch):
+    """Counts add up, do not hang on how coins are dealt to rows, and spread as independent throws do."""
+    totals = spark.createDataFrame([(1, 40_000), (2, 1), (3, 0), (4, 63), (5, 64 * 9 + 5)], "rank int, count long").filter("count > 0")
+    seen = []
+    for coins in (1 << 20, 128):
+        monkeypatch.setattr(mixing, "COINS", coins)
+        seen.append(sorted((r.rank, r.shard, r["count"]) for r in drawn_counts(totals, 6, 7, 40_000).collect()))
+    assert seen[0] == seen[1] and all(0 <= s < 64 and n > 0 for _, s, n in seen[0])
+    sums = collections.Counter()
+    for rank, _, n in seen[0]:
+        sums[rank] += n
+    assert sums == {1: 40_000, 2: 1, 4: 63, 5: 64 * 9 + 5}
+    own = [n for rank, _, n in seen[0] if rank == 1]
+    chi = sum((n - 625) ** 2 / 625 for n in own)
+    assert len(own) == 64 and 30 < chi < 110  # 63 degrees of freedom
+    assert [tuple(r) for r in drawn_counts(totals.filter("rank = 4"), 0, 7, 63).select("rank", "shard", "count").collect()] == [(4, 0, 63)]
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     docs = {r.doc_id: (r.source, len(WORD.findall(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
