@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog import schema
 from stratalog.functions import versions
 from stratalog.functions.names import display_width, utf16
 from stratalog.operators import checks, delta, encodings, graphs, merge, predicates, routing, rules
@@ -737,6 +739,22 @@ def export_counts(table, spark):
     return report.artifacts.select("format", "kind", "target", "namespace", "records")
 
 
+@query("""
+WITH p AS (SELECT p_brand || '=' || p_size AS ns, p_size % 10 AS own FROM part)
+SELECT DISTINCT 'items/' || ns || '/' || ns || '-items.ndjson' AS path, CASE own WHEN 2 THEN 'NEW' WHEN 3 THEN 'REMOVED' WHEN 4 THEN 'CHANGED' ELSE 'UNCHANGED' END AS verdict FROM p
+""")
+def export_delta(table, spark):
+    """A second export over a first: of ten sizes of parts one is new, one gone, one changed; the rest is not written again."""
+    own = F.col("p_size") % 10
+    mods = table("supplier").limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.MODS])
+    items = table("part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("registry_name"), F.concat_ws("=", "p_brand", F.col("p_size").cast("string")).alias("namespace"), F.col("p_partkey").cast("int").alias("max_stack"), own.alias("own"))
+    folder = f"{graphs.shared_dir(spark)}/stratalog/export-{uuid.uuid4().hex}/data"
+    run = lambda rows: export.export(export.Catalogue(mods, {"item": rows.drop("own")}), folder, Settings(formats=("ndjson",), kinds=("item",), analyze=False, delta=True))
+    run(items.filter("own <> 2"))
+    after = run(items.filter("own <> 3").withColumn("max_stack", F.when(F.col("own") == 4, -1).otherwise(F.col("max_stack"))))
+    return after.artifacts.select("path", "verdict").unionByName(after.removed.withColumn("verdict", F.lit(delta.REMOVED)))
+
+
 @query("""
 SELECT 'sound' AS kind, 'o:' || o_orderkey AS key, lower(o_orderpriority) AS namespace, NULL AS name_en FROM orders WHERE false
 UNION ALL SELECT 'biome', 'b:' || p_partkey, 'b', CASE WHEN p_size > 20 THEN p_type END FROM part
