@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from stratalog.plans import catalogue
+from stratalog.plans import catalogue, facts  # noqa: F401  facts registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
