@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from stratalog.functions import names
-from stratalog.operators import checks, delta
+from stratalog.operators import checks, delta, routing
 from stratalog.sources import documents, scans
 
+from . import export, sinks
 from .catalogue import _catalogue, query
+from .config import Settings
 from .sinks import quoted
 
 
@@ -193,3 +197,113 @@ def function_calls(table, spark):
     size = F.col("p_size")
     lines = F.concat(F.lit("function m:f"), size.cast("string"), F.lit('\nsay "function m:no"\n$execute run function $(x):y\nexecute as @a run function #m:t\n'), F.when(size % 2 == 1, "schedule function m:late 1t\n").otherwise("# function m:remark\n"))
     return table("part").select("p_partkey", documents.function(lines).alias("f")).select("p_partkey", "f.commands", F.array_join("f.functions", ",").alias("functions"), F.array_join("f.tags", ",").alias("tags"), F.array_join("f.dynamic", ",").alias("dynamic"))
+
+
+def _items(table):
+    """Parts as items: names, sizes and tags."""
+    space = F.lower(F.translate("p_brand", "#", "_"))
+    return table("part").select(F.concat(space, F.lit(":"), F.col("p_partkey").cast("string")).alias("registry_name"), space.alias("namespace"), F.col("p_size").cast("int").alias("max_stack"), F.split("p_name", " ").alias("tags"))
+
+
+ITEMS = """p AS (SELECT lower(replace(p_brand, '#', '_')) AS ns, lower(replace(p_brand, '#', '_')) || ':' || p_partkey AS id, CAST(p_size AS INT) AS n, string_split(p_name, ' ') AS tags FROM part)"""
+
+
+@query(f"""
+WITH {ITEMS}, t AS (SELECT *, '"' || array_to_string(tags, '","') || '"' AS listed, '"' || array_to_string(tags, '", "') || '"' AS spaced FROM p)
+SELECT id, 'ndjson' AS format, '{{"registryName":"' || id || '","namespace":"' || ns || '","maxStackSize":' || n || ',"tags":[' || listed || ']}}' AS record FROM t
+UNION ALL SELECT id, 'json', '{{"registryName":"' || id || '","namespace":"' || ns || '","maxStackSize":' || n || ',"tags":[' || listed || ']}}' FROM t
+UNION ALL SELECT id, 'yaml', '  - registryName: "' || id || '"' || chr(10) || '    namespace: "' || ns || '"' || chr(10) || '    maxStackSize: ' || n || chr(10) || '    tags:' || chr(10) || '      - "' || array_to_string(tags, '"' || chr(10) || '      - "') || '"' FROM t
+UNION ALL SELECT id, 'toml', '[[items]]' || chr(10) || 'registryName = "' || id || '"' || chr(10) || 'namespace = "' || ns || '"' || chr(10) || 'maxStackSize = ' || n || chr(10) || 'tags = [' || spaced || ']' || chr(10) FROM t
+UNION ALL SELECT id, 'xml', '  <item>' || chr(10) || '    <registryName>' || id || '</registryName>' || chr(10) || '    <namespace>' || ns || '</namespace>' || chr(10) || '    <maxStackSize>' || n || '</maxStackSize>' || chr(10) || '    <tags><v>' || array_to_string(tags, '</v><v>') || '</v></tags>' || chr(10) || '  </item>' FROM t
+UNION ALL SELECT id, 'td', '  {{registryName = "' || id || '", namespace = "' || ns || '", maxStackSize = ' || n || ', tags = [' || spaced || ']}}' FROM t
+UNION ALL SELECT id, 'wiki', '{{"registerName":"' || id || '","type":"Item","maxStackSize":"' || n || '","maxDurability":"0","TagList":[' || listed || ']}}' FROM t
+UNION ALL SELECT id, 'wiki_v1', '{{"registerName":"' || id || '","CreativeTabName":"","type":"Item","OredictList":"[' || array_to_string(tags, ', ') || ']","maxStacksSize":' || n || ',"maxDurability":0}}' FROM t
+""")
+def rendered_records(table, spark):
+    """Each item in each format."""
+    rows = _items(table)
+    shown = sinks.projected(rows.withColumn("id", F.col("registry_name")), "item", ("id",))
+    parts = []
+    for form, f in sinks.FORMATS.items():
+        own = rows.withColumn("id", F.col("registry_name")) if form.startswith("wiki") else shown
+        fields = rows if form.startswith("wiki") else shown.drop("id")
+        parts.append(own.select("id", F.lit(form).alias("format"), f.record(fields, "item").alias("record")))
+    return checks.union(*parts)
+
+
+@query(f"""
+WITH {ITEMS} SELECT ns AS namespace, f AS format, count(*) AS records, CASE f WHEN 'json' THEN '{{"items":[' WHEN 'yaml' THEN 'items:' WHEN 'td' THEN 'items = [' WHEN 'xml' THEN '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<catalogue kind="items">' END AS opens,
+  CASE f WHEN 'json' THEN ']}}' WHEN 'td' THEN ']' WHEN 'xml' THEN '</catalogue>' END AS closes, CASE WHEN f = 'json' THEN count(*) - 1 ELSE 0 END AS commas, min(id) AS first FROM p, (VALUES ('json'), ('ndjson'), ('yaml'), ('toml'), ('xml'), ('td')) v(f) GROUP BY ns, f
+""")
+def rendered_shards(table, spark):
+    """What opens and closes each shard in each format, its records and what stands between them."""
+    parts = []
+    for form in ("json", "ndjson", "yaml", "toml", "xml", "td"):
+        lines = sinks.rendered(_items(table), "item", form)
+        at = F.col("place")
+        one = lambda n: F.max(F.when(at == n, F.col("line")))
+        inner = at.isin(1, 2)
+        parts.append(lines.groupBy("namespace").agg(F.lit(form).alias("format"), F.count_if(inner).alias("records"), one(0).alias("opens"), one(3).alias("closes"), F.count_if(inner & F.col("line").startswith(",")).alias("commas"), F.min(F.when(inner, F.col("_order"))).alias("first")))
+    return checks.union(*parts)
+
+
+@query("""
+SELECT s_suppkey AS k, 'm' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'a@>=1:REQUIRED,b@*:REQUIRED,c:INCOMPATIBLE' ELSE 'a@^2:REQUIRED' END AS deps, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'p,q' END AS providers FROM supplier WHERE s_suppkey % 5 <> 0
+""")
+def mod_descriptors(table, spark):
+    """Suppliers' descriptors of two loaders; one in five has no id or is torn."""
+    k, key = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in x])
+    flat = text('{"id":"m', key, '","name":"', F.col("s_name"), '","depends":{"a":">=1","b":"*"},"breaks":["c"]}')
+    nested = text('{"quilt_loader":{"id":"m', key, '","metadata":{"name":"', F.col("s_name"), '"},"depends":[{"id":"a","versions":"^2"},{"x":1}],"provides":["p",{"id":"q"}]}}')
+    content = F.when(k % 10 == 0, '{"name":"x"}').when(k % 5 == 0, '{"id":').when(k % 2 == 0, flat).otherwise(nested)
+    rows = documents.descriptors(table("supplier").select(key.alias("path"), content.alias("content")))
+    deps = F.array_join(F.transform("dependencies", lambda d: F.concat(F.concat_ws("@", d["id"], d["range"]), F.lit(":"), d["kind"])), ",")
+    return rows.select(F.col("path").cast("long").alias("k"), "id", "name", deps.alias("deps"), F.array_join("providers", ",").alias("providers"))
+
+
+@query("""
+WITH f AS (SELECT p_brand AS b, p_size AS s FROM part)
+SELECT CASE WHEN s % 3 = 0 THEN 'pack' || (s % 10) ELSE 'zip' || (s % 10) || '.ZIP' END AS name, s % 3 = 0 AS is_dir, CAST(sum(s) AS BIGINT) AS bytes FROM f WHERE s % 3 <> 2 GROUP BY 1, 2
+""")
+def discovered_packs(table, spark):
+    """Packs right under a folder: directories by what lies in them, archives by their ending."""
+    s = F.col("p_size")
+    n = (s % 10).cast("string")
+    path = F.when(s % 3 == 0, F.concat(F.lit("/packs/pack"), n, F.lit("/data/"), "p_brand")).when(s % 3 == 1, F.concat(F.lit("/packs/zip"), n, F.lit(".ZIP"))).otherwise(F.concat(F.lit("/packs/loose"), n, F.lit(".txt")))
+    return scans.discovered(table("part").select(path.alias("path"), s.cast("long").alias("length")), "/packs")
+
+
+@query("""
+SELECT kind, id FROM (SELECT 'mod' AS kind, 's' || s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (2, 3) UNION ALL SELECT 'item', 's' || s_suppkey FROM supplier)
+""")
+def mod_exclusion(table, spark):
+    """Excluded mods lose their own records; items of the same id stay."""
+    own = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    rows = table("supplier").select(F.explode(F.array(F.lit("mod"), F.lit("item"))).alias("kind"), own.alias("id"), F.lit("ns").alias("namespace"), F.array().cast("array<string>").alias("tags"))
+    filters = routing.Filters(excluded_mods=("s2", "s3"))
+    return routing.written(routing.route(rows, filters), filters).select("kind", "id")
+
+
+@query("""
+SELECT 'sounds/' || ns || '/' || ns || '-sounds.ndjson' AS path, count(*) AS records FROM (SELECT replace(lower(o_orderpriority), '/', '_') AS ns, o_orderstatus FROM orders) WHERE o_orderstatus <> 'F' GROUP BY ns
+""")
+def values_as_tags(table, spark):
+    """Generic records are filtered by their values, which stand for tags; the files that they would go to."""
+    settings = Settings(formats=("ndjson",), kinds=("sound",), analyze=False, excluded_tags=("F",))
+    held = _catalogue(table)
+    return export.export(replace(held, kinds={"sound": held.kinds["sound"]}), "unused", settings, dry_run=True).artifacts.select("path", "records")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN '' ELSE 't:' || p_size END AS type, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN '' ELSE 's:1,s:2' END AS "references", CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN '' ELSE 'elements=3' END AS counts,
+  CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 7 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS constant, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_partkey % 2 = 0 END AS recognised FROM part
+""")
+def worldgen_files(table, spark):
+    """Parts as files of world generation: objects with references and lists, a scalar, or torn; of a known kind or not."""
+    size = F.col("p_size").cast("string")
+    whole = F.concat(F.lit('{"type":"t:'), size, F.lit('","structures":["s:1",{"structure":"s:2"},"s:1",3],"elements":[1,2,3]}'))
+    content = F.when(F.col("p_size") % 7 == 0, F.lit("{")).when(F.col("p_size") % 7 == 1, size).otherwise(whole)
+    kind = F.when(F.col("p_partkey") % 2 == 0, sorted(documents.WORLDGEN_KINDS)[0]).otherwise("odd")
+    counts = F.array_join(F.transform("w.counts", lambda c: F.concat_ws("=", c["k"], c["n"].cast("string"))), ",")
+    return table("part").select("p_partkey", documents.worldgen(kind, content).alias("w")).select("p_partkey", "w.type", F.array_join("w.references", ",").alias("references"), counts.alias("counts"), "w.constant", "w.recognised")
