@@ -12,7 +12,7 @@ from stratalog.llm.minhash import dedup_stage
 from stratalog.llm.mixing import mix_stage
 from stratalog.llm.packing import pack_stage
 from stratalog.llm.secrets import redact_stage
-from stratalog.llm.staging import staged
+from stratalog.llm.staging import new_path, removed
 from stratalog.llm.toxicity import toxicity_stage
 
 STAGES = [
@@ -26,8 +26,16 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The pieces of the packed sequences, from the documents table of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The pieces of the packed sequences, from the documents table of ``sf_dir``.
+
+    Each stage's documents go once the next stage's are written; the last ones are read by the result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        done, path = stage(spark, docs, sf_dir), new_path(spark, name)
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
