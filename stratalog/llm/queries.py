@@ -19,6 +19,7 @@ from .token_files import op2_token_files
 from .topk import ORACLE as TOPK_SQL
 from .topk import op5_topk
 from .toxicity import op9_toxicity
+from .vector_codes import ORACLE as CODES_SQL
 from .vector_codes import op12_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,4 +38,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_alignment": op13_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_topk": TOPK_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_topk": TOPK_SQL, "op12_codes": CODES_SQL}

@@ -329,3 +329,26 @@ def op12_codes(spark, sf_dir: str) -> DataFrame:
     coded = encode_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     labels = coded.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).try_cast("long").alias("label_error"))
     return coded.join(labels, F.col("label").eqNullSafe(F.col("of"))).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _assigned(n: int) -> str:
+    return f"""a{n} AS (SELECT vec_id, p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT vec_id, v.p, e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM parts v JOIN b{n} b USING (p)) GROUP BY 1, 2)"""
+
+
+def _averaged(n: int) -> str:
+    return f"""s{n} AS (SELECT p, e, i, sum(x) AS s, count(*) AS c FROM (SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM parts JOIN a{n} USING (vec_id, p)) GROUP BY 1, 2, 3),
+m{n} AS (SELECT p, e, list(CAST((s - (((s % c) + c) % c)) // c AS BIGINT) ORDER BY i) AS x FROM s{n} GROUP BY 1, 2),
+b{n + 1} AS (SELECT p, e, coalesce(m{n}.x, b{n}.x) AS x FROM b{n} LEFT JOIN m{n} USING (p, e))"""
+
+
+#: The same by plain SQL, for vectors of one length with ids of their own: every part against every entry.
+ORACLE = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, p, q[p * (len(q) // {PARTS}) + 1 : (p + 1) * (len(q) // {PARTS})] AS x FROM v, range({PARTS}) t(p)),
+b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES})),
+{", ".join(f"{_assigned(n)}, {_averaged(n)}" for n in range(ROUNDS))}, {_assigned(ROUNDS)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY 1),
+digest AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM b{ROUNDS}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN v USING (vec_id), digest
+"""

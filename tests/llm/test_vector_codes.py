@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -90,6 +91,8 @@ def test_op12(spark, sf):
     got = sorted((r.vec_id, r.code, r.error, r.codebooks_sha256, r.label_error) for r in op12_codes(spark, f"/root/testdata/{sf}").collect())
     want = fast([(r.vec_id, r.embedding) for r in kept])
     if sf == "sf0.001":
+        sql = duckdb.sql(vector_codes.ORACLE.replace("FROM embeddings", f"FROM '/root/testdata/{sf}/embeddings.parquet'"))
+        assert sorted(sql.select("vec_id, code, error, codebooks_sha256").fetchall()) == want
         assert want == brute([(r.vec_id, r.embedding) for r in kept])
     labels = {r.vec_id: r.label for r in kept}
     total = {}
