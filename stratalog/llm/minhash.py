@@ -14,8 +14,9 @@ classes; a cell compares signatures in numpy and returns a spanning forest of th
 the threshold, never the pairs. The components of that graph hold every link; within each,
 full sets meet in cells of the same kind, which return forests of confirmed links.
 
-So a group of g near copies costs comparisons, but rows only in proportion to g; each cell holds
-two blocks, whatever the group's size, and large groups are spread over many cells.
+So a group of g near copies costs comparisons, and no pair is a row. Each cell holds two blocks,
+whatever the group's size, so large groups are spread over many cells; but a class goes to a cell for
+each block of its group, so a group's rows are g times g / ``BLOCK`` for each key that it shares.
 
 Edge cases: texts without words or null have an empty set and link with nothing; texts with
 fewer words than a shingle have the whole sequence as their only one; rows that repeat an id
