@@ -17,7 +17,8 @@ on along its cycle, so it is one to one.
 Scale: documents are numbered within (source, hash bucket), never within a whole source; the
 number of buckets follows the number of rows, so nothing hangs on a setting of the cluster. The
 slots of a source are made shard by shard, so a source with a third of all rows is spread over all
-tasks. Windows without such buckets run over sources, over buckets of a source (a row for
+tasks. Slots and fragments, each made many to a row, meet by a merge join whatever their estimated
+size. Windows without such buckets run over sources, over buckets of a source (a row for
 ``BUCKET_ROWS`` documents) or over groups of a source's shards (a row for ``SHARD_GROUP`` shards).
 
 Edge cases: a null text has size 0; a null source is a source of its own, after all others; a
@@ -145,6 +146,7 @@ def plan(docs: DataFrame, key_col: str, id_col: str, text_col: str, source_col:
     runs = staged(runs, "runs")
     sources = staged(targets(runs.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
     runs = runs.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.source", "bucket", "base", "rank", "source_size", "target")
+    runs = staged(runs, "based")  # its size is known, so it goes to the rows, not all rows to it
 
     within = Window.partitionBy("source", "bucket").orderBy("id", "key").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(within)).alias("d")
@@ -175,6 +177,8 @@ def plan(docs: DataFrame, key_col: str, id_col: str, text_col: str, source_col:
     whole = F.when(F.col("block") < F.col("full"), length).otherwise(F.col("source_size") - F.col("full") * length)
     cut = F.when((F.col("slot") == F.col("n_slots") - 1) & (F.col("part") % length > 0), F.col("part") % length)
     slots = slots.select("rank", "shard", "slot", "pass", "block", F.coalesce(F.least(cut, whole), whole).alias("take"))
+    # Spark takes a side for as small as it was before its rows were made by ``explode``, and would send all slots through the driver
+    slots, fragments = slots.hint("merge"), fragments.hint("merge")
     return Mix(placed, sources, fragments, slots)
 
 

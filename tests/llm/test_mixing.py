@@ -112,3 +112,14 @@ def test_documents_and_placements_agree(spark):
         words[r.doc_id].update(f"w{r.doc_id}_{j}" for j in range(r.word, r.word + r.words))
     assert by == {d: n for d, n in per_doc.items() if n}
     assert all(collections.Counter(WORD.findall(t)) == words[d] for d, t in text.items())
+
+
+@pytest.mark.parametrize("mixed", [placements, taken, mix_documents])
+def test_no_side_of_many_rows_is_broadcast(spark, mixed):
+    """Slots and fragments are made by ``explode``, which Spark's estimates leave out: neither may be broadcast, nor all rows to their runs."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 200).cast("int")).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    df = mixed(docs)
+    assert df.collect()
+    ran = df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[rank#\d+, block#\d+L\]", ran) and not re.search(r"BroadcastHashJoin \[rank#\d+, block#\d+L\]", ran)
+    assert not re.search(r"BroadcastHashJoin \[coalesce\(source.*BuildLeft", ran)
