@@ -174,7 +174,8 @@ def advancements(table, spark):
     rewards = F.struct(F.slice(F.array(*[F.lit("r")] * 3), F.lit(1), (size % 4).cast("int")).alias("recipes"), size.alias("experience"))
     content = F.to_json(F.struct(F.struct(title.alias("title"), icon.alias("icon"), F.lit("task").alias("frame"), (size % 2 == 0).alias("hidden")).alias("display"), criteria.alias("criteria"), rewards.alias("rewards")))
     torn = F.when(F.col("p_partkey") % 10 == 0, F.substring(content, 1, 20)).otherwise(content)
-    return table("part").select("p_partkey", documents.advancement(torn).alias("a")).select("p_partkey", "a.title", "a.icon", "a.frame", "a.hidden", F.array_join("a.triggers", ",").alias("triggers"), "a.criteria", "a.reward_recipes", "a.experience")
+    # a part is few bytes and much work: Spark deals work by bytes
+    return table("part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select("p_partkey", documents.advancement(torn).alias("a")).select("p_partkey", "a.title", "a.icon", "a.frame", "a.hidden", F.array_join("a.triggers", ",").alias("triggers"), "a.criteria", "a.reward_recipes", "a.experience")
 
 
 @query("""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,9 +51,17 @@ def parsed(content: Column) -> Column:
     return F.try_parse_json(content)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row: by itself an expression is computed anew in each branch and field that names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tag(content: Column) -> Column:
     """(replace, entries of (id, nested, required)); a lone value counts as a list of one."""
-    root = parsed(content)
+    return once(parsed(content), _tag)
+
+
+def _tag(root: Column) -> Column:
     values = _at(root, "$.values")
 
     def entry(x: Column) -> Column:
@@ -76,32 +85,34 @@ def language(content: Column) -> Column:
 
 def advancement(content: Column) -> Column:
     """Display texts, icon, frame, distinct triggers in order, and counts of criteria and rewards."""
-    root = parsed(content)
-    criteria = F.map_values(F.from_json(content, "criteria map<string,variant>")["criteria"])
+    return once(content, lambda c: once(parsed(c), lambda root: F.when(_is(root, "OBJECT"), once(F.map_values(F.from_json(c, "criteria map<string,variant>")["criteria"]), lambda criteria: _advancement(root, criteria)))))
+
+
+def _advancement(root: Column, criteria: Column) -> Column:
     triggers = F.array_distinct(F.filter(F.transform(criteria, lambda c: _text(c, "$.trigger")), lambda t: F.coalesce(t, F.lit("")) != ""))
     text = lambda p: F.coalesce(_text(root, f"$.display.{p}.text"), _text(root, f"$.display.{p}.translate"))
     display = _at(root, "$.display")
-    return F.when(
-        _is(root, "OBJECT"),
-        F.struct(
-            F.coalesce(_is(display, "OBJECT") & (_type(display) != "OBJECT<>"), F.lit(False)).alias("has_display"),
-            F.nullif(_text(root, "$.parent"), F.lit("")).alias("parent"),
-            text("title").alias("title"),
-            text("description").alias("description"),
-            F.coalesce(_text(root, "$.display.icon.id"), _text(root, "$.display.icon.item")).alias("icon"),
-            F.coalesce(_text(root, "$.display.frame"), F.lit("")).alias("frame"),
-            F.coalesce(F.try_variant_get(root, "$.display.hidden", "boolean"), F.lit(False)).alias("hidden"),
-            F.coalesce(triggers, F.array().cast("array<string>")).alias("triggers"),
-            F.coalesce(F.size(criteria), F.lit(0)).alias("criteria"),
-            F.coalesce(F.size(_items(_at(root, "$.rewards.recipes"))), F.lit(0)).alias("reward_recipes"),
-            F.coalesce(F.try_variant_get(root, "$.rewards.experience", "int"), F.lit(0)).alias("experience"),
-        ),
+    return F.struct(
+        F.coalesce(_is(display, "OBJECT") & (_type(display) != "OBJECT<>"), F.lit(False)).alias("has_display"),
+        F.nullif(_text(root, "$.parent"), F.lit("")).alias("parent"),
+        text("title").alias("title"),
+        text("description").alias("description"),
+        F.coalesce(_text(root, "$.display.icon.id"), _text(root, "$.display.icon.item")).alias("icon"),
+        F.coalesce(_text(root, "$.display.frame"), F.lit("")).alias("frame"),
+        F.coalesce(F.try_variant_get(root, "$.display.hidden", "boolean"), F.lit(False)).alias("hidden"),
+        F.coalesce(triggers, F.array().cast("array<string>")).alias("triggers"),
+        F.coalesce(F.size(criteria), F.lit(0)).alias("criteria"),
+        F.coalesce(F.size(_items(_at(root, "$.rewards.recipes"))), F.lit(0)).alias("reward_recipes"),
+        F.coalesce(F.try_variant_get(root, "$.rewards.experience", "int"), F.lit(0)).alias("experience"),
     )
 
 
 def worldgen(kind: Column, content: Column) -> Column:
     """Type, references, counts of lists, a scalar document as ``constant``, and whether the kind is known."""
-    root = parsed(content)
+    return once(parsed(content), lambda root: _worldgen(kind, root))
+
+
+def _worldgen(kind: Column, root: Column) -> Column:
     whole = _is(root, "OBJECT")
     structures = F.transform(F.coalesce(_items(_at(root, "$.structures")), F.array().cast("array<variant>")), lambda x: F.coalesce(F.when(_is(x, "STRING"), F.try_variant_get(x, "$", "string")), _text(x, "$.structure")))
     refs = F.concat(F.array(*[_text(root, f"$.{f}") for f in REFERENCES]), structures)
@@ -237,7 +248,8 @@ def descriptors(files: DataFrame) -> DataFrame:
     One loader keeps maps of ids and ranges, or lists of ids, under several names; the other nests
     all under ``quilt_loader`` and lists what it requires and provides. Documents without id are left out.
     """
-    root = parsed(F.col("content"))
+    files = files.select("path", parsed(F.col("content")).alias("root"))  # many columns use it, so Spark leaves it one
+    root = F.col("root")
     nested = _at(root, "$.quilt_loader")
     is_nested = _is(nested, "OBJECT")
     kinds = {"depends": "REQUIRED", "recommends": "OPTIONAL", "suggests": "OPTIONAL", "conflicts": "INCOMPATIBLE", "breaks": "INCOMPATIBLE"}

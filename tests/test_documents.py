@@ -218,3 +218,10 @@ def test_sinks_keep_odd_text_and_equal_names(spark, tmp_path):
     assert sorted(x["name"] for x in json.loads(text["json"])["items"]) == want == sorted(json.loads(x)["name"] for x in text["ndjson"].splitlines())
     assert sorted(x["name"] for x in tomllib.loads(text["toml"])["items"]) == want
     assert sorted(x.find("name").text for x in ET.fromstring(text["xml"])) == sorted(t.replace("\b", "\ufffd").replace("\u0001", "\ufffd") for t in want)
+
+
+def test_an_advancement_is_parsed_once(spark):
+    """However many fields of it are taken."""
+    rows = spark.createDataFrame([('{"display":{"title":"t","frame":"f"}}',)], "content string").select(d.advancement(F.upper("content")).alias("a"))
+    plan = rows.select("a.title", "a.icon", "a.frame", "a.triggers", "a.criteria")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
