@@ -585,7 +585,8 @@ def typed_items(table, spark):
     own, size = F.col("p_partkey") % 20, F.col("p_size")
     good = F.to_json(F.struct(F.col("p_type").alias("descriptionId"), F.when(own != 6, size).alias("maxStackSize"), F.split("p_name", " ").alias("tags")))
     raw = F.when(own == 0, F.lit('{"descriptionId":')).when(own == 1, '{"descriptionId":"a","maxStackSize":"many"}').when(own == 2, "{}").when(own == 3, '{"descriptionId":"a","tags":[1],"blockItem":0}').when(own == 5, '{"descriptionId":"a","maxStackSize":5000000000}').when(own != 4, good)
-    rows = table("part").select(F.concat(F.lower(F.translate("p_brand", "#", "_")), F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), raw.alias("document"))
+    parts = table("part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a part is few bytes and much work: Spark deals work by bytes
+    rows = parts.select(F.concat(F.lower(F.translate("p_brand", "#", "_")), F.lit(":"), F.col("p_partkey").cast("string")).alias("id"), raw.alias("document"))
     texts = table("part").filter("p_size > 25").select(F.col("p_type").alias("key"), F.lit("en_us").alias("locale"), F.lower("p_type").alias("text"))
     scan = records.registry_records(rows, "item", texts)
     good = scan.records.select(F.lit("item").alias("kind"), F.col("registry_name").alias("id"), F.lit(None).cast("string").alias("error"), "max_stack", F.array_join("tags", ",").alias("tags"), "name_en")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stratalog.functions.names import namespace_of
 from stratalog.operators.graphs import cut_lineage
 
-from .documents import _at, _is, parsed
+from .documents import _at, _is, once, parsed
 from .scans import with_names
 
 
@@ -59,22 +59,24 @@ KINDS: dict[str, tuple[Field, ...]] = {
 _SHAPES = {"string": ("STRING",), "boolean": ("BOOLEAN",), "double": ("DOUBLE", "DECIMAL", "BIGINT", "FLOAT"), "int": ("BIGINT",), "bigint": ("BIGINT",)}
 
 
-def _typed(root: Column, field: Field) -> tuple[Column, Column]:
+def _typed(root: Column, field: Field) -> Column:
     """(value, complaint) of a field; a JSON null counts as absent."""
-    held = _at(root, field.path)
-    absent = held.isNull() | F.is_variant_null(held)
+
+    def read(held: Column, value: Column, fits: Column) -> Column:
+        absent = held.isNull() | F.is_variant_null(held)
+        default = F.lit(field.default).cast(field.type) if field.default is not None else F.lit(None).cast(field.type)
+        lacking = F.when(absent, F.lit(f"{field.name} is missing") if field.required else F.lit(None).cast("string"))
+        wrong = F.when(~absent & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit(f"{field.name} is no {field.type}: "), F.substring(F.to_json(held), 1, 80)))
+        return F.struct(F.when(absent, default).otherwise(value).alias("value"), F.coalesce(lacking, wrong).alias("complaint"))
+
     if field.type.startswith("array<"):
         inner = field.type[6:-1]
-        items = F.try_variant_get(root, field.path, "array<variant>")
-        value = F.transform(items, lambda x: F.try_variant_get(x, "$", inner))
-        fits = items.isNotNull() & F.forall(items, lambda x: _fits(x, inner))
-    else:
-        value = F.try_variant_get(root, field.path, field.type)
-        fits = value.isNotNull() & _fits(held, field.type)
-    default = F.lit(field.default).cast(field.type) if field.default is not None else F.lit(None).cast(field.type)
-    lacking = F.when(absent, F.lit(f"{field.name} is missing") if field.required else F.lit(None).cast("string"))
-    wrong = F.when(~absent & ~F.coalesce(fits, F.lit(False)), F.concat(F.lit(f"{field.name} is no {field.type}: "), F.substring(F.to_json(held), 1, 80)))
-    return F.when(absent, default).otherwise(value), F.coalesce(lacking, wrong)
+        listed = F.try_variant_get(root, field.path, "array<variant>")
+        taken = lambda items: F.transform(items, lambda x: F.try_variant_get(x, "$", inner))
+        fits = lambda items: items.isNotNull() & F.forall(items, lambda x: _fits(x, inner))
+        return once(_at(root, field.path), lambda held: once(listed, lambda items: read(held, taken(items), fits(items))))
+    scalar = F.try_variant_get(root, field.path, field.type)
+    return once(_at(root, field.path), lambda held: once(scalar, lambda value: read(held, value, value.isNotNull() & _fits(held, field.type))))
 
 
 def _fits(value: Column, kind: str) -> Column:
@@ -92,13 +94,15 @@ def typed(rows: DataFrame, kind: str, fields: tuple[Field, ...] | None = None, i
     both sides read that.
     """
     fields = KINDS[kind] if fields is None else fields
-    root = parsed(F.col(document_col))
-    columns = {f.name: _typed(root, f) for f in fields}
-    problem = F.concat_ws("; ", *[c for _, c in columns.values()])
+    own = lambda n: f"_{id_col}_{n}"  # noqa: E731  no name of a caller's
+    # a column that several others use stays one in Spark's plan: a document is parsed once, and a field read once
+    read = rows.filter(F.col(document_col).isNotNull()).select(F.col(id_col), parsed(F.col(document_col)).alias(own("root")))
+    read = read.select(id_col, _is(F.col(own("root")), "OBJECT").alias(own("whole")), *[_typed(F.col(own("root")), f).alias(own(str(n))) for n, f in enumerate(fields)])
+    problem = F.concat_ws("; ", *[F.col(own(str(n)))["complaint"] for n in range(len(fields))])
     name = F.col(id_col).cast("string")
-    error = F.when(name.isNull() | (F.trim(name) == ""), "it has no name").when(~F.coalesce(_is(root, "OBJECT"), F.lit(False)), "it is no JSON object").otherwise(F.nullif(problem, F.lit("")))
-    values = F.struct(*[v.alias(n) for n, (v, _) in columns.items()])
-    held = cut_lineage(rows.filter(F.col(document_col).isNotNull()).select(F.col(id_col), error.alias("error"), F.when(error.isNull(), values).alias("record")))
+    error = F.when(name.isNull() | (F.trim(name) == ""), "it has no name").when(~F.coalesce(F.col(own("whole")), F.lit(False)), "it is no JSON object").otherwise(F.nullif(problem, F.lit("")))
+    values = F.struct(*[F.col(own(str(n)))["value"].alias(f.name) for n, f in enumerate(fields)])
+    held = cut_lineage(read.select(id_col, error.alias("error"), values.alias("record")).withColumn("record", F.when(F.col("error").isNull(), F.col("record"))))
     failures = held.filter("error is not null").select(F.lit(kind).alias("kind"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), "error")
     return Scan(held.filter("error is null").select(id_col, "record.*"), failures)
 

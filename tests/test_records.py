@@ -105,3 +105,12 @@ def test_chains(spark):
     r = graphs.chain_summary(graphs.chain_search(*(spark.createDataFrame(d, c) for d, c in (([("a", 1, 0), ("b", 1, 1), ("c", 2, 2)], "label string, node int, ord int"), ([(1, 2)], "node int, parent int"))))).first()
     assert tuple(r) == (3, 2, 2)
     assert graphs.chain_search(*(spark.createDataFrame([], c) for c in ("label string, node int, ord int", "node int, parent int"))).count() == 0
+
+
+def test_a_document_is_parsed_once(spark, monkeypatch):
+    """However many fields it has, and whatever of them complains."""
+    held = []
+    monkeypatch.setattr(records, "cut_lineage", lambda df: held.append(df) or df)
+    rows = spark.createDataFrame([("a:b", '{"descriptionId":"x"}')], "id string, document string").withColumn("document", F.lower("document"))
+    records.typed(rows, "item")
+    assert held[0]._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
