@@ -658,9 +658,10 @@ def _catalogue(table) -> export.Catalogue:
     mod = _mod
     line = table("lineitem").join(F.broadcast(own)).select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % (F.col("n") + 2) + 1).alias("d"), F.when(F.col("l_linenumber") == 7, "INCOMPATIBLE").when(F.col("l_linenumber") % 2 == 0, "OPTIONAL").otherwise("EMBEDDED").alias("kind")).distinct()
     lot = F.struct((F.col("d") * 7919 + F.col("s") * 31) % 1009, "d")
-    needed = line.groupBy("s").agg(F.min_by("d", lot).alias("d")).withColumn("kind", F.lit("REQUIRED"))
-    line = line.unionByName(needed)
-    deps = line.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(mod(F.col("d")).alias("id"), F.when(F.col("kind") == "OPTIONAL", "[1.3,1.7)").alias("range"), "kind"))).alias("dependencies"))
+    token = lambda bounds, kind: F.struct(mod(F.col("d")).alias("id"), bounds.cast("string").alias("range"), kind.alias("kind"))
+    # one grouping for the lists and for the line that is required: the lines are made distinct once
+    deps = line.groupBy("s").agg(F.collect_list(token(F.when(F.col("kind") == "OPTIONAL", "[1.3,1.7)"), F.col("kind"))).alias("listed"), F.min_by("d", lot).alias("d"))
+    deps = deps.select("s", F.array_sort(F.concat("listed", F.array(token(F.lit(None), F.lit("REQUIRED"))))).alias("dependencies"))
     key, nation = F.col("s_suppkey"), F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string"))
     none = lambda t="string": F.lit(None).cast(t)
     mods = table("supplier").join(deps, F.col("s") == key, "left").select(mod(key).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("1."), (key % 10).cast("string")).alias("version"), nation.alias("namespace"), F.when(key % 5 == 0, "forge").otherwise("fabric").alias("loader"), F.when(key % 7 == 0, "1.20").otherwise("1.21").alias("minecraft_version"), none().alias("license"), "dependencies", none("array<string>").alias("providers"), none().alias("source_file"), key.cast("int").alias("ord"))

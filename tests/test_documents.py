@@ -225,3 +225,15 @@ def test_an_advancement_is_parsed_once(spark):
     rows = spark.createDataFrame([('{"display":{"title":"t","frame":"f"}}',)], "content string").select(d.advancement(F.upper("content")).alias("a"))
     plan = rows.select("a.title", "a.icon", "a.frame", "a.triggers", "a.criteria")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_a_walk_sorts_once(monkeypatch):
+    """Not once for each node: edges are put in order together, and each node's keep that order."""
+    import pandas as pd
+
+    n, calls, sort = 300, [], pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *a, **k: calls.append(1) or sort(self, *a, **k))
+    rows = pd.DataFrame({"a": [*range(n), 0], "b": [*[(i + 1) % n for i in range(n)], 5], "pos": [*[1] * n, 0], "ord": [*range(n), 0]}).astype({"a": str, "b": str})
+    found = graphs._walk(rows)["path"].tolist()
+    assert len(calls) <= 2
+    assert found == [" -> ".join(map(str, [0, *range(5, n), 0]))]
